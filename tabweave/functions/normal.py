@@ -43,16 +43,24 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z >= 0, F.lit(1.0) - tail).otherwise(tail)
 
 
-def normal_ppf(p: Column) -> Column:
-    """The normal quantile of ``p`` in (0, 1)."""
+def tail_scale(p: Column) -> Column:
+    """The ``sqrt(-2 ln)`` term of the quantile's tails."""
+    return F.sqrt(F.lit(-2.0) * F.log(F.least(p, F.lit(1.0) - p)))
+
+
+def normal_ppf(p: Column, scale: Column | None = None) -> Column:
+    """The normal quantile of ``p`` in (0, 1).
+
+    ``scale`` is ``tail_scale(p)`` where it is a column already, so that it is
+    computed once and not at each of its ten uses.
+    """
     q = p - 0.5
     r = q * q
     centre = _horner(r, _PPF_A) * q / (_horner(r, _PPF_B) * r + 1.0)
-    side = F.least(p, F.lit(1.0) - p)
-    s = F.sqrt(F.lit(-2.0) * F.log(side))
+    s = tail_scale(p) if scale is None else scale
     tail = _horner(s, _PPF_C) / (_horner(s, _PPF_D) * s + 1.0)
     return (
-        F.when(side >= _PPF_LOW, centre)
+        F.when(p.between(_PPF_LOW, 1 - _PPF_LOW), centre)
         .when(p < 0.5, tail)
         .otherwise(-tail)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabweave.functions.ordered import exact_quantiles, long_values, running
 from tabweave.operators.clean import string_columns
 from tabweave.operators.lookup import nearest
-from tabweave.session import freeze, small_side
+from tabweave.session import freeze, sizes_by, small_side
 
 ENCODED = "_target_encoded"
 
@@ -29,9 +29,10 @@ class EncoderTable:
         Categories not seen in training, and nulls, get null.
         """
         out = df
+        sizes = sizes_by(self.table, "column")
         for c in self.columns:
-            side = small_side(self.table.where(F.col("column") == c)
-                              .select(F.col("category").alias(f"_{c}"), F.col("mean").alias(c + ENCODED)))
+            side = small_side(self.table.where(F.col("column") == c).select(
+                F.col("category").alias(f"_{c}"), F.col("mean").alias(c + ENCODED)), counted=sizes.get(c, 0))
             out = out.join(side, out[c] == side[f"_{c}"], "left").drop(f"_{c}")
         kept = [c for c in df.columns if c not in self.columns]
         return out.select(*kept, *[c + ENCODED for c in self.columns])
@@ -98,9 +99,10 @@ def code_fit(df: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
 def code_apply(df: DataFrame, codes: DataFrame, columns: Sequence[str], unseen: int | None = None) -> DataFrame:
     """Replace values by their codes in place; others get ``unseen``."""
     out = df
+    sizes = sizes_by(codes, "column")
     for c in columns:
-        side = small_side(codes.where(F.col("column") == c)
-                          .select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}")))
+        side = small_side(codes.where(F.col("column") == c).select(
+            F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"_code_{c}")), counted=sizes.get(c, 0))
         out = out.join(side, out[c].cast("string") == side[f"_v_{c}"], "left")
     return out.select(*[
         (F.coalesce(F.col(f"_code_{c}"), F.lit(unseen).cast("long")) if c in columns else F.col(c)).alias(c)

@@ -13,14 +13,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer, VectorAssembler
-from pyspark.ml.stat import Correlation
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabweave.functions.hashing import normal_pair, row_hash
-from tabweave.functions.normal import normal_cdf, normal_ppf
+from tabweave.functions.normal import normal_cdf, normal_ppf, tail_scale
 from tabweave.functions.ordered import long_values, running
 from tabweave.operators.lookup import bracket, join_payload
 from tabweave.session import freeze, small_side
@@ -82,6 +81,28 @@ def _grid_place(df: DataFrame, column: str, grid: list[float], into: str) -> Dat
     return search.transform(df).withColumn(into, place).drop("_slot")
 
 
+def correlate(z: DataFrame) -> np.ndarray:
+    """Correlation matrix of all columns: one aggregate of sums of products,
+    of which d(d+1)/2 + d numbers reach the driver."""
+    names = z.columns
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    sums = z.agg(F.count(F.lit(1)), *[F.sum(c) for c in names],
+                 *[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
+    n = sums[0]
+    out = np.eye(len(names))
+    if not n:
+        return out
+    mean = np.array(sums[1 : len(names) + 1]) / n
+    for (i, j), total in zip(pairs, sums[len(names) + 1 :]):
+        out[i, j] = out[j, i] = total / n - mean[i] * mean[j]
+    scale = np.sqrt(np.clip(np.diag(out), 0.0, None))
+    # a constant column is correlated with nothing
+    safe = np.where(scale > 1e-12, scale, np.inf)
+    out = out / safe[:, None] / safe[None, :]
+    np.fill_diagonal(out, 1.0)
+    return out
+
+
 def fit_copula(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], grid: int = 101,
                accuracy: int = 10_000) -> CopulaModel:
     """Fit on the rows without nulls in the named columns."""
@@ -106,12 +127,9 @@ def fit_copula(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
     # the places are columns of their own before the quantile formula refers
     # to them again and again
     inner = scored.select(*[F.greatest(F.lit(edge), F.least(F.lit(1 - edge), f"_u_{c}")).alias(f"_u_{c}") for c in names])
-    z = [normal_ppf(F.col(f"_u_{c}")).alias(f"_z_{c}") for c in names]
-    correlation = np.eye(len(names))
-    if len(names) > 1:
-        vectors = VectorAssembler(inputCols=[f"_z_{c}" for c in names], outputCol="_z").transform(inner.select(*z))
-        correlation = np.nan_to_num(Correlation.corr(vectors, "_z").first()[0].toArray(), nan=0.0)
-        np.fill_diagonal(correlation, 1.0)
+    inner = inner.select("*", *[tail_scale(F.col(f"_u_{c}")).alias(f"_s_{c}") for c in names])
+    z = inner.select(*[normal_ppf(F.col(f"_u_{c}"), F.col(f"_s_{c}")).alias(f"_z{i}") for i, c in enumerate(names)])
+    correlation = correlate(z)
     size = len(names)
     factor = np.linalg.cholesky((correlation + RIDGE * np.eye(size)) / (1 + RIDGE))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in names}

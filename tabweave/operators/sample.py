@@ -1,9 +1,8 @@
 """Exact-size sampling and splitting by hash order.
 
 A row's place in the random order is its hash. Taking the first n rows then
-means finding the n-th smallest hash and filtering on it: two small
-aggregates over the hash, and a plain filter over the rows. No row is
-shuffled or sorted. Rows with the same hash are copies of one another and
+means finding the n-th smallest hash and filtering on it: one small aggregate
+over the hash, and a plain filter over the rows. No row is shuffled or sorted. Rows with the same hash are copies of one another and
 interchangeable; a cut that falls inside such a group takes the exact number
 of copies by counting them, never by gathering them.
 """
@@ -21,7 +20,7 @@ from tabweave.functions.hashing import row_hash
 from tabweave.session import freeze
 
 HASH = "_hash"
-# hex digits of the first count: 65,536 prefixes at most
+# hex digits of a hash prefix: 65,536 prefixes at most
 _DIGITS = 4
 # copies one task writes when a counted group of copies is spelled out
 _BLOCK = 100_000
@@ -51,52 +50,106 @@ def with_hash(df: DataFrame, key: Sequence[str] | None, seed: object) -> DataFra
     return df.withColumn(HASH, row_hash(list(key or df.columns), seed))
 
 
+def _text(value: object) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def _windows(places: Sequence[int], rows: int) -> list[tuple[int, int]]:
+    """Where in 32-bit hash space the places must lie, as disjoint ranges.
+
+    Hashes are uniform, so place p of N is within 8 standard deviations of
+    p/N. A group of copies can move it out of there; that case is noticed.
+    """
+    ranges: list[tuple[int, int]] = []
+    for p in sorted(places):
+        q = p / rows
+        slack = 8.0 * math.sqrt(q * (1.0 - q) / rows) + 4.0 / rows
+        low, high = max(0, math.floor((q - slack) * 2**32)), min(2**32, math.ceil((q + slack) * 2**32) + 1)
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], max(high, ranges[-1][1]))
+        else:
+            ranges.append((low, high))
+    return ranges
+
+
+def step(column: Column, bounds: Sequence[str], first: int = 0) -> Column:
+    """``first`` plus the number of (sorted) bounds that are <= the column."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(column < F.lit(bounds[half]), step(column, bounds[:half], first)).otherwise(
+        step(column, bounds[half + 1:], first + half + 1))
+
+
 def find_cuts(
-    hashed: DataFrame, positions: Mapping[object, Sequence[int]], group: str | None = None
+    hashed: DataFrame, positions: Mapping[object, Sequence[int]], group: str | None = None,
+    sizes: Mapping[object, int] | None = None,
 ) -> list[Cut]:
     """The hash at each 1-based position of the hash order, within each group.
 
     ``positions`` maps a group value (``None`` without a group column) to the
-    wanted places. One row per place reaches the driver.
+    wanted places, ``sizes`` to the rows of the group where they are known.
+    One row per place reaches the driver.
     """
-    spark = hashed.sparkSession
-
-    def text(value: object) -> str:
-        return str(value).lower() if isinstance(value, bool) else str(value)
-
-    wanted = [(g, int(p)) for g, places in positions.items() for p in sorted(set(places)) if p > 0]
+    wanted = {_text(g) if group else "": sorted({int(p) for p in places if p > 0}) for g, places in positions.items()}
+    wanted = {g: places for g, places in wanted.items() if places}
     if not wanted:
         return []
-    rows = hashed.select(
-        (F.col(group).cast("string") if group else F.lit("")).alias("_g"),
-        F.col(HASH), F.substring(HASH, 1, _DIGITS).alias("_p"))
-    want = spark.createDataFrame([(text(g) if group else "", p) for g, p in wanted], "_g string, position long")
+    names = {_text(g) if group else "": g for g in positions}
+    label = F.col(group).cast("string") if group else F.lit("")
+    rows = hashed.select(label.alias("_g"), HASH)
     if group:
-        rows = rows.where(F.col("_g").isin(*sorted({text(g) for g, _ in wanted})))
-
-    # 1. count by hash prefix, find the prefix each place falls in
+        rows = rows.where(F.col("_g").isin(*sorted(wanted)))
+    if sizes is None:
+        counted = {r[0]: r[1] for r in rows.groupBy("_g").count().collect()}
+    else:
+        counted = {_text(g) if group else "": n for g, n in sizes.items()}
+
+    # One pass: count what lies between the windows, list (by full hash, so
+    # copies collapse) what lies inside. About sqrt(N) hashes are listed.
+    found = _place(rows, wanted, {g: _windows(places, counted[g]) for g, places in wanted.items()})
+    lost = {g: [p for p in places if (g, p) not in found] for g, places in wanted.items()}
+    lost = {g: places for g, places in lost.items() if places}
+    if lost:
+        # copies moved a place out of its window: count by prefix to see where to
+        found |= _place(rows, lost, _prefix_windows(rows, lost))
+    return [Cut(names[g], p, *found[(g, p)]) for g, places in wanted.items() for p in places]
+
+
+def _place(rows: DataFrame, wanted: Mapping[str, Sequence[int]],
+           windows: Mapping[str, Sequence[tuple[int, int]]]) -> dict[tuple[str, int], tuple[str, int, int]]:
+    """(group, place) -> (hash, rows before it, rows at it), for places inside the windows."""
+    slot = F.lit(None).cast("int")
+    for g, ranges in windows.items():
+        bounds = [f"{edge:08x}" if edge < 2**32 else "g" for r in ranges for edge in r]
+        slot = F.when(F.col("_g") == F.lit(g), step(F.col(HASH), bounds)).otherwise(slot)
+    listed = rows.withColumn("_slot", slot).select(
+        "_g", "_slot", F.when(F.col("_slot") % 2 == 1, F.col(HASH)).alias("_h"))
+    upto = Window.partitionBy("_g").orderBy("_slot", "_h").rowsBetween(Window.unboundedPreceding, 0)
+    runs = listed.groupBy("_g", "_slot", "_h").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    want = rows.sparkSession.createDataFrame([(g, p) for g, places in wanted.items() for p in places], "_g string, place long")
+    hits = runs.join(F.broadcast(want), "_g").where(  # a row per wanted place, listed by the caller
+        (F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n")) & F.col("_h").isNotNull())
+    return {(r["_g"], r["place"]): (r["_h"], r["upto"] - r["n"], r["n"]) for r in hits.collect()}
+
+
+def _prefix_windows(rows: DataFrame, wanted: Mapping[str, Sequence[int]]) -> dict[str, list[tuple[int, int]]]:
+    """The hash prefix each place falls in, from a count by prefix."""
     upto = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    prefixes = rows.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
-    hits = freeze(
-        prefixes.join(F.broadcast(want), "_g")  # a row per wanted place, listed by the caller
-        .where((F.col("position") <= F.col("upto")) & (F.col("position") > F.col("upto") - F.col("n")))
-        .select("_g", "_p", "position", (F.col("upto") - F.col("n")).alias("before"))
-    )
-    # 2. inside those prefixes only, count by full hash (copies collapse here)
-    fine = (
-        rows.join(F.broadcast(hits.select("_g", "_p").distinct()), ["_g", "_p"], "left_semi")
-        .groupBy("_g", "_p", HASH).agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(
-            Window.partitionBy("_g", "_p").orderBy(HASH).rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    last = F.col("before") + F.col("upto")
-    found = (
-        fine.join(F.broadcast(hits), ["_g", "_p"])
-        .where((F.col("position") <= last) & (F.col("position") > last - F.col("n")))
-        .select("_g", "position", HASH, (last - F.col("n")).alias("before"), F.col("n").alias("copies"))
-    )
-    by_text = {text(g) if group else "": g for g in positions}
-    return [Cut(by_text[r["_g"]], r["position"], r[HASH], r["before"], r["copies"]) for r in found.collect()]
+    prefixes = rows.groupBy("_g", F.substring(HASH, 1, _DIGITS).alias("_p")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    want = rows.sparkSession.createDataFrame([(g, p) for g, places in wanted.items() for p in places], "_g string, place long")
+    hits = prefixes.join(F.broadcast(want), "_g").where(
+        (F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n"))).select("_g", "_p").distinct()
+    width = 16 ** (8 - _DIGITS)
+    out: dict[str, list[tuple[int, int]]] = {}
+    for g, p in sorted((r["_g"], int(r["_p"], 16)) for r in hits.collect()):
+        ranges = out.setdefault(g, [])
+        if ranges and ranges[-1][1] == p * width:
+            ranges[-1] = (ranges[-1][0], (p + 1) * width)
+        else:
+            ranges.append((p * width, (p + 1) * width))
+    return out
 
 
 def numbered_copies(df: DataFrame, order: str = HASH) -> DataFrame:
@@ -156,10 +209,11 @@ def split_sizes(rows: int, fractions: Sequence[float]) -> list[int]:
 def split_by(df: DataFrame, names: Sequence[str], fractions: Sequence[float], key: Sequence[str] | None = None,
              seed: object = 5, into: str = "split") -> DataFrame:
     """Name each row's part; sizes are exact, parts disjoint and complete."""
-    sizes = split_sizes(df.count(), fractions)
+    rows = df.count()
+    sizes = split_sizes(rows, fractions)
     ends = [sum(sizes[: i + 1]) for i in range(len(sizes) - 1)]
     hashed = with_hash(df, key, seed)
-    return _assign(hashed, names, find_cuts(hashed, {None: ends}), ends, into).drop(HASH)
+    return _assign(hashed, names, find_cuts(hashed, {None: ends}, sizes={None: rows}), ends, into).drop(HASH)
 
 
 def split3(df: DataFrame, key: Sequence[str] | None = None, seed: object = 5,
@@ -180,7 +234,7 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str] | None = None, seed: obje
     if n == 0:
         return df.limit(0)
     hashed = with_hash(df, key, seed)
-    marked = _assign(hashed, ["in", "out"], find_cuts(hashed, {None: [n]}), [n], "_part")
+    marked = _assign(hashed, ["in", "out"], find_cuts(hashed, {None: [n]}, sizes={None: rows}), [n], "_part")
     return marked.where("_part = 'in'").drop(HASH, "_part")
 
 
@@ -197,7 +251,7 @@ def sample_condition(df: DataFrame, label: str, sizes: Mapping[object, int],
         if n > counts.get(value, 0):
             raise ValueError(f"cannot draw {n} rows with {label}={value}: there are {counts.get(value, 0)}")
     hashed = with_hash(df, key, seed)
-    cuts = find_cuts(hashed, {v: [n] for v, n in sizes.items()}, label)
+    cuts = find_cuts(hashed, {v: [n] for v, n in sizes.items()}, label, counts)
     torn = [c for c in cuts if c.splits_copies]
     keep = F.lit(False)
     for c in cuts:
@@ -275,7 +329,7 @@ def replicate(df: DataFrame, n: int, times: int = 50, key: Sequence[str] | None
         raise ValueError(f"cannot draw {n} of {rows} rows without replacement")
     many = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times))))
     hashed = many.withColumn(HASH, row_hash([*(key or df.columns), "replicate"], seed))
-    cuts = find_cuts(hashed, {r: [n] for r in range(1, times + 1)}, "replicate")
+    cuts = find_cuts(hashed, {r: [n] for r in range(1, times + 1)}, "replicate", {r: rows for r in range(1, times + 1)})
     spark = df.sparkSession
     limits = F.broadcast(spark.createDataFrame(  # one row per replicate
         [(c.group, c.hash, c.take, c.copies) for c in cuts], "replicate int, _cut string, _take long, _copies long"))

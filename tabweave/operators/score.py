@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tabweave.functions.ordered import running
 from tabweave.operators.clean import numeric_columns, string_columns
 from tabweave.operators.encode import code_apply, code_fit
-from tabweave.session import freeze, small_side
+from tabweave.session import freeze, sizes_by, small_side
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), one_class: float | None = None,
@@ -58,6 +58,11 @@ def log_odds_fit(train: DataFrame, label: str, bins: dict[str, Column], by: Sequ
         F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0)).alias("weight"))
 
 
+def _tidy(total: Column) -> Column:
+    """Nine digits. Sums that are equal but for the last bits must tie."""
+    return F.floor(total * 1e9 + 0.5).cast("double") / 1e9
+
+
 def log_odds_score(df: DataFrame, model: DataFrame, bins: dict[str, Column], into: str = "score") -> DataFrame:
     """Sum of the weights of a row's bins; unseen bins add nothing.
 
@@ -66,14 +71,13 @@ def log_odds_score(df: DataFrame, model: DataFrame, bins: dict[str, Column], int
     """
     out = df.select("*", *bin_columns(bins))
     total = F.lit(0.0)
+    sizes = sizes_by(model, "feature")
     for f in bins:
         side = small_side(model.where(F.col("feature") == f).select(
-            F.col("bin").alias(f"_k_{f}"), F.col("weight").alias(f"_w_{f}")))
+            F.col("bin").alias(f"_k_{f}"), F.col("weight").alias(f"_w_{f}")), counted=sizes.get(f, 0))
         out = out.join(side, out[f"_bin_{f}"] == side[f"_k_{f}"], "left")
         total = total + F.coalesce(F.col(f"_w_{f}"), F.lit(0.0))
-    # sums of the same weights in the same order are equal bit for bit, but
-    # nearly equal sums must tie across engines: 9 digits decide
-    return out.withColumn(into, F.round(total, 9)).select(*df.columns, into)
+    return out.withColumn(into, _tidy(total)).select(*df.columns, into)
 
 
 def log_odds_auc(train: DataFrame, test: DataFrame, label: str, bins: dict[str, Column],
@@ -171,7 +175,7 @@ def per_source_score(sources: DataFrame, real: DataFrame, label: str, bins: dict
     """AUC of every source (and variant) on every real split, in one job.
 
     Every source gets its own log-odds table; a real row is scored against all
-    of them at once through an array of weights, and only then spread out by
+    of them at once through a weight per source, and only then spread out by
     source, straight into a map-side-combined count by score.
     """
     model = freeze(log_odds_fit(sources, label, bins, by=list(source)))
@@ -182,29 +186,33 @@ def per_source_score(sources: DataFrame, real: DataFrame, label: str, bins: dict
         for c, v in zip(source, name):
             same = same & F.col(c).eqNullSafe(F.lit(v))
         place = F.when(same, F.lit(i)).otherwise(place)
-    wide = freeze(weight_arrays(model.withColumn("_slot", place), len(names)))
-    scored = score_arrays(real, wide, bins, len(names))
+    wide = freeze(wide_weights(model.withColumn("_slot", place), len(names)))
+    scored = score_slots(real, wide, bins, len(names), sizes_by(wide, "feature"))
     spread = scored.select(split, F.col(label).alias("_y"), F.posexplode("_scores").alias("_slot", "_s"))
     out = auc(spread, "_s", "_y", ["_slot", split])
     labels = real.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], ["_slot", *source])
     return out.join(F.broadcast(labels), "_slot").select(*source, split, "auc")
 
 
-def weight_arrays(model: DataFrame, slots: int) -> DataFrame:
-    """(feature, bin) -> array of weights, one per slot (0 where a slot has none)."""
-    return model.groupBy("feature", "bin").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "weight"))).alias("_m")).select(
-        "feature", "bin", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)),
-                                      lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("weights"))
+def wide_weights(model: DataFrame, slots: int) -> DataFrame:
+    """(feature, bin) -> columns w0, w1, ...: one weight per slot (0 where a
+    slot has none). One row per bin."""
+    return model.groupBy("feature", "bin").agg(*[
+        F.coalesce(F.max(F.when(F.col("_slot") == i, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i in range(slots)])
 
 
-def score_arrays(df: DataFrame, wide: DataFrame, bins: dict[str, Column], slots: int, into: str = "_scores") -> DataFrame:
-    """Scores of a row under all slots, as one array."""
+def score_slots(df: DataFrame, wide: DataFrame, bins: dict[str, Column], slots: int, sizes: dict[str, int],
+                into: str = "_scores") -> DataFrame:
+    """Scores of a row under all slots, as one array.
+
+    The sums are spelled out per slot, which keeps them in generated code; an
+    array function would be interpreted element by element.
+    """
     out = df.select("*", *bin_columns(bins))
-    total = F.array_repeat(F.lit(0.0), slots)
+    totals = [F.lit(0.0)] * slots
     for f in bins:
         side = small_side(wide.where(F.col("feature") == f).select(
-            F.col("bin").alias(f"_k_{f}"), F.col("weights").alias(f"_w_{f}")))
+            F.col("bin").alias(f"_k_{f}"), *[F.col(f"w{i}").alias(f"_w_{f}_{i}") for i in range(slots)]), counted=sizes.get(f, 0))
         out = out.join(side, out[f"_bin_{f}"] == side[f"_k_{f}"], "left")
-        mine = F.coalesce(F.col(f"_w_{f}"), F.array_repeat(F.lit(0.0), slots))
-        total = F.zip_with(total, mine, lambda a, b: a + b)
-    return out.withColumn(into, F.transform(total, lambda s: F.round(s, 9))).select(*df.columns, into)
+        totals = [t + F.coalesce(F.col(f"_w_{f}_{i}"), F.lit(0.0)) for i, t in enumerate(totals)]
+    return out.withColumn(into, F.array(*[_tidy(t) for t in totals])).select(*df.columns, into)

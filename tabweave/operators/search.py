@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.ordered import ONE_TASK_ROWS, running
 from tabweave.operators.mixture import REAL, candidate_cuts, mix_normalise, mix_size, mix_warmstart, source_counts
-from tabweave.operators.sample import HASH, with_hash
-from tabweave.operators.score import auc, bin_columns, per_source_score, score_arrays, weight_arrays
-from tabweave.session import freeze
+from tabweave.operators.sample import HASH, step, with_hash
+from tabweave.operators.score import auc, bin_columns, per_source_score, score_slots, wide_weights
+from tabweave.session import freeze, sizes_by
 
 # ---------------------------------------------------------------- scoring a batch
 
@@ -36,7 +36,7 @@ def score_candidates(
     count: a source row is placed in the interval between two neighbouring
     cuts of its source and counted there once; the training counts of a
     candidate are the running sums of those intervals. Rows are then scored
-    under all candidates at once as an array.
+    under all candidates at once.
     """
     spark = sources.sparkSession
     hashed = with_hash(sources, [*key, "source"], seed)
@@ -54,7 +54,8 @@ def score_candidates(
     by_source = {s: sorted(set(h)) for s, h in by_source.items()}
     level = F.lit(None).cast("int")
     for s, hs in by_source.items():
-        below = F.size(F.filter(F.array(*[F.lit(h) for h in hs]), lambda h: h < F.col(HASH)))
+        # a row at a cut belongs below it; md5 digits end in "f" at most
+        below = step(F.col(HASH), [h + "g" for h in hs])
         level = F.when(F.col("source") == F.lit(s), below).otherwise(level)
     placed = hashed.withColumn("_level", level)
 
@@ -74,16 +75,17 @@ def score_candidates(
         .select("_slot", "feature", "bin", F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0)).alias("weight"))
         .withColumn("feature", F.expr("substring(feature, 6)"))
     )
-    wide = freeze(weight_arrays(model, len(cands)))
+    wide = freeze(wide_weights(model, len(cands)))
+    bin_counts = sizes_by(wide, "feature")
 
     # 4. scores of real rows, and of source rows under the candidates they are in
-    on_real = score_arrays(real, wide, bins, len(cands)).select(
+    on_real = score_slots(real, wide, bins, len(cands), bin_counts).select(
         F.col(split).alias("split"), F.col(label).alias("_y"), F.posexplode("_scores").alias("_slot", "_s"))
     upto = F.lit(None).cast("array<int>")
     for s, hs in by_source.items():
         ends = {slots[cand]: hs.index(c.hash) for cand, c in cuts if c.group == s}
         upto = F.when(F.col("source") == F.lit(s), F.array(*[F.lit(ends.get(i, -1)) for i in range(len(cands))])).otherwise(upto)
-    own = score_arrays(placed.withColumn("_ends", upto), wide, bins, len(cands)).select(
+    own = score_slots(placed.withColumn("_ends", upto), wide, bins, len(cands), bin_counts).select(
         F.lit("train").alias("split"), F.col(label).alias("_y"), "_level", "_ends", F.posexplode("_scores").alias("_slot", "_s")
     ).where(F.col("_level") <= F.get("_ends", F.col("_slot"))).select("split", "_y", "_slot", "_s")
     scored = auc(on_real.unionByName(own), "_s", "_y", ["_slot", "split"])

@@ -170,10 +170,10 @@ def auc_sql(rows: str, by: str, score: str = "s", label: str = "y") -> str:
             FROM ({rows}) q0) q1 {group}"""
 
 
-def chain_sql(weights: str, score_of: str = "r") -> str:
+def chain_sql() -> str:
     """Sum of a row's weights in feature order, rounded as the scorer does."""
     total = " + ".join(["0.0::DOUBLE", *[f"coalesce(w_{f}.weight, 0.0::DOUBLE)" for f in BINS_SQL]])
-    return f"round({total}, 9)"
+    return f"floor(({total}) * 1e9::DOUBLE + 0.5::DOUBLE)::DOUBLE / 1e9::DOUBLE"
 
 
 def joins_sql(weights: str, on: str = "") -> str:

@@ -172,7 +172,7 @@ _MIX_SCORE = f"""WITH drawn AS MATERIALIZED (SELECT * REPLACE (list_position(['A
   eval AS (SELECT c.cand, p.split, p.label, {', '.join('p.' + c for c in NUMERIC)}, p.l_linestatus
       FROM {SPLIT} p CROSS JOIN (SELECT DISTINCT cand FROM drawn) c WHERE p.split <> 'train'
     UNION ALL SELECT cand, 'train', label, {', '.join(NUMERIC)}, l_linestatus FROM drawn),
-  scored AS (SELECT r.cand, r.split, r.label AS y, {chain_sql('w')} AS s FROM eval r {joins_sql('w', 'AND w_{f}.cand = r.cand')})
+  scored AS (SELECT r.cand, r.split, r.label AS y, {chain_sql()} AS s FROM eval r {joins_sql('w', 'AND w_{f}.cand = r.cand')})
   SELECT cand, split, round(auc, 9) AS auc FROM ({auc_sql('SELECT * FROM scored', 'cand, split')})"""
 
 _LINE = "PARTITION BY user_id ORDER BY ts, event_id"

@@ -92,10 +92,10 @@ def _rounded(sql: str) -> str:
 
 
 _TRAINED = f"parts AS MATERIALIZED {SPLIT}, train AS (SELECT * FROM parts WHERE split = 'train'), w AS MATERIALIZED ({_weights('train')})"
-_SCORED = f"SELECT split, label AS y, {chain_sql('w')} AS s FROM parts r {joins_sql('w')}"
+_SCORED = f"SELECT split, label AS y, {chain_sql()} AS s FROM parts r {joins_sql('w')}"
 _PER_SOURCE = f"""WITH parts AS MATERIALIZED {SPLIT}, src AS (SELECT *, l_linestatus = 'O' AS tuned FROM {SOURCES}),
   w AS MATERIALIZED ({_weights('src', 'source, tuned')}), names AS (SELECT DISTINCT source, tuned FROM src),
-  scored AS (SELECT n.source, n.tuned, r.split, label AS y, {chain_sql('w')} AS s FROM parts r CROSS JOIN names n
+  scored AS (SELECT n.source, n.tuned, r.split, label AS y, {chain_sql()} AS s FROM parts r CROSS JOIN names n
     {joins_sql('w', 'AND w_{f}.source = n.source AND w_{f}.tuned = n.tuned')} WHERE r.split <> 'train')
   SELECT source, tuned, split, round(auc, 9) AS auc FROM ({auc_sql('SELECT * FROM scored', 'source, tuned, split')})"""
 ORACLES = {

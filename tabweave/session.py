@@ -75,6 +75,12 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small_side(frozen: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(frozen: DataFrame, rows: int = BROADCAST_ROWS, counted: int | None = None) -> DataFrame:
     """Mark ``frozen`` for broadcast if its counted size allows it."""
-    return F.broadcast(frozen) if has_at_most(frozen, rows) else frozen
+    fits = counted <= rows if counted is not None else has_at_most(frozen, rows)
+    return F.broadcast(frozen) if fits else frozen
+
+
+def sizes_by(frozen: DataFrame, column: str) -> dict[str, int]:
+    """Rows per value of a column that names the parts of a fitted table."""
+    return {r[0]: r[1] for r in frozen.groupBy(column).count().collect()}
