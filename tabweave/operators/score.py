@@ -17,17 +17,18 @@ from tabweave.session import freeze, sizes_by, small_side
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = (), one_class: float | None = None,
-        **limits: int) -> DataFrame:
+        weight: str | None = None, **limits: int) -> DataFrame:
     """Exact ROC AUC per ``by`` group; tied scores count half.
 
     Rows are first counted by distinct score (combined map-side, so a score
     shared by a third of all rows is one row), then a running count of
-    negatives is taken along the scores. ``one_class`` is the value for a
-    group that holds a single class (null by default).
+    negatives is taken along the scores. ``weight`` is a column that says how
+    many rows a row stands for. ``one_class`` is the value for a group that
+    holds a single class (null by default).
     """
-    y = F.col(label).cast("long")
+    y, n = F.col(label).cast("long"), F.col(weight) if weight else F.lit(1)
     counted = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(*by, F.col(score).alias("_s")).agg(
-        F.sum(y).alias("_pos"), F.sum(1 - y).alias("_neg"))
+        F.sum(y * n).alias("_pos"), F.sum((1 - y) * n).alias("_neg"))
     ranked = running(counted, list(by), ["_s"], {"_below": ("sum", "_neg")}, include_current=False, **limits)
     return auc_from_counts(ranked, by, one_class)
 
@@ -42,48 +43,66 @@ def auc_from_counts(ranked: DataFrame, by: Sequence[str], one_class: float | Non
 
 
 # ---------------------------------------------------------------- log-odds
+#
+# The score of a row depends on its bins alone. So rows are counted by their
+# combination of bins first, and all fitting and scoring, under however many
+# models, works on those counts.
 
 
-def bin_columns(bins: dict[str, Column]) -> list[Column]:
-    return [b.cast("string").alias(f"_bin_{f}") for f, b in bins.items()]
+def binned(df: DataFrame, label: str, bins: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
+    """``keep``, ``_y``, a ``_bin_<feature>`` per feature, and ``_n`` rows: one
+    map-side-combined aggregate."""
+    columns = [b.cast("string").alias(f"_bin_{f}") for f, b in bins.items()]
+    rows = df.select(*keep, F.col(label).cast("long").alias("_y"), *columns)
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
 
 
-def log_odds_fit(train: DataFrame, label: str, bins: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """``ln((pos+1)/(neg+1))`` per feature bin: one scan, one small aggregate."""
-    y = F.col(label).cast("long")
-    long = train.select(*by, y.alias("_y"), *bin_columns(bins)).unpivot(
-        [*by, "_y"], [f"_bin_{f}" for f in bins], "feature", "bin").where(F.col("bin").isNotNull())
-    return long.groupBy(*by, "feature", "bin").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")).select(
-        *by, F.expr("substring(feature, 6)").alias("feature"), "bin", "pos", "neg",
-        F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0)).alias("weight"))
+def log_odds_fit(counts: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``ln((pos+1)/(neg+1))`` per feature bin, from binned counts."""
+    long = counts.select(*by, "_y", "_n", *[F.col(f"_bin_{f}").alias(f) for f in features]).unpivot(
+        [*by, "_y", "_n"], list(features), "feature", "bin").where(F.col("bin").isNotNull())
+    sums = long.groupBy(*by, "feature", "bin").agg(
+        F.sum(F.col("_y") * F.col("_n")).alias("pos"), F.sum((1 - F.col("_y")) * F.col("_n")).alias("neg"))
+    return sums.withColumn("weight", log_odds_weight())
 
 
-def _tidy(total: Column) -> Column:
-    """Nine digits. Sums that are equal but for the last bits must tie."""
-    return F.floor(total * 1e9 + 0.5).cast("double") / 1e9
+def log_odds_weight() -> Column:
+    return F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0))
 
 
-def log_odds_score(df: DataFrame, model: DataFrame, bins: dict[str, Column], into: str = "score") -> DataFrame:
-    """Sum of the weights of a row's bins; unseen bins add nothing.
+def log_odds_slots(model: DataFrame, slots: int) -> DataFrame:
+    """(feature, bin) -> columns w0, w1, ...: one weight per slot (0 where a
+    slot has none). One row per bin."""
+    return model.groupBy("feature", "bin").agg(*[
+        F.coalesce(F.max(F.when(F.col("_slot") == i, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i in range(slots)])
+
+
+def log_odds_score(counts: DataFrame, wide: DataFrame, features: Sequence[str], slots: int, into: str = "_scores") -> DataFrame:
+    """Scores of binned rows under all slots, as one array; unseen bins add 0.
 
     One join per feature against a table with one row per bin, so rows are
-    neither unpivoted nor shuffled while the bins are few.
+    neither unpivoted nor shuffled while the bins are few. The sums are spelled
+    out per slot, which keeps them in generated code.
     """
-    out = df.select("*", *bin_columns(bins))
-    total = F.lit(0.0)
-    sizes = sizes_by(model, "feature")
-    for f in bins:
-        side = small_side(model.where(F.col("feature") == f).select(
-            F.col("bin").alias(f"_k_{f}"), F.col("weight").alias(f"_w_{f}")), counted=sizes.get(f, 0))
+    out = counts
+    sizes = sizes_by(wide, "feature")
+    totals = [F.lit(0.0)] * slots
+    for f in features:
+        side = small_side(wide.where(F.col("feature") == f).select(
+            F.col("bin").alias(f"_k_{f}"), *[F.col(f"w{i}").alias(f"_w_{f}_{i}") for i in range(slots)]), counted=sizes.get(f, 0))
         out = out.join(side, out[f"_bin_{f}"] == side[f"_k_{f}"], "left")
-        total = total + F.coalesce(F.col(f"_w_{f}"), F.lit(0.0))
-    return out.withColumn(into, _tidy(total)).select(*df.columns, into)
+        totals = [t + F.coalesce(F.col(f"_w_{f}_{i}"), F.lit(0.0)) for i, t in enumerate(totals)]
+    # Nine digits: sums that are equal but for the last bits must tie.
+    tidy = [F.floor(t * 1e9 + 0.5).cast("double") / 1e9 for t in totals]
+    return out.select(*counts.columns, F.array(*tidy).alias(into))
 
 
-def log_odds_auc(train: DataFrame, test: DataFrame, label: str, bins: dict[str, Column],
-                 by: Sequence[str] = ()) -> DataFrame:
-    model = freeze(log_odds_fit(train, label, bins))
-    return auc(log_odds_score(test, model, bins), "score", label, by)
+def log_odds_auc(parts: DataFrame, label: str, bins: dict[str, Column], split: str = "split", train: str = "train") -> DataFrame:
+    """Fit on the train part, AUC of every part."""
+    counts = freeze(binned(parts, label, bins, [split]))
+    model = log_odds_fit(counts.where(F.col(split) == train), list(bins)).withColumn("_slot", F.lit(0))
+    scored = log_odds_score(counts, freeze(log_odds_slots(model, 1)), list(bins), 1)
+    return auc(scored.withColumn("_s", F.get("_scores", F.lit(0))), "_s", "_y", [split], weight="_n")
 
 
 # ---------------------------------------------------------------- tree models
@@ -174,11 +193,11 @@ def per_source_score(sources: DataFrame, real: DataFrame, label: str, bins: dict
                      source: Sequence[str] = ("source",), split: str = "split") -> DataFrame:
     """AUC of every source (and variant) on every real split, in one job.
 
-    Every source gets its own log-odds table; a real row is scored against all
-    of them at once through a weight per source, and only then spread out by
-    source, straight into a map-side-combined count by score.
+    Every source gets its own weights; real rows, counted by bins, are scored
+    under all of them at once and only then spread out by source.
     """
-    model = freeze(log_odds_fit(sources, label, bins, by=list(source)))
+    features = list(bins)
+    model = freeze(log_odds_fit(binned(sources, label, bins, source), features, by=list(source)))
     names = [tuple(r) for r in model.select(*source).distinct().orderBy(*source).collect()]
     place = F.lit(None).cast("int")
     for i, name in enumerate(names):
@@ -186,33 +205,10 @@ def per_source_score(sources: DataFrame, real: DataFrame, label: str, bins: dict
         for c, v in zip(source, name):
             same = same & F.col(c).eqNullSafe(F.lit(v))
         place = F.when(same, F.lit(i)).otherwise(place)
-    wide = freeze(wide_weights(model.withColumn("_slot", place), len(names)))
-    scored = score_slots(real, wide, bins, len(names), sizes_by(wide, "feature"))
-    spread = scored.select(split, F.col(label).alias("_y"), F.posexplode("_scores").alias("_slot", "_s"))
-    out = auc(spread, "_s", "_y", ["_slot", split])
+    wide = freeze(log_odds_slots(model.withColumn("_slot", place), len(names)))
+    scored = log_odds_score(binned(real, label, bins, [split]), wide, features, len(names))
+    # outer: the arrays are never empty, and no filter has to check that
+    flat = scored.select(split, "_y", "_n", F.posexplode_outer("_scores").alias("_slot", "_s"))
+    out = auc(flat, "_s", "_y", ["_slot", split], weight="_n")
     labels = real.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], ["_slot", *source])
-    return out.join(F.broadcast(labels), "_slot").select(*source, split, "auc")
-
-
-def wide_weights(model: DataFrame, slots: int) -> DataFrame:
-    """(feature, bin) -> columns w0, w1, ...: one weight per slot (0 where a
-    slot has none). One row per bin."""
-    return model.groupBy("feature", "bin").agg(*[
-        F.coalesce(F.max(F.when(F.col("_slot") == i, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i in range(slots)])
-
-
-def score_slots(df: DataFrame, wide: DataFrame, bins: dict[str, Column], slots: int, sizes: dict[str, int],
-                into: str = "_scores") -> DataFrame:
-    """Scores of a row under all slots, as one array.
-
-    The sums are spelled out per slot, which keeps them in generated code; an
-    array function would be interpreted element by element.
-    """
-    out = df.select("*", *bin_columns(bins))
-    totals = [F.lit(0.0)] * slots
-    for f in bins:
-        side = small_side(wide.where(F.col("feature") == f).select(
-            F.col("bin").alias(f"_k_{f}"), *[F.col(f"w{i}").alias(f"_w_{f}_{i}") for i in range(slots)]), counted=sizes.get(f, 0))
-        out = out.join(side, out[f"_bin_{f}"] == side[f"_k_{f}"], "left")
-        totals = [t + F.coalesce(F.col(f"_w_{f}_{i}"), F.lit(0.0)) for i, t in enumerate(totals)]
-    return out.withColumn(into, F.array(*[_tidy(t) for t in totals])).select(*df.columns, into)
+    return out.join(F.broadcast(labels), "_slot").select(*source, split, "auc")  # a row per source

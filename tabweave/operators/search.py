@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from tabweave.functions.ordered import ONE_TASK_ROWS, running
 from tabweave.operators.mixture import REAL, candidate_cuts, mix_normalise, mix_size, mix_warmstart, source_counts
 from tabweave.operators.sample import HASH, step, with_hash
-from tabweave.operators.score import auc, bin_columns, per_source_score, score_slots, wide_weights
-from tabweave.session import freeze, sizes_by
+from tabweave.operators.score import (
+    auc, binned, log_odds_fit, log_odds_score, log_odds_slots, log_odds_weight, per_source_score)
+from tabweave.session import freeze
 
 # ---------------------------------------------------------------- scoring a batch
 
@@ -30,15 +31,22 @@ def score_candidates(
     seed: object = 5, split: str = "split",
 ) -> DataFrame:
     """``(cand, split, auc)`` of every candidate on its own rows (``train``) and
-    on every split of ``real``, with the log-odds scorer.
+    on every split of ``real``, with the log-odds scorer."""
+    return score_batch(sources, binned(real, label, bins, [split]).withColumnRenamed(split, "split"),
+                       label, bins, sizes, key, seed)
 
-    The cost does not grow with candidates times source rows until the last
-    count: a source row is placed in the interval between two neighbouring
-    cuts of its source and counted there once; the training counts of a
-    candidate are the running sums of those intervals. Rows are then scored
-    under all candidates at once.
+
+def score_batch(sources: DataFrame, real_counts: DataFrame, label: str, bins: dict[str, Column], sizes: DataFrame,
+                key: Sequence[str], seed: object = 5) -> DataFrame:
+    """The same with the real rows already binned.
+
+    The work does not grow with candidates times rows: a source row is placed
+    in the interval between two neighbouring cuts of its source and counted
+    there by bins, once; a candidate's rows are the counts of the intervals up
+    to its own cut. Only counts are scored.
     """
     spark = sources.sparkSession
+    features = list(bins)
     hashed = with_hash(sources, [*key, "source"], seed)
     cuts = candidate_cuts(hashed, sizes)
     for _, c in cuts:
@@ -54,41 +62,27 @@ def score_candidates(
     by_source = {s: sorted(set(h)) for s, h in by_source.items()}
     level = F.lit(None).cast("int")
     for s, hs in by_source.items():
-        # a row at a cut belongs below it; md5 digits end in "f" at most
-        below = step(F.col(HASH), [h + "g" for h in hs])
-        level = F.when(F.col("source") == F.lit(s), below).otherwise(level)
-    placed = hashed.withColumn("_level", level)
-
-    # 2. counts per interval and bin: one scan, bounded output
-    y = F.col(label).cast("long")
-    counted = freeze(
-        placed.where(F.col("_level").isNotNull()).select("source", "_level", y.alias("_y"), *bin_columns(bins))
-        .unpivot(["source", "_level", "_y"], [f"_bin_{f}" for f in bins], "feature", "bin").where(F.col("bin").isNotNull())
-        .groupBy("source", "_level", "feature", "bin").agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
-    )
-    # 3. a candidate owns the intervals up to its own cut
-    reach = spark.createDataFrame(
+        # a row at a cut belongs below it, and no hash digit reaches "g"
+        level = F.when(F.col("source") == F.lit(s), step(F.col(HASH), [h + "g" for h in hs])).otherwise(level)
+    counts = freeze(binned(hashed.withColumn("_level", level), label, bins, ["source", "_level"]))
+
+    # 2. a candidate owns the intervals up to its own cut
+    reach = spark.createDataFrame(  # a row per candidate and source
         [(slots[cand], c.group, by_source[c.group].index(c.hash)) for cand, c in cuts], "_slot int, source string, _upto int")
-    model = (
-        counted.join(F.broadcast(reach), "source").where(F.col("_level") <= F.col("_upto"))
-        .groupBy("_slot", "feature", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .select("_slot", "feature", "bin", F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0)).alias("weight"))
-        .withColumn("feature", F.expr("substring(feature, 6)"))
-    )
-    wide = freeze(wide_weights(model, len(cands)))
-    bin_counts = sizes_by(wide, "feature")
-
-    # 4. scores of real rows, and of source rows under the candidates they are in
-    on_real = score_slots(real, wide, bins, len(cands), bin_counts).select(
-        F.col(split).alias("split"), F.col(label).alias("_y"), F.posexplode("_scores").alias("_slot", "_s"))
-    upto = F.lit(None).cast("array<int>")
-    for s, hs in by_source.items():
-        ends = {slots[cand]: hs.index(c.hash) for cand, c in cuts if c.group == s}
-        upto = F.when(F.col("source") == F.lit(s), F.array(*[F.lit(ends.get(i, -1)) for i in range(len(cands))])).otherwise(upto)
-    own = score_slots(placed.withColumn("_ends", upto), wide, bins, len(cands), bin_counts).select(
-        F.lit("train").alias("split"), F.col(label).alias("_y"), "_level", "_ends", F.posexplode("_scores").alias("_slot", "_s")
-    ).where(F.col("_level") <= F.get("_ends", F.col("_slot"))).select("split", "_y", "_slot", "_s")
-    scored = auc(on_real.unionByName(own), "_s", "_y", ["_slot", "split"])
+    owned = (F.col("_level") <= F.col("_upto"))
+    per_level = log_odds_fit(counts, features, ["source", "_level"])
+    model = per_level.join(F.broadcast(reach), "source").where(owned).groupBy("_slot", "feature", "bin").agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).withColumn("weight", log_odds_weight())
+    wide = freeze(log_odds_slots(model, len(cands)))
+
+    # 3. scores under all candidates at once
+    def scores(frame: DataFrame, keep: Sequence[str]) -> DataFrame:
+        scored = log_odds_score(frame, wide, features, len(cands))
+        return scored.select(*keep, "_y", "_n", F.posexplode_outer("_scores").alias("_slot", "_s"))
+
+    own = scores(counts, ["source", "_level"]).join(F.broadcast(reach), ["source", "_slot"]).where(owned)
+    both = scores(real_counts, ["split"]).unionByName(own.select(F.lit("train").alias("split"), "_y", "_n", "_slot", "_s"))
+    scored = auc(both, "_s", "_y", ["_slot", "split"], weight="_n")
     names = spark.createDataFrame([(i, c) for c, i in slots.items()], "_slot int, cand int")
     guarded = F.when((F.col("split") == "train") & F.col("auc").isNull(), F.lit(0.5)).otherwise(F.col("auc"))
     return scored.join(F.broadcast(names), "_slot").select("cand", "split", guarded.alias("auc"))
@@ -146,7 +140,9 @@ def mix_search(
         raise ValueError(f"an augmented share needs a source named {REAL}")
     used = [*synthetic, REAL] if augmented > 0 else synthetic
     rows = freeze(source_counts(sources))
-    single = per_source_score(sources.where(F.col("source") != REAL), real.where(F.col(split) == objective), label, bins, split=split)
+    judge = real.where(F.col(split) == objective)
+    judge_counts = freeze(binned(judge, label, bins, [split]).withColumnRenamed(split, "split"))
+    single = per_source_score(sources.where(F.col("source") != REAL), judge, label, bins, split=split)
     single = single.withColumnRenamed("source", "_source").select(F.col("_source").alias("source"), "auc")
     start = {r["source"]: r["alpha"] for r in mix_warmstart(single, augmented).collect()}
     rng = np.random.default_rng(seed)
@@ -172,7 +168,7 @@ def mix_search(
         table = mix_normalise(candidate_table(spark, chosen, used), augmented)
         sizes = freeze(mix_size(table, rows, size))
         scored = {(r["cand"], r["split"]): r["auc"] for r in
-                  score_candidates(sources, real.where(F.col(split) == objective), label, bins, sizes, key, seed, split).collect()}
+                  score_batch(sources, judge_counts, label, bins, sizes, key, seed).collect()}
         for i, vector in enumerate(chosen, start=1):
             val = scored.get((i, objective))
             trials.append((vector, scored.get((i, "train"), 0.5), float(val) if val is not None else 0.5))

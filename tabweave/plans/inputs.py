@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabweave.session import spread
 from tabweave.sources.readers import read_table
 
 # unique only as a whole
@@ -21,7 +22,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as a labelled table: numeric and text columns, a 0/1 label."""
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         *KEY, *NUMERIC, "l_linestatus", (F.col("l_returnflag") == "R").cast("int").alias("label"))
 
 

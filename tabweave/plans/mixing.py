@@ -98,7 +98,7 @@ def mix_search(spark: SparkSession, folder: str) -> DataFrame:
     size = mixture.source_counts(rows).agg(F.min("rows")).first()[0]
     # equal sources: the smallest one's size of each
     even = mixture.mix_draw(rows, freeze(mixture.source_counts(rows).select(
-        F.lit(1).alias("cand"), "source", F.lit(size).alias("size"), "rows")), KEY).drop("cand")
+        F.lit(1).alias("cand"), "source", F.lit(size).alias("size"), "rows")), KEY, seed="even").drop("cand")
     found = search.mix_search(freeze(even), freeze(_real(spark, folder)), "label", bins(), KEY, size=size, batch=8, max_trials=16)
     return found.history
 
@@ -111,7 +111,8 @@ def hp_search(spark: SparkSession, folder: str) -> DataFrame:
 
     def evaluate(setting):
         made = draw_copula(spark, fit_copula(train, NUMERIC, ["l_linestatus", "label"], setting["grid"]), n)
-        return log_odds_auc(made, val, "label", bins()).first()["auc"]
+        both = made.drop("row_id").withColumn("split", F.lit("train")).unionByName(val.select(*NUMERIC, "l_linestatus", "label", "split"))
+        return log_odds_auc(both, "label", bins()).where("split = 'val'").first()["auc"]
 
     return search.hp_search([{"grid": 101}, {"grid": 11}, {"grid": 33}], evaluate, spark)
 

@@ -30,15 +30,14 @@ def train_auc_guard(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_odds(spark: SparkSession, folder: str) -> DataFrame:
     """Split, fit bin weights on the training part, AUC on the validation part."""
-    parts = _parts(spark, folder)
-    out = score.log_odds_auc(parts.where("split = 'train'"), parts.where("split = 'val'"), "label", bins())
-    return out.withColumn("auc", F.round("auc", 9))
+    parts = _parts(spark, folder).where("split <> 'test'")
+    out = score.log_odds_auc(parts, "label", bins()).where("split = 'val'")
+    return out.select("positives", "negatives", F.round("auc", 9).alias("auc"))
 
 
 def score_trainval(spark: SparkSession, folder: str) -> DataFrame:
     """One model, all splits scored in one pass."""
-    parts = _parts(spark, folder)
-    out = score.log_odds_auc(parts.where("split = 'train'"), parts, "label", bins(), by=["split"])
+    out = score.log_odds_auc(_parts(spark, folder), "label", bins())
     return out.withColumn("auc", F.round("auc", 9))
 
 

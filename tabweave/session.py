@@ -84,3 +84,14 @@ def small_side(frozen: DataFrame, rows: int = BROADCAST_ROWS, counted: int | Non
 def sizes_by(frozen: DataFrame, column: str) -> dict[str, int]:
     """Rows per value of a column that names the parts of a fitted table."""
     return {r[0]: r[1] for r in frozen.groupBy(column).count().collect()}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores.
+
+    A file with a single row group is one task however much is computed per
+    row. Inputs that already come in as many partitions as there are cores,
+    as any large table does, are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
