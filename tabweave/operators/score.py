@@ -52,9 +52,10 @@ def auc_from_counts(ranked: DataFrame, by: Sequence[str], one_class: float | Non
 def binned(df: DataFrame, label: str, bins: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
     """``keep``, ``_y``, a ``_bin_<feature>`` per feature, and ``_n`` rows: one
     map-side-combined aggregate."""
-    columns = [b.cast("string").alias(f"_bin_{f}") for f, b in bins.items()]
-    rows = df.select(*keep, F.col(label).cast("long").alias("_y"), *columns)
-    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.select(*keep, F.col(label).cast("long").alias("_y"), *[b.alias(f"_bin_{f}") for f, b in bins.items()])
+    counts = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    # to text only now, once per combination instead of once per row
+    return counts.select(*keep, "_y", *[F.col(f"_bin_{f}").cast("string").alias(f"_bin_{f}") for f in bins], "_n")
 
 
 def log_odds_fit(counts: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 from tabweave.operators import generate
 from tabweave.operators.sample import class_sizes
 from tabweave.plans.inputs import NUMERIC, labelled, skewed
+from tabweave.session import spread
 
 
 def gen_copula(spark: SparkSession, folder: str) -> DataFrame:
     """As many synthetic rows as there are real ones."""
-    rows = labelled(spark, folder)
+    rows = spread(labelled(spark, folder))
     return generate.gen_copula(rows, rows.count(), NUMERIC, ["l_linestatus", "label"])
 
 

@@ -13,14 +13,14 @@ from tabweave.plans.inputs import (
     EXPERIMENTS, KEY, METHODS, NUMERIC, SOURCES, SPLIT, TRIALS, auc_sql, bins, chain_sql, experiments,
     joins_sql, labelled, long_bins_sql, sources, trials)
 from tabweave.plans.inputs import table as read
-from tabweave.session import freeze
+from tabweave.session import freeze, spread
 
 
 def _weights(spark: SparkSession, folder: str, cand: str) -> DataFrame:
     """A weight per candidate and source: the rows they share."""
-    return sources(spark, folder).join(read(spark, folder, "lineitem").select(*KEY, "l_returnflag"), KEY).groupBy(
-        F.col(cand).alias("cand"), "source").agg(F.count(F.lit(1)).cast("double").alias("alpha")).withColumn(
-            "ordinal", F.substring("source", 2, 1).cast("int"))
+    ordinal = F.least("l_linenumber", F.lit(4))
+    return read(spark, folder, "lineitem").groupBy(F.col(cand).alias("cand"), ordinal.alias("ordinal")).agg(
+        F.count(F.lit(1)).cast("double").alias("alpha")).withColumn("source", F.concat(F.lit("s"), F.col("ordinal").cast("string")))
 
 
 def _even_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,7 +39,7 @@ def mix_normalise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mix_augment(spark: SparkSession, folder: str) -> DataFrame:
-    out = mixture.mix_augment(_weights(spark, folder, "l_suppkey"), 0.2)
+    out = mixture.mix_augment(_weights(spark, folder, "l_suppkey").select("cand", "ordinal", "source", "alpha"), 0.2)
     return out.select("cand", "ordinal", "source", F.round("alpha", 9).alias("alpha"))
 
 
@@ -105,7 +105,7 @@ def mix_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def hp_search(spark: SparkSession, folder: str) -> DataFrame:
     """Copula settings judged by the log-odds scorer on validation rows."""
-    parts = freeze(split3(labelled(spark, folder), KEY))
+    parts = spread(freeze(split3(labelled(spark, folder), KEY)))
     train, val = parts.where("split = 'train'"), parts.where("split = 'val'")
     n = train.count()
 

@@ -10,7 +10,7 @@ from tabweave.operators.generate import gen_copula
 from tabweave.operators.sample import split3
 from tabweave.plans.inputs import (
     KEY, LABELLED, NUMERIC, SOURCES, SPLIT, auc_sql, bins, chain_sql, joins_sql, labelled, long_bins_sql, sources, table)
-from tabweave.session import freeze
+from tabweave.session import freeze, spread
 
 
 def _parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,7 @@ def per_source_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def tstr_score(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted trees on copula rows, AUC on real validation and test rows."""
-    parts = freeze(_parts(spark, folder))
+    parts = spread(freeze(_parts(spark, folder)))
     train = parts.where("split = 'train'")
     made = freeze(gen_copula(train, train.count(), NUMERIC, ["l_linestatus", "label"]).drop("row_id"))
     return score.tstr_score(made, parts.where("split <> 'train'").select(*NUMERIC, "l_linestatus", "label", "split"),
@@ -60,7 +60,7 @@ def tstr_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def real_baseline(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted trees on real rows; AUC and row counts of the three splits."""
-    parts = freeze(_parts(spark, folder).select(*NUMERIC, "l_linestatus", "label", "split"))
+    parts = spread(freeze(_parts(spark, folder).select(*NUMERIC, "l_linestatus", "label", "split")))
     return score.score_trainval(parts, "label", rounds=10, depth=4)
 
 
@@ -69,7 +69,7 @@ def tree_score(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"), "o_orderpriority",
         (F.col("o_orderstatus") == "F").cast("int").alias("label"))
-    parts = freeze(split3(orders, ["o_orderkey"]))
+    parts = spread(freeze(split3(orders, ["o_orderkey"])))
     return score.tree_score(parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split"),
                             "label", depth=6, ignore=["o_orderkey"])
 

@@ -87,11 +87,11 @@ def sizes_by(frozen: DataFrame, column: str) -> dict[str, int]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small input out to all cores.
+    """Deal the rows of a small scan or frozen table out to all cores.
 
-    A file with a single row group is one task however much is computed per
-    row. Inputs that already come in as many partitions as there are cores,
-    as any large table does, are left alone.
+    For work that is heavy per row: a file with a single row group is one task
+    however much there is to compute. Tables that come in as many partitions
+    as there are cores, as any large one does, are left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
