@@ -52,9 +52,11 @@ def running(
         return frozen
 
     # The range number is only meaningful for this one physical layout, so it
-    # is frozen together with the rows before anything reads it twice.
+    # is frozen together with the rows before anything reads it twice. Groups
+    # that share an order value are told apart by ``by``, so a value that a
+    # third of all rows have (the first trial of everybody) is split as well.
     ranged = freeze(
-        frozen.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id())
+        frozen.repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id())
     )
     totals = ranged.groupBy(*by, "_range").agg(
         *[_COMBINE[kind][0](value).alias(f"_total_{name}") for name, (kind, value) in outputs.items()]

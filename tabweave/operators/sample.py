@@ -57,13 +57,14 @@ def _text(value: object) -> str:
 def _windows(places: Sequence[int], rows: int) -> list[tuple[int, int]]:
     """Where in 32-bit hash space the places must lie, as disjoint ranges.
 
-    Hashes are uniform, so place p of N is within 8 standard deviations of
-    p/N. A group of copies can move it out of there; that case is noticed.
+    Hashes are uniform, so place p of N is within 5 standard deviations of
+    p/N but once in a million times. That case, and groups of copies that move
+    a place out of its window, are noticed and handled.
     """
     ranges: list[tuple[int, int]] = []
     for p in sorted(places):
         q = p / rows
-        slack = 8.0 * math.sqrt(q * (1.0 - q) / rows) + 4.0 / rows
+        slack = 5.0 * math.sqrt(q * (1.0 - q) / rows) + 4.0 / rows
         low, high = max(0, math.floor((q - slack) * 2**32)), min(2**32, math.ceil((q + slack) * 2**32) + 1)
         if ranges and low <= ranges[-1][1]:
             ranges[-1] = (ranges[-1][0], max(high, ranges[-1][1]))
@@ -125,8 +126,14 @@ def _place(rows: DataFrame, wanted: Mapping[str, Sequence[int]],
         slot = F.when(F.col("_g") == F.lit(g), step(F.col(HASH), bounds)).otherwise(slot)
     listed = rows.withColumn("_slot", slot).select(
         "_g", "_slot", F.when(F.col("_slot") % 2 == 1, F.col(HASH)).alias("_h"))
-    upto = Window.partitionBy("_g").orderBy("_slot", "_h").rowsBetween(Window.unboundedPreceding, 0)
-    runs = listed.groupBy("_g", "_slot", "_h").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(upto))
+    runs = listed.groupBy("_g", "_slot", "_h").agg(F.count(F.lit(1)).alias("n"))
+    # running counts window by window; the windows themselves are two per place
+    inside = Window.partitionBy("_g", "_slot").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_g").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = runs.groupBy("_g", "_slot").agg(F.sum("n").alias("_t")).select(
+        "_g", "_slot", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
+    runs = runs.withColumn("_in", F.sum("n").over(inside)).join(F.broadcast(slots), ["_g", "_slot"]).withColumn(
+        "upto", F.col("_before") + F.col("_in"))
     want = rows.sparkSession.createDataFrame([(g, p) for g, places in wanted.items() for p in places], "_g string, place long")
     hits = runs.join(F.broadcast(want), "_g").where(  # a row per wanted place, listed by the caller
         (F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n")) & F.col("_h").isNotNull())

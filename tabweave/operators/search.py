@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.ordered import ONE_TASK_ROWS, running
-from tabweave.operators.mixture import REAL, candidate_cuts, mix_normalise, mix_size, mix_warmstart, source_counts
+from tabweave.operators.mixture import (
+    REAL, candidate_cuts, mix_draw, mix_normalise, mix_size, mix_warmstart, source_counts)
 from tabweave.operators.sample import HASH, step, with_hash
 from tabweave.operators.score import (
-    auc, binned, log_odds_fit, log_odds_score, log_odds_slots, log_odds_weight, per_source_score)
+    auc, binned, log_odds_fit, log_odds_score, log_odds_slots, log_odds_weight, per_source_score, tstr_score)
 from tabweave.session import freeze
 
 # ---------------------------------------------------------------- scoring a batch
@@ -131,7 +132,9 @@ def mix_search(
 
     The first batch holds the warm start, every single source and uniform
     draws; later batches draw around the best so far. A batch is scored as one
-    set of Spark jobs; the driver keeps candidates and scores only.
+    set of Spark jobs; the driver keeps candidates and scores only. What the
+    batches read (key, label and bins of the source rows, counts of the real
+    rows) is written once.
     """
     spark = sources.sparkSession
     names = sorted(r[0] for r in source_counts(sources).collect())
@@ -145,6 +148,8 @@ def mix_search(
     single = per_source_score(sources.where(F.col("source") != REAL), judge, label, bins, split=split)
     single = single.withColumnRenamed("source", "_source").select(F.col("_source").alias("source"), "auc")
     start = {r["source"]: r["alpha"] for r in mix_warmstart(single, augmented).collect()}
+    slim = freeze(sources.select("source", *key, label, *[b.alias(f"_in_{f}") for f, b in bins.items()]))
+    slim_bins = {f: F.col(f"_in_{f}") for f in bins}
     rng = np.random.default_rng(seed)
     share = 1.0 - augmented
 
@@ -168,7 +173,7 @@ def mix_search(
         table = mix_normalise(candidate_table(spark, chosen, used), augmented)
         sizes = freeze(mix_size(table, rows, size))
         scored = {(r["cand"], r["split"]): r["auc"] for r in
-                  score_batch(sources, judge_counts, label, bins, sizes, key, seed).collect()}
+                  score_batch(slim, judge_counts, label, slim_bins, sizes, key, seed).collect()}
         for i, vector in enumerate(chosen, start=1):
             val = scored.get((i, objective))
             trials.append((vector, scored.get((i, "train"), 0.5), float(val) if val is not None else 0.5))
@@ -182,6 +187,27 @@ def mix_search(
     return SearchResult(history, best, dict(zip(used, kept[top][0])), len(kept))
 
 
+def rescore(found: SearchResult, sources: DataFrame, real: DataFrame, label: str, key: Sequence[str], *,
+            size: int | None = None, top: int = 3, split: str = "split", rounds: int = 20, depth: int = 6,
+            ignore: Sequence[str] = (), seed: object = 5) -> DataFrame:
+    """Draw the best few mixtures of a search and score them with boosted
+    trees: ``(trial, split, auc)``. ``top`` models are trained one by one."""
+    spark = sources.sparkSession
+    names = list(found.weights)
+    alphas = [f"alpha_{j + 1}" for j in range(len(names))]
+    best = found.history.orderBy(F.desc("val_auc"), "trial").limit(top).collect()
+    rows = [(r["trial"], j + 1, s, float(r[a])) for r in best for j, (s, a) in enumerate(zip(names, alphas))]
+    sizes = freeze(mix_size(spark.createDataFrame(rows, "cand int, ordinal int, source string, alpha double"),
+                            freeze(source_counts(sources)), size))
+    out = None
+    for r in best:
+        drawn = freeze(mix_draw(sources, sizes.where(F.col("cand") == r["trial"]), key, seed).drop("cand", "source"))
+        part = tstr_score(drawn, real, label, by=[split], rounds=rounds, depth=depth, ignore=[*ignore, *key]).select(
+            F.lit(r["trial"]).alias("trial"), F.col(split).alias("split"), "auc")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def hp_search(settings: Sequence[Mapping[str, object]], evaluate: Callable[[Mapping[str, object]], float],
               spark: SparkSession, patience: int = 10) -> DataFrame:
     """Try generator settings in order (the first ones are the defaults) until

@@ -89,6 +89,17 @@ def test_search_prefers_the_informative_source(spark):
     assert len(history) == found.stopped_at <= 8
     assert found.best["val_auc"] == max(r["val_auc"] for r in history) > 0.95
     assert abs(sum(found.weights.values()) - 1) < 1e-9 and found.weights["good"] > 0.3
+    again = search.rescore(found, src, real, "y", ["id"], top=2, rounds=2, depth=2).collect()
+    assert len(again) == 2 and all(r["auc"] > 0.9 and r["split"] == "val" for r in again)
+
+
+def test_augmented_search_keeps_the_real_share(spark):
+    rows = [(s, i, float(i % 7), int(i % 7 > 3)) for s in ("a", "b", "real") for i in range(200)]
+    src = spark.createDataFrame(rows, "source string, id int, x double, y int")
+    real = src.where("source = 'real'").select("x", "y").withColumn("split", F.lit("val"))
+    found = search.mix_search(src, real, "y", {"x": F.col("x").cast("int")}, ["id"], augmented=0.25, batch=4, max_trials=4)
+    assert found.weights["real"] == 0.25 and abs(sum(found.weights.values()) - 1) < 1e-9
+    assert {r["alpha_3"] for r in found.history.collect()} == {0.25}
 
 
 def test_hp_search_stops(spark):
