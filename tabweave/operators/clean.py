@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweave.functions.rounding import half_even
+
 
 def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields
@@ -115,6 +117,6 @@ def add_const(df: DataFrame, **values: object) -> DataFrame:
 def round_all(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round every fractional column half-to-even, leave the others."""
     return _replace(df, {
-        f.name: F.bround(f.name, digits)
+        f.name: F.bround(f.name, digits) if isinstance(f.dataType, T.DecimalType) else half_even(F.col(f.name), digits)
         for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))
     })

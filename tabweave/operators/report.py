@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.normal import student_upper
+from tabweave.functions.rounding import half_even
 
 # ---------------------------------------------------------------- rows per group
 
@@ -85,7 +86,7 @@ def agg_value_counts(df: DataFrame, column: str) -> DataFrame:
     """Rows and percentage (2 digits) per value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(column)).scalar()
-    return counts.select(column, "n", F.bround(100.0 * F.col("n") / total, 2).alias("percent"))
+    return counts.select(column, "n", half_even(F.col("n") / total * 100.0, 2).alias("percent"))
 
 
 def agg_count_mean(df: DataFrame, column: str, value: str) -> DataFrame:
@@ -168,7 +169,7 @@ def alpha_long(df: DataFrame, by: Sequence[str], methods: Sequence[str], value:
 
 
 def alpha_percent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.bround(100.0 * F.col(c), 2) for c in columns})
+    return df.withColumns({c: half_even(100.0 * F.col(c), 2) for c in columns})
 
 
 def history_series(df: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -150,6 +150,15 @@ def bins() -> dict[str, Column]:
     }
 
 
+def half_even_sql(x: str, digits: int) -> str:
+    """Half-to-even by the exact value of the double ``x``."""
+    scale, twice, split = f"1e{digits}::DOUBLE", f"2e{digits}::DOUBLE", f"(({x}) * 134217729.0::DOUBLE)"
+    high = f"({split} - ({split} - ({x})))"
+    below = f"floor(({x}) * {scale})"
+    side = f"(({high} * {twice} - (2 * {below} + 1)) + (({x}) - {high}) * {twice})"
+    return f"({below} + CASE WHEN {side} > 0 OR ({side} = 0 AND {below}::BIGINT % 2 <> 0) THEN 1 ELSE 0 END) / {scale}"
+
+
 def long_bins_sql(rows: str, keep: str) -> str:
     """The (feature, bin) rows of a table with a label."""
     return " UNION ALL ".join(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.operators import clean
-from tabweave.plans.inputs import EXPERIMENTS, KEY, LABELLED, METRICS, experiments, labelled, table
+from tabweave.plans.inputs import EXPERIMENTS, KEY, LABELLED, METRICS, experiments, half_even_sql, labelled, table
 
 
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,5 +136,5 @@ ORACLES = {
       floor(100.0::DOUBLE * tuned_test_auc)::BIGINT AS whole FROM {EXPERIMENTS} e""",
     "fn_string": """SELECT p_partkey, concat_ws('_', 'tuned', p_brand, p_type) AS name, contains(p_type, 'ECON') AS economy,
       replace(p_brand, 'Brand#', 'B') AS short FROM part""",
-    "round_all": f"SELECT data, method, experiment, {', '.join(f'round_even({m}, 4) AS {m}' for m in METRICS)} FROM {EXPERIMENTS} e",
+    "round_all": f"SELECT data, method, experiment, {', '.join(f'{half_even_sql(m, 4)} AS {m}' for m in METRICS)} FROM {EXPERIMENTS} e",
 }

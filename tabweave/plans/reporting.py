@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabweave.operators import report
 from tabweave.plans.inputs import (
-    EXPERIMENTS, KEY, LABELLED, METRICS, MIXTURE, SKEWED, experiments, labelled, skewed, table)
+    EXPERIMENTS, KEY, LABELLED, METRICS, MIXTURE, SKEWED, experiments, half_even_sql, labelled, skewed, table)
 
 GROUP = ["data", "experiment"]
 ORDER = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]
@@ -215,8 +215,8 @@ ORACLES = {
         for s, n in (('F', 'untuned'), ('O', 'tuned')) for c in (0, 1))} FROM {LABELLED} l GROUP BY ALL""",
     "agg_class_desc": f"""SELECT l_linenumber, l_linestatus, (count(*) - sum(label))::DOUBLE / count(*) AS target_0,
       sum(label)::DOUBLE / count(*) AS target_1 FROM {LABELLED} l GROUP BY ALL""",
-    "agg_value_counts": """SELECT l_returnflag, count(*) AS n, round_even(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS percent
-      FROM lineitem GROUP BY ALL""",
+    "agg_value_counts": f"""SELECT l_returnflag, n, {half_even_sql('share', 2)} AS percent FROM (SELECT l_returnflag, count(*) AS n,
+      count(*)::DOUBLE / (SELECT count(*) FROM lineitem) * 100.0::DOUBLE AS share FROM lineitem GROUP BY ALL)""",
     "agg_count_mean": f"SELECT l_linestatus, count(label) AS count, sum(label)::DOUBLE / count(label) AS mean FROM {LABELLED} l GROUP BY ALL",
     "agg_class_ratio": f"""SELECT count(*) FILTER (toxic = 0)::DOUBLE / count(*) AS class_0_ratio,
       count(*) FILTER (toxic = 1)::DOUBLE / count(*) AS class_1_ratio FROM {SKEWED} s""",
@@ -243,7 +243,7 @@ ORACLES = {
     "alpha_long": " UNION ALL ".join(
         f"SELECT data, experiment, method AS run, '{n}' AS method, {m} AS alpha FROM {EXPERIMENTS} e" for m, n in zip(METRICS, "ABCD")),
     "alpha_percent": f"""SELECT data, experiment, method,
-      {', '.join(f'round_even(100.0::DOUBLE * {m}, 2) AS alpha_{i + 1}' for i, m in enumerate(METRICS))} FROM {EXPERIMENTS} e""",
+      {', '.join(f'{half_even_sql(f"100.0::DOUBLE * {m}", 2)} AS alpha_{i + 1}' for i, m in enumerate(METRICS))} FROM {EXPERIMENTS} e""",
     "ttest_greater": _TTEST,
     "avg_std_table": f"""SELECT data, method, round(avg(untuned_test_auc), 9) AS untuned_avg, round(stddev_samp(untuned_test_auc), 9) AS untuned_std,
       round(avg(tuned_test_auc), 9) AS tuned_avg, round(stddev_samp(tuned_test_auc), 9) AS tuned_std FROM {EXPERIMENTS} e GROUP BY ALL""",

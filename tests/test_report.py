@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tabweave.functions.rounding import half_even
 from tabweave.operators import clean, report
 
 
@@ -35,7 +36,19 @@ def test_topk_is_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan.split("Exchange")[-1]
 
 
-def test_rounding_is_half_even(spark):
+def test_rounding_is_python_rounding(spark):
+    rng = np.random.default_rng(11)
+    values = [0.58625, 0.5, 2.5, -2.5, 0.00005, -0.00015, 1e17, -3.14159265, 0.0] + [k / 16000 for k in range(4000)]
+    values += [float(v) for v in rng.normal(scale=100, size=2000)] + [k / 8 for k in range(-40, 40)]
+    df = spark.createDataFrame([(v, ) for v in values], "v double")
+    for digits in (0, 2, 4):
+        got = df.select("v", half_even(F.col("v"), digits).alias("r")).collect()
+        assert [(r["v"], r["r"]) for r in got if r["r"] != round(r["v"], digits)] == []
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(half_even(F.col("v"), 2).alias("r")).collect()
+    assert odd[0]["r"] is None and np.isnan(odd[1]["r"])
+
+
+def test_rounding_leaves_other_columns(spark):
     df = spark.createDataFrame([(2.5, "x", 1)], "a double, b string, c int")
     assert tuple(clean.round_all(df, 0).first()) == (2.0, "x", 1)
 
