@@ -94,3 +94,30 @@ def quality_counts(text: str | None) -> tuple:
         windows[tuple(words[s:s + 3])] = windows.get(tuple(words[s:s + 3]), 0) + 1
     hit = {p for s in range(len(words) - 2) if windows[tuple(words[s:s + 3])] > 1 for p in range(s, s + 3)}
     return (len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit))
+
+
+def secrets(text: str | None) -> list[tuple[int, str, int]]:
+    text = text or ""
+    name = r"(?i:(password|passwd|secret|token|api_?key))"
+    kinds = {"assign": (name + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+             "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+             "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)}
+    found = [(m.start(), k, m.end()) for k, (p, ok) in kinds.items() for m in re.finditer(p, text, re.ASCII) if ok(m)]
+    return sorted(found, key=lambda s: (s[0], list(kinds).index(s[1])))
+
+
+def token_rows(rows: list[tuple], path: str) -> list[tuple]:
+    """(doc_id, start, n_tokens, crc) in order; doc_ids differ and are given."""
+    import struct
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    out, at = [], 0
+    for doc_id, text in sorted(rows):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        out.append((doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        at += len(ids)
+    return out
