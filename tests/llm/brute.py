@@ -121,3 +121,21 @@ def token_rows(rows: list[tuple], path: str) -> list[tuple]:
         out.append((doc_id, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
         at += len(ids)
     return out
+
+
+def personal(text: str | None) -> list[tuple[int, str, int]]:
+    text = text or ""
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def holds(kind: str, match: str) -> bool:
+        digits = [int(c) for c in match if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in match.split("."))
+        if kind == "card":
+            twice = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits[::-1]))
+            return 14 <= len(digits) <= 19 and twice % 10 == 0
+        return 10 <= len(digits) <= 15 if kind == "phone" else True
+
+    found = [(m.start(), k, m.end()) for k, p in kinds.items() for m in re.finditer(p, text) if holds(k, m[0])]
+    return sorted(found, key=lambda s: (s[0], list(kinds).index(s[1])))
