@@ -12,9 +12,10 @@
 4. Union-find joins the links into components.
 5. A bucket whose members are still in several components gets its members
    outside the largest one compared with all others, signature against
-   signature, in blocks spread over tasks; pairs that the signatures do not
-   rule out are confirmed and joined in. After that no shared bucket holds an
-   unchecked pair in different components.
+   signature, in blocks spread over tasks. Members that the signatures leave
+   open meet again with their full sets, and links found there are joined in.
+   Only members and links travel, no pairs; after that no shared bucket holds
+   an unchecked pair in different components.
 
 With 25 bands of 5 slots a pair at similarity 0.85 is missed with a chance of
 4e-7, and a signature estimate that far below the truth has a chance below
@@ -133,7 +134,8 @@ def cut_bands(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     key = np.zeros((len(rep), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
     for k in range(ROWS):
         key = W.mix(key * np.uint64(0x9E3779B97F4A7C15) + slots[:, :, k])
-    yield pa.RecordBatch.from_pydict({"key": key.reshape(-1).view(np.int64), "rep": np.repeat(rep, BANDS)})
+    band = np.tile(np.arange(BANDS, dtype=np.int32), len(rep))
+    yield pa.RecordBatch.from_pydict({"key": key.reshape(-1).view(np.int64), "band": band, "rep": np.repeat(rep, BANDS)})
 
 
 def least_agreement(similarity: int = SIMILARITY) -> int:
@@ -149,14 +151,17 @@ def agreement(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(pa.array(ok)) for n in ("a", "b")})
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, ascending, are a link."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    both = int(W.among(large, small).sum())
+    return 100 * both >= SIMILARITY * (len(x) + len(y) - both)
+
+
 def confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pairs linked by their full sets."""
-    ok = []
-    for x, y in zip(batch.column("set_x").to_pylist(), batch.column("set_y").to_pylist(), strict=True):
-        x, y = unsqueeze_sorted(x, np.uint64), unsqueeze_sorted(y, np.uint64)
-        small, large = (x, y) if len(x) <= len(y) else (y, x)
-        both = int(W.among(large, small).sum())
-        ok.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
+    ok = [similar(unsqueeze_sorted(x, np.uint64), unsqueeze_sorted(y, np.uint64))
+          for x, y in zip(batch.column("set_x").to_pylist(), batch.column("set_y").to_pylist(), strict=True)]
     yield pa.RecordBatch.from_pydict({n: batch.column(n).filter(pa.array(ok, pa.bool_())) for n in ("a", "b")})
 
 
@@ -211,81 +216,127 @@ def union_find(links: DataFrame) -> DataFrame:
 
 
 def _attach(pairs: DataFrame, side: DataFrame, value: str, x: str, y: str) -> DataFrame:
-    """``value`` of both ends of the pairs; the joins split hot ids."""
-    return (pairs.join(side.select(F.col("rep").alias("a"), F.col(value).alias(x)), "a")
-            .join(side.select(F.col("rep").alias("b"), F.col(value).alias(y)), "b"))
+    """``value`` of both ends of the pairs. These tables grow with the input, so
+    they are merged at every size; adaptive execution splits hot ids."""
+    return (pairs.join(side.select(F.col("rep").alias("a"), F.col(value).alias(x)).hint("merge"), "a")
+            .join(side.select(F.col("rep").alias("b"), F.col(value).alias(y)).hint("merge"), "b"))
+
+
+def read_full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, packed set of the wanted classes; a class is read from a row of its smallest doc_id."""
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id").select(
+        F.col("doc_id").alias("rep"), "text")
+    return keep(map_arrow(texts, full_sets, "rep long, packed binary"), "sets")
+
+
+def leader_links(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the members of each bucket with its leader."""
+    pairs = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    close = map_arrow(_attach(pairs, classes, "signature", "sig_a", "sig_b"), agreement, "a long, b long")
+    return keep(map_arrow(_attach(close, sets, "packed", "set_x", "set_y"), confirm, "a long, b long"), "links")
+
+
+def by_group(work, columns: tuple[str, ...]):
+    """A function for mapInPandas over rows sorted by ``columns`` that hands whole groups to ``work``."""
+    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried: pd.DataFrame | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            frame = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
+            key = frame[list(columns)].to_numpy()
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+            made = [work(frame.iloc[s:e]) for s, e in zip(edges[:-2], edges[1:-1], strict=True)]
+            carried = frame.iloc[edges[-2]:]
+            if made:
+                yield pd.concat(made, ignore_index=True)
+        if carried is not None:
+            yield work(carried)
 
+    return over
 
-def links_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, checked: bool) -> DataFrame:
-    """The pairs (a, b of classes) that are links; ``checked``: the signatures have been compared."""
-    if not checked:
-        pairs = map_arrow(_attach(pairs, classes, "signature", "sig_a", "sig_b"), agreement, "a long, b long")
-    pairs = keep(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    # a class is read from a row of its smallest doc_id and own text
-    texts = docs.join(ends.withColumnRenamed("rep", "doc_id"), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-    sets = keep(map_arrow(texts, full_sets, "rep long, packed binary"), "sets")
-    return keep(map_arrow(_attach(pairs, sets, "packed", "set_x", "set_y"), confirm, "a long, b long"), "links")
 
+BLOCK_KEYS = ("key", "i", "j")
 
-def open_pairs(members: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the signatures do not rule out.
 
-    ``members``: key, rep, comp of buckets with several components. Members of
-    the largest component are not compared with each other. Blocks of members
-    meet in tasks of bounded size.
+def close_pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Of two blocks of a bucket: for each member outside the main component
+    the members of other components that the signatures do not rule out. A pair
+    is looked at in the first band it shares, in one of its two orders."""
+    needed = least_agreement()
+    sig = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, SLOTS)
+    rep, comp, block, band = (group[c].to_numpy() for c in ("rep", "comp", "block", "band"))
+    minor = comp != group["main"].to_numpy()
+    same = group["i"].iat[0] == group["j"].iat[0]
+    for x in np.flatnonzero(minor).tolist():
+        y = np.flatnonzero((comp != comp[x]) & ((block != block[x]) | same) & (~minor | (rep > rep[x])))
+        equal = sig[y] == sig[x]
+        close = equal.sum(axis=1) >= needed
+        y, equal = y[close], equal[close].reshape(-1, BANDS, ROWS).all(axis=2)
+        yield x, y[equal.argmax(axis=1) == band[x]] if len(y) else y
+
+
+def open_members(members: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
+    """Members that are close to a member of another component, by pairs of blocks.
+
+    ``members``: key, band, rep, comp of buckets with several components.
+    Members of the largest component are not compared with each other. Blocks
+    meet in tasks of bounded size, and what comes out is a row per member and
+    pair of blocks, not per pair of members.
     """
     sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     buckets = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "comp"))["comp"].alias("main"))
     buckets = buckets.withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int"))
-    placed = members.join(buckets, "key").withColumn(
+    placed = members.join(buckets.hint("merge"), "key").withColumn(
         "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.join(classes.select("rep", "signature"), "rep")
+    placed = placed.join(classes.select("rep", "signature").hint("merge"), "rep")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = (placed.select("key", "rep", "comp", "main", "block", "signature", other.alias("other"))
-              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+    spread = (placed.select("key", "band", "rep", "comp", "main", "block", "signature", other.alias("other"))
+              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block",
                       "rep", "comp", "main", "signature"))
-    spread = spread.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    needed = least_agreement()
 
-    def compare(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        sig = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, SLOTS)
-        rep, comp, block = (group[c].to_numpy() for c in ("rep", "comp", "block"))
-        same = group["i"].iat[0] == group["j"].iat[0]
-        minor = np.flatnonzero(comp != group["main"].to_numpy())
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        taken = np.zeros(len(group), np.bool_)
+        for x, y in close_pairs(group):
+            taken[y] = True
+            taken[x] |= len(y) > 0
+        return group[taken]
+
+    return (spread.repartition(parts, *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
+            .mapInPandas(by_group(work, BLOCK_KEYS), spread.schema))
+
+
+def open_links(opened: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Links between components, confirmed on full sets where the blocks meet;
+    of links that join the same components in one task the first is enough."""
+    def work(group: pd.DataFrame) -> pd.DataFrame:
+        rep, comp, packed = group["rep"].to_numpy(), group["comp"].tolist(), group["packed"].tolist()
+        unpacked: dict[int, np.ndarray] = {}
+        joined: dict[int, int] = {}
         a, b = [], []
-        for x in minor.tolist():
-            ok = (comp != comp[x]) & ((block != block[x]) | same)
-            y = np.flatnonzero(ok)
-            y = y[(sig[y] == sig[x]).sum(axis=1) >= needed]
-            a.append(np.minimum(rep[x], rep[y]))
-            b.append(np.maximum(rep[x], rep[y]))
-        empty = np.zeros(0, np.int64)
-        return np.concatenate([empty, *a]), np.concatenate([empty, *b])
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried: pd.DataFrame | None = None
 
-        def groups(frame: pd.DataFrame, final: bool) -> tuple[list[pd.DataFrame], pd.DataFrame | None]:
-            key = frame[["key", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            edges = np.concatenate(([0], cuts, [len(frame)]))
-            parts = [frame.iloc[s:e] for s, e in zip(edges[:-1], edges[1:], strict=True)]
-            return (parts, None) if final else (parts[:-1], parts[-1])
+        def top(c: int) -> int:
+            while joined.get(c, c) != c:
+                c = joined[c]
+            return c
 
-        for batch in batches:
-            if not len(batch):
-                continue
-            frame = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
-            ready, carried = groups(frame, False)
-            found = [compare(g) for g in ready]
-            if found:
-                yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
-        if carried is not None:
-            a, b = compare(carried)
-            yield pd.DataFrame({"a": a, "b": b})
+        def full(k: int) -> np.ndarray:
+            if k not in unpacked:
+                unpacked[k] = unsqueeze_sorted(packed[k], np.uint64)
+            return unpacked[k]
+
+        for x, near in close_pairs(group):
+            for y in near.tolist():
+                p, q = top(comp[x]), top(comp[y])
+                if p != q and similar(full(x), full(y)):
+                    joined[max(p, q)] = min(p, q)
+                    a.append(rep[x])
+                    b.append(rep[y])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return spread.mapInPandas(work, "a long, b long").distinct()
+    with_sets = opened.join(sets.hint("merge"), "rep")
+    return keep(with_sets.repartition(parts, *BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
+                .mapInPandas(by_group(work, BLOCK_KEYS), "a long, b long"), "open_links")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -296,19 +347,19 @@ def components(docs: DataFrame) -> DataFrame:
     sets = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
     classes = keep(sets, "classes")
-    bands = map_arrow(classes.select("rep", "signature"), cut_bands, "key long, rep long")
+    bands = map_arrow(classes.select("rep", "signature"), cut_bands, "key long, band int, rep long")
     buckets = (bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n"))
                .where("n > 1").select("key", "leader"))
-    members = keep(bands.join(buckets, "key"), "members")
-    pairs = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    links = links_of(pairs, classes, docs, checked=False)
+    members = keep(bands.join(buckets.hint("merge"), "key"), "members")
+    sets = read_full_sets(docs, members.select("rep").distinct())
+    links = leader_links(members, classes, sets)
     roots = union_find(links)
-    placed = (members.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("key", "rep", F.coalesce("root", "rep").alias("comp")))
+    placed = (members.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
+              .select("key", "band", "rep", F.coalesce("root", "rep").alias("comp")))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    unsettled = keep(placed.join(mixed.select("key"), "key"), "unsettled")
-    more = links_of(open_pairs(unsettled, classes, shuffle_parts(spark)), classes, docs, checked=True)
-    roots = union_find(links.unionByName(more))
+    unsettled = keep(placed.join(mixed.select("key").hint("merge"), "key"), "unsettled")
+    parts = shuffle_parts(spark)
+    roots = union_find(links.unionByName(open_links(open_members(unsettled, classes, parts), sets, parts)))
     of_class = (classes.select("set_a", "set_b", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
                 .select(F.col("set_a").alias("_a"), F.col("set_b").alias("_b"), F.coalesce("root", "rep").alias("_root")))
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", "set_a", "set_b")
