@@ -16,8 +16,9 @@ The code lengths are a small table beside the blocks and define the code. A
 block is decoded by table, all stretches between checkpoints side by side.
 
 The tokenizer never merges across a lone space or line feed between two
-characters that are not white space. So a text is cut there, each distinct
-piece of a batch is encoded once, and pieces met lately are kept by each worker.
+characters that are not white space, nor from a letter or digit into a mark. So
+a text is cut there, each distinct piece of a batch is encoded once, and pieces
+met lately are kept by each worker.
 
 Defined results: null and empty texts hold the end id alone; rows without
 doc_id come last; rows that share a doc_id follow each other by size and ids;
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,7 +47,7 @@ from tabweave.session import scratch_path
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 BLOCK_IDS = 1 << 18
-REMEMBERED = 400_000  # distinct pieces that a worker keeps
+REMEMBERED = 400_000  # distinct pieces in each of the two halves of a worker's memory
 
 IDS = "doc_id long, n_tokens long, packed binary"
 BLOCKS = ("shard int, block int, start long, n_ids long, doc_ids array<long>, sizes array<long>, checkpoints binary, "
@@ -53,6 +55,8 @@ BLOCKS = ("shard int, block int, start long, n_ids long, doc_ids array<long>, si
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _BLANK = W._byte_set((0x09, 0x0D), (0x1C, 0x20))
+_ALNUM = W._byte_set((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
+_MARKS = W._byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 # First bytes of characters that may be white space outside ASCII.
 _MAYBE_BLANK = W._byte_set((0xC2, 0xC2), (0xE1, 0xE3))
 
@@ -65,6 +69,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before, after = padded[2:2 + size], padded[4:4 + size]
     cut = here & ~_BLANK[before] & ~_BLANK[after] & ~_MAYBE_BLANK[after]
     cut &= ~((before >= 0x80) & (_MAYBE_BLANK[padded[1:1 + size]] | _MAYBE_BLANK[padded[:size]]))
+    # a mark behind a letter or digit begins a piece as well
+    letter = _ALNUM[before] | ((padded[1:1 + size] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+    cut |= _MARKS[data] & letter
     cut[offsets[:-1][np.diff(offsets) > 0]] = True  # every text begins a piece
     starts = np.flatnonzero(cut)
     return starts, np.searchsorted(starts, offsets)
@@ -83,6 +90,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, source: str) -> Encoder:
@@ -99,16 +107,23 @@ class Encoder:
         _, chosen, back = np.unique(W.span_hashes(data, starts, ends, 9), return_index=True, return_inverse=True)
         raw = data.tobytes()
         own = [raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)]
-        missing = [p for p in own if p not in self.known]
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = own
+        coded = [self.known.get(p) for p in own]
+        missing = []
+        for k, made in enumerate(coded):
+            if made is None:
+                made = coded[k] = self.older.get(own[k])
+                if made is None:
+                    missing.append(k)
+                else:  # used again, so it outlives the next turn
+                    self.known[own[k]] = made
+        kind = "H" if self.dtype is np.uint16 else "I"
         for at in range(0, len(missing), 4096):
             part = missing[at:at + 4096]
-            for piece, made in zip(part, self.tokenizer.encode_batch_fast(
-                    [p.decode() for p in part], add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(made.ids, self.dtype).tobytes()
-        coded = [self.known[p] for p in own]
+            for k, made in zip(part, self.tokenizer.encode_batch_fast(
+                    [own[k].decode() for k in part], add_special_tokens=False), strict=True):
+                coded[k] = self.known[own[k]] = array(kind, made.ids).tobytes()
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         sizes = np.array([len(c) for c in coded], np.int64) // np.dtype(self.dtype).itemsize
         flat = np.frombuffer(b"".join(coded), self.dtype)
         begin = np.cumsum(sizes) - sizes
