@@ -70,7 +70,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """Spans of the four kinds in order of start, then kind."""
     out = [(a, "email", b) for a, b in emails(text)] if "@" in text else []
-    out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) < 256 for p in m[0].split("."))]
+    out += [(m.start(), "ip", m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p[-3:]) < 256 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
