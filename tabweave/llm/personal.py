@@ -136,17 +136,22 @@ def examples(text: str) -> Iterator[tuple[Stretch, set]]:
 def train(docs: DataFrame, limit: int = TRAIN) -> SemiCrf:
     """Fit the field on at most ``limit`` documents with a base span."""
     marked = docs.where(F.col("text").rlike(r"[@+][A-Za-z0-9]|[0-9]{4}|[0-9]\.[0-9]"))
-    picked = marked.orderBy(F.xxhash64(F.col("doc_id"), F.col("text"))).limit(limit).select("text")
-    # whole texts stay with the tasks; the driver gets the parts around spans
+    key = F.xxhash64(F.col("doc_id"), F.col("text")).alias("key")
+    # only hashes meet in one task; whole texts stay where they are read, the driver gets the parts around spans
+    first = F.broadcast(marked.select(key).distinct().orderBy("key").limit(limit))  # at most ``limit`` rows
+    picked = docs.select(key, "text").join(first, "key", "left_semi")
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for text in batch.column("text").to_pylist():
+        keys, places, parts = [], [], []
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
             base = base_spans(text)
-            parts += [text[max(0, a - 3 * WIDE):b + 3 * WIDE] for a, _, b in base[:5]]
-            parts += [text[a:b] for a, b in stretches(text)[:5] if not any(a < e and s < b for s, _, e in base)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.string())})
-
-    parts = sorted(r["part"] for r in map_arrow(picked, cut, "part string").collect())
+            own = [text[max(0, a - 3 * WIDE):b + 3 * WIDE] for a, _, b in base[:5]]
+            own += [text[a:b] for a, b in stretches(text)[:5] if not any(a < e and s < b for s, _, e in base)]
+            keys, places, parts = keys + [key] * len(own), places + list(range(len(own))), parts + own
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int32()),
+                                          "part": pa.array(parts, pa.string())})
+
+    cuts = map_arrow(picked, cut, "key long, place int, part string").dropDuplicates(["key", "place"])  # repeated rows count once
+    parts = sorted(r["part"] for r in cuts.collect())
     parts = parts[::max(1, -(-len(parts) // limit))]
     return SemiCrf().train([e for p in parts for e in examples(p)])
 
