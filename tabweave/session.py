@@ -72,7 +72,7 @@ def freeze(df: DataFrame) -> DataFrame:
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` (frozen, so cheap to read) has no more than ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
+    return df.count() <= rows
 
 
 def small_side(frozen: DataFrame, rows: int = BROADCAST_ROWS, counted: int | None = None) -> DataFrame:
