@@ -4,15 +4,18 @@ Every document gets a few counts. Those that fail the base rules go. For the
 rest, transformed statistics make a vector (mean word length, symbol share,
 share of repeated lines, share of words in repeated windows), and per language
 and source a minimum covariance determinant estimate gives centre and scatter
-of the bulk. A document whose Mahalanobis distance is beyond the cut is
-rejected.
+of the bulk, scaled so that the median distance is that of a normal vector. A
+document whose Mahalanobis distance, weighted by its size, is beyond a
+chi-square quantile is rejected.
 
 The estimate uses every document. Vectors are put on a fixed grid and counted
 per group and grid cell, combined before the shuffle; a group's estimate then
 works on weighted cells, whose number is bounded by the grid (``GRID``), so a
-source with a third of all documents costs one small task. Counts are integers,
-so partitioning changes nothing. The spread inside a cell is added to the
-scatter, which also keeps it regular when a statistic is constant.
+source with a third of all documents costs one small task. A cell keeps the
+exact sums of its values and of their products, as whole numbers, so that
+centre and scatter are those of the documents and partitioning changes nothing.
+The width of a cell is added to the scatter, which keeps it regular when a
+statistic is constant in the bulk.
 
 Groups of fewer than ``LEAST`` documents take the estimate over all groups.
 
@@ -24,6 +27,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,10 +49,16 @@ FOUND = "_quality"
 
 # Statistic: step of the grid and number of cells. Ends take what lies beyond.
 GRID = {"word_length": (0.2, 80), "symbols": (0.02, 51), "dup_lines": (0.15, 7), "repeats": (0.15, 7)}
+# A document is an outlier where a normal vector would be as far off with this
+# probability. It is tiny because statistics of texts have long tails.
+TAIL = 1e-50
+UNIT = 1_000_000  # values are summed as whole millionths, so partitioning changes nothing
+SUMS = tuple(f"sum_{name}" for name in GRID)
+PRODUCTS = {f"product_{i}_{j}": (i, j) for i in range(len(GRID)) for j in range(i, len(GRID))}
 SHARE = 0.75  # of the documents that the estimate has to cover
 STARTS = 24
 LEAST = 40
-CUT = 150.0  # squared distance. Wide, because short documents scatter more than the bulk
+TYPICAL_WORDS = 400
 
 
 def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -64,16 +74,16 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
     ends = np.sort(np.concatenate((breaks, offsets[1:])))
     owner = np.repeat(np.arange(rows), 1 + np.diff(np.searchsorted(breaks, offsets)))
     filled = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
-    line, own = W.span_hashes(data, starts[filled], ends[filled], 5), owner[filled]
-    order = np.lexsort((line, own))
-    again = (line[order][1:] == line[order][:-1]) & (own[order][1:] == own[order][:-1])
-    dup_lines = np.bincount(own[order][1:][again], minlength=rows)
+    own = owner[filled]
+    line, first = W.pair_codes(own, W.codes(W.span_texts(data, starts[filled], ends[filled]))[0])
+    dup_lines = np.bincount(own, minlength=rows) - np.bincount(own[first], minlength=rows)
     # windows that occur twice or more in their text
     windows = W.starts_in_documents(words, WINDOW)
-    document = words.document()
-    key = W.mix(W.sequence_hashes(words.hashes(), WINDOW, 6)[windows] + document[windows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-    repeated = W.cover(windows[times[back] > 1], WINDOW, len(words))
+    word, _ = W.codes(W.span_texts(data, words.starts, words.ends))
+    key = words.document()[windows]
+    for k in range(WINDOW):
+        key, _ = W.pair_codes(key, word[windows + k])
+    repeated = W.cover(windows[np.bincount(key)[key] > 1], WINDOW, len(words))
     return {"n_words": words.counts, "word_chars": W.segment_sums(letters[words.ends] - letters[words.starts], words.first),
             "n_symbols": W.segment_sums(symbols[data], offsets), "n_dup_lines": dup_lines,
             "n_repeat_words": W.segment_sums(repeated, words.first)}
@@ -112,21 +122,29 @@ def vector() -> dict[str, Column]:
             "repeats": share(found["n_repeat_words"], found["n_words"])}
 
 
-def cover_least_scatter(cells: np.ndarray, weight: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Minimum covariance determinant over weighted points: centre and scatter.
+def size_weight() -> Column:
+    """What a squared distance counts for: a mean over few words scatters more
+    than the bulk does, one over many less. 1 at ``TYPICAL_WORDS`` words."""
+    words = F.col(FOUND)["n_words"].cast("double")
+    return 2 * words / (words + TYPICAL_WORDS)
 
+
+def cover_least_scatter(points: np.ndarray, inner: np.ndarray, weight: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum covariance determinant over weighted cells: centre and scatter.
+
+    ``points`` are the means of the cells, ``inner`` the scatter inside each.
     Starts are the coordinate-wise median and small sets picked by fixed
     numbers; concentration steps then take the nearest ``SHARE`` of the weight
     until the determinant stops falling.
     """
-    size = cells.shape[1]
-    floor = np.diag(widths**2 / 12)  # spread inside a cell
+    cells, size = points, points.shape[1]
+    floor = np.diag(widths**2 / 12)  # keeps the scatter regular where the bulk agrees in a statistic
     need = np.ceil(SHARE * weight.sum())
 
     def moments(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         centre = part @ cells / part.sum()
         off = cells - centre
-        return centre, (off * part[:, None]).T @ off / part.sum() + floor
+        return centre, ((off * part[:, None]).T @ off + np.einsum("c,cij->ij", part, inner)) / part.sum() + floor
 
     def distances(centre: np.ndarray, scatter: np.ndarray) -> np.ndarray:
         off = cells - centre
@@ -166,15 +184,19 @@ def cover_least_scatter(cells: np.ndarray, weight: np.ndarray, widths: np.ndarra
     _, centre, scatter = best
     # scale so that the median distance is that of a normal vector (Wilson-Hilferty)
     median = size * (1 - 2 / (9 * size)) ** 3
-    scale = max(1.0, quantile(distances(centre, scatter), 0.5) / median)
-    return centre, scatter * scale
+    mean = distances(centre, scatter) + np.einsum("ij,cij->c", np.linalg.inv(scatter), inner)  # over the documents of a cell
+    return centre, scatter * (quantile(mean, 0.5) / median or 1.0)
 
 
 def fit_group(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(list(GRID))
     widths = np.array([w for w, _ in GRID.values()])
-    cells = (rows[list(GRID)].to_numpy() + 0.5) * widths
-    centre, scatter = cover_least_scatter(cells, rows["n"].to_numpy(float), widths)
+    weight = rows["n"].to_numpy(float)
+    means = rows[list(SUMS)].to_numpy(float) / UNIT / weight[:, None]
+    inner = np.empty((len(rows), len(GRID), len(GRID)))
+    for name, (i, j) in PRODUCTS.items():
+        inner[:, i, j] = inner[:, j, i] = rows[name].to_numpy(float) / UNIT**2 / weight - means[:, i] * means[:, j]
+    centre, scatter = cover_least_scatter(means, inner, weight, widths)
     return pd.DataFrame({"lang": [rows["lang"].iat[0]], "source": [rows["source"].iat[0]],
                          "documents": [int(rows["n"].sum())], "centre": [centre.tolist()],
                          "inverse": [np.linalg.inv(scatter).reshape(-1).tolist()]})
@@ -182,21 +204,39 @@ def fit_group(rows: pd.DataFrame) -> pd.DataFrame:
 
 def estimates(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of all groups of enough documents, and of all documents together."""
-    cells = {name: F.least(F.floor(column / GRID[name][0]), F.lit(GRID[name][1] - 1)).cast("int")
-             for name, column in vector().items()}
-    good = counted.where(~base_failed()).select("lang", "source", *(c.alias(n) for n, c in cells.items()))
-    counts = keep(good.groupBy("lang", "source", *GRID).agg(F.count(F.lit(1)).alias("n")), "quality_cells")
+    values = vector()
+    cells = [F.least(F.floor(column / GRID[name][0]), F.lit(GRID[name][1] - 1)).cast("int").alias(name)
+             for name, column in values.items()]
+    whole = [F.round(column * UNIT).cast("decimal(9,0)") for column in values.values()]
+    good = counted.where(~base_failed()).select("lang", "source", *cells, *(c.alias(n) for c, n in zip(whole, SUMS, strict=True)))
+    sums = [*(F.sum(n).alias(n) for n in SUMS),
+            *(F.sum(F.col(SUMS[i]) * F.col(SUMS[j])).alias(n) for n, (i, j) in PRODUCTS.items())]
+    counts = keep(good.groupBy("lang", "source", *GRID).agg(F.count(F.lit(1)).alias("n"), *sums), "quality_cells")
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("documents")).where(F.col("documents") >= LEAST)
     own = counts.alias("c").join(sizes.alias("s"), F.col("c.lang").eqNullSafe(F.col("s.lang")) & F.col("c.source").eqNullSafe(F.col("s.source")), "left_semi")
     shape = "lang string, source string, documents long, centre array<double>, inverse array<double>"
-    groups = keep(own.groupBy("lang", "source").applyInPandas(fit_group, shape), "quality_groups")
-    pooled = (counts.groupBy(*GRID).agg(F.sum("n").alias("n"))
-              .select(F.lit("").alias("lang"), F.lit("").alias("source"), *GRID, "n")
+    doubles = [F.col(n).cast("double").alias(n) for n in (*SUMS, *PRODUCTS)]
+    groups = keep(own.select("lang", "source", *GRID, "n", *doubles).groupBy("lang", "source").applyInPandas(fit_group, shape), "quality_groups")
+    pooled = (counts.groupBy(*GRID).agg(*(F.sum(n).alias(n) for n in ("n", *SUMS, *PRODUCTS)))
+              .select(F.lit("").alias("lang"), F.lit("").alias("source"), *GRID, "n", *doubles)
               .groupBy("lang", "source").applyInPandas(fit_group, shape))
     return groups, keep(pooled, "quality_pooled")
 
 
-def judge(counted: DataFrame, groups: DataFrame, pooled: DataFrame, cut: float = CUT) -> DataFrame:
+def chi_square_cut(size: int, tail: float = TAIL) -> float:
+    """Where the chi-square distribution of an even number of degrees leaves ``tail`` above it."""
+    half = size // 2
+    above = lambda x: math.exp(-x / 2) * sum((x / 2)**k / math.factorial(k) for k in range(half))
+    low, high = 0.0, 4.0
+    while above(high) > tail:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if above(middle) > tail else (low, middle)
+    return high
+
+
+def judge(counted: DataFrame, groups: DataFrame, pooled: DataFrame, tail: float = TAIL) -> DataFrame:
     """``counted`` with _distance (squared) and _kept. The table of groups is
     broadcast only when counted small; else the join splits a hot group."""
     names = {"lang": "_q_lang", "source": "_q_source", "centre": "_q_centre", "inverse": "_q_inverse"}
@@ -211,8 +251,8 @@ def judge(counted: DataFrame, groups: DataFrame, pooled: DataFrame, cut: float =
     inverse = F.coalesce(F.col("_q_inverse"), constant(rest["inverse"]))
     off = [column - centre[k] for k, column in enumerate(vector().values())]
     distance = sum((off[i] * off[j] * inverse[i * size + j] for i in range(size) for j in range(size)), F.lit(0.0))
-    out = joined.withColumn("_distance", distance).drop(*names.values())
-    return out.withColumn("_kept", ~base_failed() & (F.col("_distance") <= F.lit(cut)))
+    out = joined.withColumn("_distance", distance * size_weight()).drop(*names.values())
+    return out.withColumn("_kept", ~base_failed() & (F.col("_distance") <= F.lit(chi_square_cut(size, tail))))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:

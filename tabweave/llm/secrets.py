@@ -91,12 +91,12 @@ def scan_texts(column: pa.Array, compiled: tuple[Automaton, list[Automaton]]) ->
     accepted = search.accepts[states]
     out: list[list] = [[] for _ in range(rows)]
     ends = np.flatnonzero(accepted)
-    owner = np.searchsorted(cuts, ends, "right") - 1
+    first = np.searchsorted(ends, cuts)  # ends ascend, so a row's are a slice
     order = {rule.kind: k for k, rule in enumerate(RULES)}
-    for row in np.unique(owner).tolist():
+    for row in np.flatnonzero(np.diff(first)).tolist():
         low, high = int(cuts[row]), int(cuts[row + 1]) - 1
         raw = buffer[low:high].tobytes()
-        own = ends[owner == row] - low
+        own = ends[first[row]:first[row + 1]] - low
         marks = accepted[own + low]
         quiet = np.where(states[low:high] == 0, np.arange(high - low), -1)
         idle = np.maximum.accumulate(quiet)

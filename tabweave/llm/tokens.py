@@ -18,7 +18,8 @@ block is decoded by table, all stretches between checkpoints side by side.
 The tokenizer never merges across a lone space or line feed between two
 characters that are not white space, nor from a letter or digit into a mark. So
 a text is cut there, each distinct piece of a batch is encoded once, and pieces
-met lately are kept by each worker.
+met lately are kept by each worker. Tokens added to the vocabulary (such as
+``<|endoftext|>``) are recognised in texts, as the tokenizer does by default.
 
 Defined results: null and empty texts hold the end id alone; rows without
 doc_id come last; rows that share a doc_id follow each other by size and ids;
@@ -27,7 +28,9 @@ further columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -61,8 +64,9 @@ _MARKS = W._byte_set((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _MAYBE_BLANK = W._byte_set((0xC2, 0xC2), (0xE1, 0xE3))
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the pieces, and the number of pieces before each text."""
+def pieces(data: np.ndarray, offsets: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the pieces, and the number of pieces before each text. A token
+    that ``added`` finds is a piece of its own."""
     size = len(data)
     padded = np.concatenate((np.full(3, 0x20, np.uint8), data, np.full(1, 0x20, np.uint8)))
     here = (data == 0x20) | (data == 0x0A)
@@ -72,6 +76,13 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     # a mark behind a letter or digit begins a piece as well
     letter = _ALNUM[before] | ((padded[1:1 + size] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
     cut |= _MARKS[data] & letter
+    raw = data.tobytes() if added else b""
+    if added and added.search(raw):
+        for low, high in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for found in added.finditer(raw, low, high):
+                cut[found.start():found.end()] = False
+                cut[found.start()] = True
+                cut[found.end():found.end() + 1] = True
     cut[offsets[:-1][np.diff(offsets) > 0]] = True  # every text begins a piece
     starts = np.flatnonzero(cut)
     return starts, np.searchsorted(starts, offsets)
@@ -87,7 +98,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
+        added = json.loads(source).get("added_tokens") or []
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("texts are cut at added tokens, so these must be taken as they are")
+        names = sorted((t["content"].encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -102,11 +117,9 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind, and the offsets that cut them."""
         data, offsets = W.text_buffer(column)
-        starts, first = pieces(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        _, chosen, back = np.unique(W.span_hashes(data, starts, ends, 9), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        own = [raw[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist(), strict=True)]
+        starts, first = pieces(data, offsets, self.added)
+        back, distinct = W.codes(W.span_texts(data, starts, np.append(starts[1:], len(data))))
+        own = distinct.to_pylist()
         coded = [self.known.get(p) for p in own]
         missing = []
         for k, made in enumerate(coded):

@@ -8,13 +8,13 @@ Nothing here depends on how rows are dealt to tasks.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 19  # bytes hashed at a time, so that the scratch arrays stay small
 TEXT_BYTES = 4 << 20  # texts worked on together
 
 
@@ -108,62 +108,95 @@ def numbers(seed: int, count: int) -> np.ndarray:
     return mix(start + np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
+LONG_SPAN = 1024  # bytes from which a span is hashed by itself
 
-    made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    @classmethod
-    def of(cls, seed: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        kept = cls.made.get(seed)
-        if kept is None or len(kept[0]) < count:
-            size = max(count, SLICE + 1024)
-            base = int(numbers(seed, 257)[256]) | 1
-            up, down = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 2**64), np.uint64)
-            up[0] = down[0] = 1
-            kept = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), numbers(seed, 256)
-            if size <= 2 * SLICE:
-                cls.made[seed] = kept
-        return kept
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number (zeros behind the end)."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans ascend and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        low = starts[a]
-        b = max(a + 1, int(np.searchsorted(ends, low + SLICE, "right")))
-        part = data[low:ends[b - 1]]
-        up, down, table = _Powers.of(seed, len(part) + 1)
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(table[part] * up[:len(part)], out=sums[1:])
-        s, e = starts[a:b] - low, ends[a:b] - low
-        out[a:b] = (sums[e] - sums[s]) * down[s]
-        a = b
-    return mix(out)
+    """A 64-bit hash of each byte span.
+
+    Every eight bytes are mixed into two lanes before the next eight come in,
+    so no sum over bytes can cancel out; long spans go through BLAKE2.
+    """
+    eight = _words_at(data)
+    keys = numbers(seed, 4)
+    length = (ends - starts).astype(np.int64)
+    fold = length.astype(np.uint64)
+    one, two = mix(fold + keys[0]), mix(fold ^ keys[1])
+    long = np.flatnonzero(length > LONG_SPAN)
+    left = np.flatnonzero((length > 0) & (length <= LONG_SPAN))
+    at, rest = starts[left], length[left]
+    while len(left):
+        part = eight[at]
+        short = rest < 8
+        part[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+        one[left] = mix(one[left] ^ part)
+        two[left] = mix(two[left] * (keys[2] | np.uint64(1)) + part)
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    key = keys.tobytes()
+    for k in long.tolist():
+        whole = hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=16, key=key).digest()
+        one[k], two[k] = np.frombuffer(whole, np.uint64)
+    return mix(one + two * keys[3])
+
+
+def span_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The spans (ascending, without overlap) as Arrow values."""
+    length = (ends - starts).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    change = np.zeros(len(data) + 1, np.int8)
+    filled = length > 0
+    change[starts[filled]] += 1
+    np.subtract.at(change, ends[filled], 1)
+    inside = np.cumsum(change[:-1], dtype=np.int8).view(np.bool_) if len(data) else np.zeros(0, np.bool_)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+
+
+def codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """A number for each value, equal just where the values are, and the distinct values by number."""
+    coded = values.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def pair_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for pairs of small numbers: codes, and the first place of each pair."""
+    room = int(right.max()) + 1 if len(right) else 1
+    made, distinct = codes(pa.array(left.astype(np.int64) * room + right))
+    first = np.full(len(distinct), -1, np.int64)
+    first[made[::-1]] = np.arange(len(made))[::-1]
+    return made, first
 
 
 def sequence_hashes(items: np.ndarray, length: int, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of ``length`` consecutive numbers from each place on.
+    """A 64-bit hash of ``length`` consecutive numbers (hashes) from each place on.
 
     Places with fewer numbers behind them are left out, so the result has
     ``len(items) - length + 1`` entries. Whether a sequence stays within one
-    document is the caller's to check.
+    document is the caller's to check. Halves are joined by mixing, not by sums.
     """
     total = len(items) - length + 1
     if total <= 0:
         return np.zeros(0, np.uint64)
-    base = int(numbers(seed, 1)[0]) | 1
-    out, have, piece, size, left = None, 0, items, 1, length
+    key = int(numbers(seed, 1)[0]) | 1
+
+    def joined(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+        return mix(left * np.uint64(key) + (right ^ np.uint64((key >> 7) + size)))
+
+    out, have, piece, size, left = None, 0, mix(items ^ np.uint64(key >> 1)), 1, length
     while left:  # binary doubling: hashes of 1, 2, 4, ... items joined up
         if left & 1:
-            shifted = piece[have:have + total] * np.uint64(pow(base, have, 2**64))
-            out = shifted if out is None else out + shifted
+            shifted = piece[have:have + total]
+            out = shifted if out is None else joined(out, shifted, size)
             have += size
         left >>= 1
         if left:
-            piece = piece[:len(piece) - size] + piece[size:] * np.uint64(pow(base, size, 2**64))
+            piece = joined(piece[:len(piece) - size], piece[size:], size)
             size *= 2
     return mix(out)
 

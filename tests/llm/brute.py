@@ -114,7 +114,6 @@ def token_rows(rows: list[tuple], path: str) -> list[tuple]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     out, at = [], 0
     for doc_id, text in sorted(rows):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]

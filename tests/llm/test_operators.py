@@ -1,6 +1,8 @@
 """Every operator against its brute-force version, on the given tables and on hard little cases."""
 
+import itertools
 import random
+import time
 
 import brute
 import numpy as np
@@ -127,8 +129,30 @@ def test_least_scatter():
     pick = np.random.default_rng(0)
     bulk, off = pick.normal(0, 1, (300, 2)), pick.normal(8, 0.5, (60, 2))
     cells, weight = np.unique(np.round(np.vstack([bulk, off]), 1), axis=0, return_counts=True)
-    centre, scatter = quality.cover_least_scatter(cells, weight.astype(float), np.array([0.1, 0.1]))
+    inner = np.zeros((len(cells), 2, 2))
+    centre, scatter = quality.cover_least_scatter(cells, inner, weight.astype(float), np.array([0.1, 0.1]))
     assert np.abs(centre).max() < 0.3 and np.abs(scatter).max() < 2
+    # against the best of all subsets
+    few = np.array([[0.0, 0], [1, 0.2], [0.3, 1], [0.8, 0.9], [0.4, 0.1], [0.6, 0.5], [9, 9], [9, 8]])
+    centre, _ = quality.cover_least_scatter(few, np.zeros((8, 2, 2)), np.ones(8), np.array([1e-6, 1e-6]))
+    best = min(itertools.combinations(range(8), 6), key=lambda c: np.linalg.det(np.cov(few[list(c)].T)))
+    assert np.allclose(centre, few[list(best)].mean(axis=0))
+    assert abs(quality.chi_square_cut(4, 0.05) - 9.4877) < 1e-3
+
+
+def test_quality_distances(spark, folder):
+    """Centres are those of the documents, so the middle one lies about where that of a normal
+    vector does (3.36); the grid is coarse for 200 documents, hence a factor of two."""
+    made = registry.QUERIES["op4_quality_rules"](spark, folder).where("NOT base_failed")
+    plain = made.select((F.col("distance") * (F.col("n_words") + quality.TYPICAL_WORDS) / (2 * F.col("n_words"))).alias("plain"))
+    assert 3.36 / 2 < plain.approxQuantile("plain", [0.5], 0.001)[0] < 3.36 * 2
+    docs = spark.createDataFrame([(k, "en", "s", " ".join(f"{'x' * (3 + (k + j) % 4)}{k}{j}" for j in range(60))) for k in range(60)],
+                                 "doc_id long, lang string, source string, text string")
+    counted = quality.with_counts(docs, drop_text=True)
+    groups, _ = quality.estimates(counted)
+    lengths = [r[0] for r in counted.select(f"{quality.FOUND}.word_chars").collect()]
+    centre = groups.first()["centre"]
+    assert min(lengths) / 60 <= centre[0] <= max(lengths) / 60 and centre[1:] == [0.0, 0.0, 0.0]
 
 
 def test_tokens(spark, folder, rows):
@@ -138,6 +162,56 @@ def test_tokens(spark, folder, rows):
     assert got == brute.token_rows(rows, public_tokenizers.path(tokens.TOKENIZER))
 
 
+def thue_morse(length=1024):
+    """Two words that any polynomial hash modulo 2**64 takes for one, and their mirror."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_cancelling(spark):
+    one, two = thue_morse()
+    tail = " ".join(f"t{k}" for k in range(25))
+    rows = [(1, f"{one} {tail}"), (2, f"{two} q {tail[:40]}"), (3, one), (4, two), (5, f"{one}\n{two}\n{one}")]
+    frame = small(spark, rows)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.substring_dedup(frame, 1).collect()}
+    assert got == brute.substring_dedup(rows, 1)
+    items = [(1, one), (2, "zz")]
+    found = contamination.find_leaks(frame, spark.createDataFrame(items, "item_id long, text string"), length=3)
+    s = F.col(contamination.FOUND)
+    assert {r[0]: r[1] for r in found.select("doc_id", s["n_hit"]).collect()} == {r[0]: r[2] for r in brute.leaks(rows, items, 3)}
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.components(frame).select("doc_id", "n_shingles", "component_id").collect()}
+    assert near == {d: tuple(v[:2]) for d, v in brute.near_dups(rows).items()}
+    made = {r[0]: r[1] for r in quality.with_counts(frame).select("doc_id", f"{quality.FOUND}.n_dup_lines").collect()}
+    assert made == {d: brute.quality_counts(t)[3] for d, t in rows}
+    encoder = tokens.Encoder(tokens.read_tokenizer())
+    ids, cuts = encoder.encode(pa.array([t for _, t in rows]))
+    assert [ids[a:b - 1].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [encoder.tokenizer.encode(t).ids for _, t in rows]
+    codes, distinct = W.codes(W.span_texts(np.frombuffer(b"ab ab  c", np.uint8), np.array([0, 3, 6, 7]), np.array([2, 5, 6, 8])))
+    assert codes.tolist() == [0, 0, 1, 2] and distinct.to_pylist() == [b"ab", b"", b"c"]
+
+
+def test_added_tokens():
+    encoder, pick = tokens.Encoder(tokens.read_tokenizer()), random.Random(4)
+    parts = [" ", "  ", "\n", "a", "B", "<|endoftext|>", "<|endof", "text|>", "<|", "|>", "é", ".", "x y"]
+    texts = ["a <|endoftext|> b", "<|endof", "text|>", *("".join(pick.choice(parts) for _ in range(12)) for _ in range(400))]
+    ids, cuts = encoder.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert ids[cuts[k]:cuts[k + 1] - 1].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_secrets_grow_in_line():
+    """Twice the text takes about twice the time, however many rows match."""
+    compiled = secrets.machines()
+    def seconds(rows):
+        begin = time.perf_counter()
+        secrets.scan_texts(pa.array(["0123456789abcdef" * 25] * rows), compiled)
+        return time.perf_counter() - begin
+    seconds(100)
+    assert seconds(8000) < 8 * seconds(2000)
+
+
 def test_tokens_hard(spark):
     """Cutting texts into pieces changes no id, whatever the white space."""
     encoder, pick = tokens.Encoder(tokens.read_tokenizer()), random.Random(3)
