@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tabweave.llm import contamination, lines, mixing, neardup, personal, quality, secrets, substrings, tokens, urls
+from tabweave.llm import contamination, lines, merkle, mixing, neardup, personal, phrases, quality, secrets, substrings
+from tabweave.llm import tokens, toxicity, urls
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_personal_data": personal.op10_personal_data,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_toxicity": toxicity.op12_toxicity,
+    "op13_phrase_mining": phrases.op13_phrase_mining,
 }
 
 ORACLES = {
     "op6_mix_sources": mixing.OP6_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
+    "op13_phrase_mining": phrases.OP13_SQL,
 }
