@@ -9,12 +9,14 @@ frequent. So:
    parts (without its last word, without its first) are both proposed. These
    are the proposals themselves and their negative border.
 3. Phrases that turn out frequent without having been proposed are failures of
-   the border. They join the proposals, and another full pass counts the
-   phrases that this opens up; and so on until a pass brings no failure.
+   the border. They join the proposals, and another full pass counts what this
+   opens up: every phrase not counted before whose two parts are proposed or
+   are counted in that pass themselves. A phrase found frequent there has had
+   its extensions counted along with it, so that pass closes the border.
 
 Then all frequent phrases of up to ``longest`` words are counted, whatever the
-sample was; it decides only how many passes there are and how much of no use is
-counted on the way.
+sample was; it decides only whether there is a second pass and how much of no
+use is counted on the way.
 
 Proposals reach the tasks as one bitmap of fixed size per phrase length
 (``bits``), put together on the cluster. A wrong yes only counts a phrase more;
@@ -48,14 +50,16 @@ LEAST = 10  # occurrences of a frequent phrase
 LONGEST = 3  # words
 SHARE = 50  # per cent: a phrase mostly seen inside a longer one goes
 FIRST = 2000  # phrases reported for a language
-SAMPLE = 0.25  # of the documents, by a hash of id and text
-LOWERED = 0.8  # of the threshold expected in the sample
+SAMPLE = 0.2  # of the documents, by a hash of id and text
+LOWERED = 0.75  # of the occurrences expected in the sample, rounded up
 BITS = 1 << 24  # of a bitmap of proposals
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1 << 16
 NO_LANG = "und"
 SALTS = 16
 
-COUNTS = "lang string, words int, phrase string, n long"
+# A phrase is counted under one key: its language, a tab, its words.
+COUNTS = "key string, n long"
 
 # Pieces end at these bytes, words at these and at the blank and the tab.
 _CUTS = np.zeros(256, np.bool_)
@@ -75,8 +79,8 @@ class Proposals:
     def __init__(self, bits: int, longest: int):
         self.maps = {size: np.zeros(bits // 64, np.uint64) for size in range(1, longest)}
 
-    def places(self, lang: pa.Array, phrase: pa.Array) -> np.ndarray:
-        data, offsets = W.text_buffer(_joined(lang, phrase, "\t"))
+    def places(self, keys: pa.Array) -> np.ndarray:
+        data, offsets = W.text_buffer(keys)
         return W.span_hashes(data, offsets[:-1], offsets[1:], 31)
 
     def holds(self, size: int, places: np.ndarray) -> np.ndarray:
@@ -94,17 +98,17 @@ class Proposals:
 
 
 def propose(found: DataFrame, longest: int, bits: int) -> Proposals:
-    """Bitmaps of the phrases of ``found`` (lang, words, phrase). At most ``bits``
+    """Bitmaps of the phrases of ``found`` (key, words). At most ``bits``
     / 64 numbers for each length come to the driver."""
     empty = Proposals(bits, longest)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        places = empty.places(batch.column("lang"), batch.column("phrase"))
+        places = empty.places(batch.column("key"))
         slot = ((places >> np.uint64(6)) % np.uint64(bits // 64)).astype(np.int64)
         value = np.uint64(1) << (places & np.uint64(63))
         yield pa.RecordBatch.from_pydict({"words": batch.column("words"), "slot": slot, "value": value.view(np.int64)})
 
-    rows = map_arrow(found.where(F.col("words").between(1, longest - 1)).select("lang", "words", "phrase"), work,
+    rows = map_arrow(found.where(F.col("words").between(1, longest - 1)).select("key", "words"), work,
                      "words int, slot long, value long")
     made = rows.groupBy("words", "slot").agg(F.bit_or("value").alias("value")).toArrow()
     size, slot = made["words"].to_numpy(), made["slot"].to_numpy()
@@ -118,12 +122,13 @@ def propose(found: DataFrame, longest: int, bits: int) -> Proposals:
 def count_batch(lang: pa.Array, text: pa.Array, longest: int, now: Proposals | None, old: Proposals | None) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of some texts.
 
-    With ``now`` only phrases whose two parts are proposed; with ``old`` only
-    those of them that ``old`` would have left out, and no single words.
+    With ``now`` only phrases whose two parts are proposed. With ``old``, the
+    proposals of the pass before, only phrases that were not counted then, and a
+    part counts as proposed as well when it is counted here for the first time.
     """
-    def made(lang: pa.Array, words: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(np.full(len(n), words, np.int32)), phrase.cast(pa.string()),
-                                           pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
+    def made(keys: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(n), BATCH_ROWS):
+            yield pa.RecordBatch.from_arrays([keys[a:a + BATCH_ROWS].cast(pa.string()), pa.array(n[a:a + BATCH_ROWS].astype(np.int64))], names=["key", "n"])
 
     tongue, tongues = W.codes(pc.fill_null(lang.cast(pa.string()), NO_LANG))
     data, offsets = W.text_buffer(text)
@@ -136,23 +141,21 @@ def count_batch(lang: pa.Array, text: pa.Array, longest: int, now: Proposals | N
     linked = (piece[1:] == piece[:-1]) & (document[1:] == document[:-1])
     word, spelled = W.codes(W.span_texts(data, words.starts, words.ends))
     code, first = W.pair_codes(tongue[document], word)
-    own = tongue[document][first]  # the language of each distinct phrase
     tongues = tongues.cast(pa.large_string())
-    base, phrase = code, spelled.cast(pa.large_string()).take(pa.array(word[first]))
-    spelling = phrase
-    langs = tongues.take(pa.array(own))
+    base, spelling = code, spelled.cast(pa.large_string()).take(pa.array(word[first]))
+    keys = _joined(tongues.take(pa.array(tongue[document][first])), spelling, "\t")
     at = np.arange(len(words))  # where the phrases start, and their codes
+    known = np.ones(len(keys), np.bool_)  # which were counted before
     if old is None:
-        total = np.bincount(tongue[document], minlength=len(tongues))
-        yield made(tongues, 0, pa.array([""] * len(tongues)), total)
-        yield made(langs, 1, phrase, np.bincount(code))
+        yield from made(_joined(tongues, pa.array([""] * len(tongues)), "\t"), np.bincount(tongue[document], minlength=len(tongues)))
+        yield from made(keys, np.bincount(code))
     for size in range(2, longest + 1):
         if now is None:
-            good = before = np.ones(len(phrase), np.bool_)
+            good = before = np.ones(len(keys), np.bool_)
         else:
-            places = now.places(langs, phrase)
-            good = now.holds(size - 1, places)
-            before = old.holds(size - 1, places) if old is not None else np.zeros(len(places), np.bool_)
+            places = now.places(keys)
+            good = now.holds(size - 1, places) | ~known
+            before = old.holds(size - 1, places) & known if old is not None else np.zeros(len(places), np.bool_)
         every = np.full(len(words) + 1, -1, np.int64)
         every[at] = code
         left = at[at < len(words) - size + 1]
@@ -160,16 +163,15 @@ def count_batch(lang: pa.Array, text: pa.Array, longest: int, now: Proposals | N
         left = left[good[every[left]] & good[every[left + 1]]]
         if not len(left):
             return
-        seen = before[every[left]] & before[every[left + 1]]
+        known = before[every[left]] & before[every[left + 1]]
         last = base[left + size - 1]
         code, first = W.pair_codes(every[left], last)
-        phrase = _joined(phrase.take(pa.array(every[left][first])), spelling.take(pa.array(last[first])), " ")
-        langs = tongues.take(pa.array(tongue[document[left[first]]]))
-        at = left
-        fresh = np.ones(len(first), np.bool_) if old is None else ~seen[first]
-        if fresh.any():
-            pick = pa.array(fresh)
-            yield made(langs.filter(pick), size, phrase.filter(pick), np.bincount(code)[fresh])
+        keys = _joined(keys.take(pa.array(every[left][first])), spelling.take(pa.array(last[first])), " ")
+        at, known = left, known[first]
+        if old is None:
+            yield from made(keys, np.bincount(code))
+        elif not known.all():
+            yield from made(keys.filter(pa.array(~known)), np.bincount(code)[~known])
 
 
 def counted(docs: DataFrame, longest: int, now: Proposals | None = None, old: Proposals | None = None) -> DataFrame:
@@ -181,24 +183,31 @@ def counted(docs: DataFrame, longest: int, now: Proposals | None = None, old: Pr
             yield from count_batch(part.column("lang"), part.column("text"), longest, *shared.value)
 
     rows = map_arrow(docs.select("lang", "text"), work, COUNTS)
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    phrase = F.substring_index("key", "\t", -1)  # words hold no tab and no blank
+    return rows.groupBy("key").agg(F.sum("n").alias("n")).select(
+        "key", F.expr("substr(key, 1, length(key) - length(substring_index(key, '\t', -1)) - 1)").alias("lang"),
+        F.when(phrase == "", 0).otherwise(F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit(""))) + 1).alias("words"),
+        phrase.alias("phrase"), "n")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: float = SAMPLE, lowered: float = LOWERED,
                      bits: int = BITS) -> DataFrame:
-    """lang, words, phrase, n of all phrases that occur ``least`` times, and each
+    """key, lang, words, phrase, n of all phrases that occur ``least`` times, and each
     language's number of words in a row of ``words`` 0."""
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(sample * 1_000_000))
-    enough = max(1, math.floor(least * sample * lowered))
+    enough = max(1, math.ceil(least * sample * lowered))
     found = counted(chosen, max(longest - 1, 1)).where((F.col("n") >= enough) & (F.col("words") > 0))
-    now, old, passes = propose(keep(found, "sample_phrases"), longest, bits), None, []
-    while True:
-        some = counted(docs, longest, now, old).where((F.col("n") >= least) | (F.col("words") == 0))
-        passes.append(keep(some, "phrases"))
-        wider = now.joined(propose(passes[-1], longest, bits))
-        if wider == now:  # no failure of the border
-            return reduce(DataFrame.unionByName, passes)
-        now, old = wider, now
+    proposed = propose(keep(found, "sample_phrases"), longest, bits)
+
+    def full_pass(now: Proposals, old: Proposals | None = None) -> DataFrame:
+        some = counted(docs, longest, now, old)
+        return keep(some.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+
+    first = full_pass(proposed)
+    wider = proposed.joined(propose(first, longest, bits))
+    if wider == proposed:  # no failure of the border
+        return first
+    return first.unionByName(full_pass(wider, proposed))
 
 
 def _cut(phrase: F.Column, size: int, low: int, high: int) -> F.Column:

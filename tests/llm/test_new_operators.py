@@ -127,7 +127,7 @@ def plain_phrases(rows, least, longest, share, first):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least,longest,sample,bits", [(3, 3, 0.5, 1 << 16), (2, 4, 0.0, 1 << 16), (4, 3, 1.0, 128), (2, 2, 0.1, 64)])
+@pytest.mark.parametrize("least,longest,sample,bits", [(3, 3, 0.5, 1 << 16), (2, 4, 0.0, 1 << 16), (4, 3, 1.0, 128), (2, 2, 0.1, 64), (2, 4, 0.05, 256), (2, 5, 0.2, 512)])
 def test_phrases(spark, least, longest, sample, bits):
     pick = random.Random(least)
     word = lambda: pick.choice(["a", "B", "cé", "d e", "ab", "É", "x" * 300])
