@@ -2,8 +2,9 @@
 
 Examples are labelled documents, at most ``EXAMPLES`` of them, chosen by a hash.
 A text is a vector over terms with weight (1 + ln tf) * idf and length 1; the
-terms are the words whose document frequencies differ between the two labels of
-the examples (G-test beyond ``LEAST_G``), idf comes from all documents. A text's
+terms are the words that toxic examples hold far more often than others (G-test
+beyond ``LEAST_G`` and a share beyond ``LEAST_LIFT``), idf comes from all
+documents. A text's
 neighbours are the ``NEAREST`` examples of greatest cosine, with all further
 ones that tie with the last; examples with equal vectors are one neighbour with
 all their votes. A vote has weight 1 / (``BLUR`` + 1 - cosine).
@@ -43,11 +44,13 @@ from tabweave.llm.frames import keep, map_arrow, table
 
 EXAMPLES = 40_000  # the most labelled documents that the index holds
 LEAST_G = 24.0  # G statistic of a term; about one in a million by chance
+LEAST_LIFT = 3.0  # toxic share of the examples that hold a term, against that of all
 TERMS = 20_000  # the most terms, those with the greatest statistic
 NEAREST = 15
 BLOCK = 64
 BLUR = 0.05
 CERTAIN = 0.7
+TOGETHER = 2_000_000  # postings looked at for the texts that search at the same time
 STEPS = 1 << 30  # cosines are compared in whole steps, so that equal ones tie
 
 SCORES = ("doc_id long, score double, predicted int, votes double, "
@@ -81,6 +84,10 @@ class Vectors:
         norm = np.sqrt(np.bincount(row, weights**2, rows))
         return cls(np.searchsorted(row, np.arange(rows + 1)), terms, weights / norm[row])
 
+    def slice(self, a: int, b: int) -> Vectors:
+        first = self.first[a:b + 1]
+        return Vectors(first - first[0], self.terms[first[0]:first[-1]], self.weights[first[0]:first[-1]])
+
     def keys(self) -> list[bytes]:
         """Bytes that are equal just for equal rows of the same making."""
         return [self.terms[a:b].tobytes() + self.weights[a:b].tobytes() for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
@@ -108,6 +115,7 @@ class BlockMaxIndex:
         at = place[vectors.row()]
         by = np.lexsort((at, vectors.terms))
         self.example, self.weight, term = at[by], vectors.weights[by], vectors.terms[by]
+        self.postings = np.bincount(term, minlength=terms)
         cell = term * max(1, self.blocks) + self.example // block  # postings of a term in a block lie together
         self.cells, self.begin = np.unique(cell, return_index=True)
         self.end = np.append(self.begin[1:], len(cell))
@@ -197,7 +205,14 @@ class Model:
     def share(self, rows: int, queries: Vectors, own_label: np.ndarray | None = None):
         """The share of toxic votes and the neighbours. With ``own_label`` the
         queries are examples themselves and their own votes are left out."""
-        own, example, steps = self.index.nearest(queries, NEAREST)
+        found, a = [], 0
+        work = np.concatenate(([0], np.cumsum(self.index.postings[queries.terms])))[queries.first]
+        while a < rows:  # as many texts at a time as their postings allow
+            b = min(max(a + 1, int(np.searchsorted(work, work[a] + TOGETHER, "right")) - 1), rows)
+            own, example, steps = self.index.nearest(queries.slice(a, b), NEAREST)
+            found.append((own + a, example, steps))
+            a = b
+        own, example, steps = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), (), ())))
         count, toxic = self.count[example].astype(float), self.toxic[example]
         if own_label is not None:
             same = self.index.equal(queries)[own] == example
@@ -239,8 +254,8 @@ def _found_in(docs: DataFrame, terms: pa.Array) -> DataFrame:
     return map_arrow(docs.select("text"), work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def pick_terms(examples: DataFrame, least_g: float = LEAST_G, most: int = TERMS) -> list[str]:
-    """Words whose document frequencies differ between the labels, by the G-test."""
+def pick_terms(examples: DataFrame, least_g: float = LEAST_G, lift: float = LEAST_LIFT, most: int = TERMS) -> list[str]:
+    """Words that stand for the label toxic, by the G-test and the share of toxic examples."""
     # as ``term_batch`` cuts words: letters outside ASCII belong to them
     lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.array_distinct(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
@@ -259,7 +274,7 @@ def pick_terms(examples: DataFrame, least_g: float = LEAST_G, most: int = TERMS)
     g = 2 * (part(F.col("toxic"), held * share) + part(F.col("rest"), held * (1 - share))
              + part(F.lit(sums["toxic"]) - F.col("toxic"), (every - held) * share)
              + part(F.lit(sums["rest"]) - F.col("rest"), (every - held) * (1 - share)))
-    best = counts.withColumn("g", F.round(g, 6)).where(F.col("g") >= least_g).orderBy(F.desc("g"), "word").limit(most)
+    best = counts.withColumn("g", F.round(g, 6)).where((F.col("g") >= least_g) & (F.col("toxic") >= lift * share * held)).orderBy(F.desc("g"), "word").limit(most)
     return sorted(r["word"] for r in best.select("word").collect())
 
 
