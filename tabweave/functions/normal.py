@@ -66,41 +66,37 @@ def normal_ppf(p: Column, scale: Column | None = None) -> Column:
     )
 
 
-# Up to this many degrees of freedom the finite series is summed; beyond it
-# the expansion in 1/df is more exact than the normal approximation it uses.
-EXACT_DF = 1000
-
-
-def _series(start: Column, count: Column, ratio: Column, step: float) -> Column:
-    """start * (1 + f1 + f1*f2 + ...) with f_j = ratio*(2j-1+step)/(2j+step)."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        F.struct(start.alias("term"), start.alias("total")),
-        lambda acc, j: F.struct(
-            (acc["term"] * ratio * (2 * j - 1 + step) / (2 * j + step)).alias("term"),
-            (acc["total"] + F.when(j <= count, acc["term"] * ratio * (2 * j - 1 + step) / (2 * j + step))
-             .otherwise(0.0)).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
+_STEPS = 1500  # of Simpson's rule, times two
+_REACH = 11.0  # beyond this, exp(-w * w / 2) is below 1e-26 of its start
+_SHIFT = 64
+
+
+def _gamma_ratio(a: Column) -> Column:
+    """gamma(a + 1/2) / gamma(a), by the recurrence up to ``_SHIFT`` more and the asymptotic series there."""
+    z = a + float(_SHIFT)
+    r = F.lit(1.0) / z
+    series = F.sqrt(z) * _horner(r, (-21 / 32768, 5 / 1024, 1 / 128, -1 / 8, 1.0))
+    down = F.aggregate(F.sequence(F.lit(0), F.lit(_SHIFT - 1)), F.lit(1.0), lambda acc, j: acc * (a + j) / (a + j + 0.5))
+    return series * down
 
 
 def student_upper(t: Column, df: Column) -> Column:
-    """P(T > t) for Student's t with an integer number of degrees of freedom."""
+    """P(T > t) for Student's t, for any positive number of degrees of freedom.
+
+    The tail integral of the density, with w * w = df * ln(1 + u * u / df) in
+    place of u: what is left is exp(-w * w / 2) times a smooth factor, whatever
+    df is, so one rule of a fixed number of steps serves all.
+    """
     nu = df.cast("double")
-    few = F.least(df, F.lit(EXACT_DF)).cast("int")
-    cos2 = nu / (nu + t * t)
-    sin = t / F.sqrt(nu + t * t)
-    cos = F.sqrt(cos2)
-    # A&S 26.7.4 (even) and 26.7.3 (odd): P(|T| < |t|), signed here
-    even = sin * _series(F.lit(1.0), (few / 2).cast("int") - 1, cos2, 0.0)
-    odd_sum = F.when(df > 1, sin * _series(cos, ((few - 1) / 2).cast("int") - 1, cos2, 1.0)).otherwise(0.0)
-    odd = F.lit(2.0 / math.pi) * (F.atan(t / F.sqrt(nu)) + odd_sum)
-    between = F.when(df % 2 == 0, even).otherwise(odd)
-    t2 = t * t
-    # Fisher's expansion in 1/df
-    wide = F.lit(1.0) - normal_cdf(t) + normal_pdf(t) * (
-        t * (t2 + 1.0) / (4.0 * nu)
-        + t * (3.0 * t2 * t2 * t2 - 7.0 * t2 * t2 - 5.0 * t2 - 3.0) / (96.0 * nu * nu)
-    )
-    return F.when(df <= EXACT_DF, (F.lit(1.0) - between) / 2.0).otherwise(wide)
+    low = F.sqrt(nu * F.log1p(t * t / nu))
+    step = F.lit(_REACH / (2 * _STEPS))
+
+    def value(w: Column) -> Column:
+        smooth = F.when(w > 0, w / F.sqrt(nu * -F.expm1(-w * w / nu))).otherwise(1.0)
+        return F.exp((low - w) * (low + w) / 2.0) * smooth
+
+    total = F.aggregate(
+        F.sequence(F.lit(0), F.lit(2 * _STEPS)), F.lit(0.0),
+        lambda acc, j: acc + value(low + j * step) * F.when(j.isin(0, 2 * _STEPS), 1.0).when(j % 2 == 1, 4.0).otherwise(2.0))
+    tail = _gamma_ratio(nu / 2.0) / F.sqrt(nu * math.pi) * F.exp(-low * low / 2.0) * total * step / 3.0
+    return F.when(t >= 0, tail).otherwise(1.0 - tail)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.hashing import row_hash
 from tabweave.operators.sample import HASH, Cut, find_cuts, numbered_copies, with_hash
+from tabweave.session import freeze, small_side
 
 REAL = "real"
 
@@ -36,21 +37,37 @@ def mix_augment(candidates: DataFrame, augmented: float, ordinal: int = 5, real:
 
 
 def mix_size(candidates: DataFrame, source_rows: DataFrame, total: int | None = None) -> DataFrame:
-    """Rows per source: ``floor(alpha * rows of the source)``, with the
-    remainder to ``total`` going to the largest weight (the first on a tie).
-
-    ``source_rows`` is ``(source, rows)``. Without ``total`` the mixture is as
-    large as the largest source.
+    """Rows per source that add up to ``total``: ``size``, never more than the source has.
+
+    A source is asked for ``alpha * total`` rows. What a source cannot give is
+    shared by the others in proportion to their weights, again and again until
+    none is asked for too much. Sizes are rounded down and the remainder goes
+    to the largest weight (the first on a tie), then to the next with room.
+    ``source_rows`` is ``(source, rows)``, a row per source. Without ``total``
+    the mixture is as large as the largest source. A total beyond all rows is
+    an error when the sizes are read.
     """
     every = Window.partitionBy("cand")
-    top = Window.partitionBy("cand").orderBy(F.desc("alpha"), "ordinal")
-    # a row per source, counted by the caller
-    sized = candidates.join(F.broadcast(source_rows), "source").withColumn(
-        "size", F.floor(F.col("alpha") * F.col("rows")).cast("long"))
+    sized = candidates.join(small_side(freeze(source_rows)), "source")
     goal = F.lit(total).cast("long") if total is not None else F.max("rows").over(every)
-    sized = sized.withColumn("_left", goal - F.sum("size").over(every)).withColumn("_top", F.row_number().over(top))
-    return sized.withColumn("size", F.when(F.col("_top") == 1, F.col("size") + F.col("_left")).otherwise(
-        F.col("size"))).drop("_left", "_top")
+    sized = sized.withColumn("_goal", F.when(F.sum("rows").over(every) >= goal, goal).otherwise(
+        F.raise_error(F.lit("the sources have fewer rows than the mixture asks for"))))
+    # Sources in the order in which they run out as the mixture grows. One is
+    # exhausted if its share of what those before it leave is beyond its rows.
+    fill = Window.partitionBy("cand").orderBy(F.coalesce(F.col("rows") / F.nullif("alpha", F.lit(0.0)), F.lit(float("inf"))), "ordinal")
+    before, onward = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("_goal") - F.coalesce(F.sum("rows").over(before), F.lit(0))
+    sized = sized.withColumn("_left", left).withColumn("_weights", F.sum("alpha").over(onward))
+    sized = sized.withColumn("_full", (F.col("alpha") > 0) & (F.col("rows") * F.col("_weights") < F.col("alpha") * F.col("_left")))
+    open_rows, open_alpha = F.col("_goal") - F.sum(F.when(F.col("_full"), F.col("rows"))).over(every), F.sum(F.when(~F.col("_full"), F.col("alpha"))).over(every)
+    share = F.when(F.col("_full"), F.col("rows")).when(
+        F.max("_full").over(every), F.floor(F.col("alpha") * open_rows / F.nullif(open_alpha, F.lit(0.0)) + 1e-9)).otherwise(
+        F.floor(F.col("alpha") * F.col("_goal")))
+    sized = sized.withColumn("size", F.least(F.coalesce(share.cast("long"), F.lit(0)), F.col("rows")))
+    top = Window.partitionBy("cand").orderBy(F.desc("alpha"), "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("_room", F.col("rows") - F.col("size")).withColumn("_rest", F.col("_goal") - F.sum("size").over(every))
+    give = F.least("_room", F.greatest(F.col("_rest") - F.coalesce(F.sum("_room").over(top), F.lit(0)), F.lit(0)))
+    return sized.withColumn("size", F.col("size") + give).drop("_goal", "_left", "_weights", "_full", "_room", "_rest")
 
 
 def source_counts(sources: DataFrame) -> DataFrame:

@@ -110,13 +110,13 @@ def ttest_greater(df: DataFrame, by: Sequence[str], method: str, mixture: str, m
     mixture against every other method: ``<metric>_t`` and ``<metric>_p``.
 
     One aggregate gives all moments; the rest works on a row per group. Zero
-    variance in both samples gives null.
+    variance in both samples gives null, and so does a data set without the mixture.
     """
     stats = df.groupBy(*by, method).agg(*[
         f(m).alias(f"{m}_{n}") for m in metrics
         for n, f in (("n", F.count), ("avg", F.avg), ("var", F.var_samp))])
     own = stats.where(F.col(method) == mixture).select(*by, *[F.col(f"{m}_{n}").alias(f"_{m}_{n}") for m in metrics for n in ("n", "avg", "var")])
-    pairs = stats.where(F.col(method) != mixture).join(own, list(by))
+    pairs = stats.where(F.col(method) != mixture).join(own, list(by), "left")
     out = pairs.select(*by, method, *[_t_value(m).alias(f"{m}_t") for m in metrics],
                        *[(F.col(f"{m}_n") + F.col(f"_{m}_n") - 2).cast("long").alias(f"_{m}_df") for m in metrics])
     tests = [c for m in metrics for c in (

@@ -82,6 +82,10 @@ def step(column: Column, bounds: Sequence[str], first: int = 0) -> Column:
         step(column, bounds[half + 1:], first + half + 1))
 
 
+# Windows of so many groups are spelled out in one expression.
+FEW_GROUPS = 8
+
+
 def find_cuts(
     hashed: DataFrame, positions: Mapping[object, Sequence[int]], group: str | None = None,
     sizes: Mapping[object, int] | None = None,
@@ -120,10 +124,15 @@ def find_cuts(
 def _place(rows: DataFrame, wanted: Mapping[str, Sequence[int]],
            windows: Mapping[str, Sequence[tuple[int, int]]]) -> dict[tuple[str, int], tuple[str, int, int]]:
     """(group, place) -> (hash, rows before it, rows at it), for places inside the windows."""
-    slot = F.lit(None).cast("int")
-    for g, ranges in windows.items():
-        bounds = [f"{edge:08x}" if edge < 2**32 else "g" for r in ranges for edge in r]
-        slot = F.when(F.col("_g") == F.lit(g), step(F.col(HASH), bounds)).otherwise(slot)
+    bounds = {g: [f"{edge:08x}" if edge < 2**32 else "g" for r in ranges for edge in r] for g, ranges in windows.items()}
+    if len(bounds) <= FEW_GROUPS:
+        slot = F.lit(None).cast("int")
+        for g, edges in bounds.items():
+            slot = F.when(F.col("_g") == F.lit(g), step(F.col(HASH), edges)).otherwise(slot)
+    else:  # too much for an expression: a row per group, listed by the caller
+        edges = rows.sparkSession.createDataFrame(list(bounds.items()), "_g string, _edges array<string>")
+        rows = rows.join(F.broadcast(edges), "_g")
+        slot = F.size(F.filter("_edges", lambda edge: edge <= F.col(HASH)))
     listed = rows.withColumn("_slot", slot).select(
         "_g", "_slot", F.when(F.col("_slot") % 2 == 1, F.col(HASH)).alias("_h"))
     runs = listed.groupBy("_g", "_slot", "_h").agg(F.count(F.lit(1)).alias("n"))

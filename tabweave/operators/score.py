@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -71,31 +73,47 @@ def log_odds_weight() -> Column:
     return F.log((F.col("pos") + 1.0) / (F.col("neg") + 1.0))
 
 
+# Up to this many models a weight is a column of its own, which keeps sums in
+# generated code; beyond, generated code would grow too long, and the weights
+# of a bin are one array. The sums are the same.
+COLUMN_SLOTS = 16
+
+
 def log_odds_slots(model: DataFrame, slots: int) -> DataFrame:
-    """(feature, bin) -> columns w0, w1, ...: one weight per slot (0 where a
-    slot has none). One row per bin."""
-    return model.groupBy("feature", "bin").agg(*[
-        F.coalesce(F.max(F.when(F.col("_slot") == i, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i in range(slots)])
+    """(feature, bin) -> columns w0, w1, ... or an array ``w``: one weight per
+    slot (0 where a slot has none). One row per bin."""
+    if slots <= COLUMN_SLOTS:
+        return model.groupBy("feature", "bin").agg(*[
+            F.coalesce(F.max(F.when(F.col("_slot") == i, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i in range(slots)])
+    found = F.map_from_entries(F.collect_list(F.struct("_slot", "weight")))  # an entry per model
+    return model.groupBy("feature", "bin").agg(found.alias("_w")).select(
+        "feature", "bin", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.col("_w")[i], F.lit(0.0))).alias("w"))
 
 
 def log_odds_score(counts: DataFrame, wide: DataFrame, features: Sequence[str], slots: int, into: str = "_scores") -> DataFrame:
     """Scores of binned rows under all slots, as one array; unseen bins add 0.
 
     One join per feature against a table with one row per bin, so rows are
-    neither unpivoted nor shuffled while the bins are few. The sums are spelled
-    out per slot, which keeps them in generated code.
+    neither unpivoted nor shuffled while the bins are few.
     """
     out = counts
     sizes = sizes_by(wide, "feature")
+    columns = slots <= COLUMN_SLOTS
     totals = [F.lit(0.0)] * slots
+    total = F.array_repeat(F.lit(0.0), slots)
     for f in features:
-        side = small_side(wide.where(F.col("feature") == f).select(
-            F.col("bin").alias(f"_k_{f}"), *[F.col(f"w{i}").alias(f"_w_{f}_{i}") for i in range(slots)]), counted=sizes.get(f, 0))
+        weights = [F.col(f"w{i}").alias(f"_w_{f}_{i}") for i in range(slots)] if columns else [F.col("w").alias(f"_w_{f}")]
+        side = small_side(wide.where(F.col("feature") == f).select(F.col("bin").alias(f"_k_{f}"), *weights), counted=sizes.get(f, 0))
         out = out.join(side, out[f"_bin_{f}"] == side[f"_k_{f}"], "left")
-        totals = [t + F.coalesce(F.col(f"_w_{f}_{i}"), F.lit(0.0)) for i, t in enumerate(totals)]
+        if columns:
+            totals = [t + F.coalesce(F.col(f"_w_{f}_{i}"), F.lit(0.0)) for i, t in enumerate(totals)]
+        else:
+            total = F.when(F.col(f"_w_{f}").isNull(), total).otherwise(F.zip_with(total, F.col(f"_w_{f}"), lambda t, w: t + w))
+            out = out.withColumn(f"_sum_{f}", total).drop(f"_w_{f}")
+            total = F.col(f"_sum_{f}")
     # Nine digits: sums that are equal but for the last bits must tie.
-    tidy = [F.floor(t * 1e9 + 0.5).cast("double") / 1e9 for t in totals]
-    return out.select(*counts.columns, F.array(*tidy).alias(into))
+    tidy = lambda t: F.floor(t * 1e9 + 0.5).cast("double") / 1e9
+    return out.select(*counts.columns, (F.array(*[tidy(t) for t in totals]) if columns else F.transform(total, tidy)).alias(into))
 
 
 def log_odds_auc(parts: DataFrame, label: str, bins: dict[str, Column], split: str = "split", train: str = "train") -> DataFrame:
@@ -200,16 +218,13 @@ def per_source_score(sources: DataFrame, real: DataFrame, label: str, bins: dict
     features = list(bins)
     model = freeze(log_odds_fit(binned(sources, label, bins, source), features, by=list(source)))
     names = [tuple(r) for r in model.select(*source).distinct().orderBy(*source).collect()]
-    place = F.lit(None).cast("int")
-    for i, name in enumerate(names):
-        same = F.lit(True)
-        for c, v in zip(source, name):
-            same = same & F.col(c).eqNullSafe(F.lit(v))
-        place = F.when(same, F.lit(i)).otherwise(place)
-    wide = freeze(log_odds_slots(model.withColumn("_slot", place), len(names)))
+    slot = real.sparkSession.createDataFrame(
+        [(i, *n) for i, n in enumerate(names)], model.select(F.lit(0).alias("_slot"), *source).schema)  # a row per source
+    same = [model[c].eqNullSafe(slot[c]) for c in source]
+    placed = model.join(F.broadcast(slot), reduce(and_, same)).select("feature", "bin", "weight", "_slot")
+    wide = freeze(log_odds_slots(placed, len(names)))
     scored = log_odds_score(binned(real, label, bins, [split]), wide, features, len(names))
     # outer: the arrays are never empty, and no filter has to check that
     flat = scored.select(split, "_y", "_n", F.posexplode_outer("_scores").alias("_slot", "_s"))
     out = auc(flat, "_s", "_y", ["_slot", split], weight="_n")
-    labels = real.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], ["_slot", *source])
-    return out.join(F.broadcast(labels), "_slot").select(*source, split, "auc")  # a row per source
+    return out.join(F.broadcast(slot), "_slot").select(*source, split, "auc")  # a row per source

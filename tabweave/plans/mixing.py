@@ -23,15 +23,11 @@ def _weights(spark: SparkSession, folder: str, cand: str) -> DataFrame:
         F.count(F.lit(1)).cast("double").alias("alpha")).withColumn("source", F.concat(F.lit("s"), F.col("ordinal").cast("string")))
 
 
-def _even_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Every source is taken to be as large as the smallest one."""
-    counts = mixture.source_counts(sources(spark, folder))
-    return counts.select("source", counts.agg(F.min("rows")).scalar().alias("rows"))
-
-
 def _sized(spark: SparkSession, folder: str, cand: str) -> DataFrame:
+    """Mixtures of two thirds of all rows, so that uneven weights exhaust some of the unequal sources."""
     weights = mixture.mix_normalise(_weights(spark, folder, cand))
-    return mixture.mix_size(weights, _even_rows(spark, folder))
+    counts = mixture.source_counts(sources(spark, folder))
+    return mixture.mix_size(weights, counts, counts.agg(F.sum("rows")).first()[0] * 2 // 3)
 
 
 def mix_normalise(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,11 +91,8 @@ def mix_score(spark: SparkSession, folder: str) -> DataFrame:
 
 def mix_search(spark: SparkSession, folder: str) -> DataFrame:
     rows = freeze(sources(spark, folder))
-    size = mixture.source_counts(rows).agg(F.min("rows")).first()[0]
-    # equal sources: the smallest one's size of each
-    even = mixture.mix_draw(rows, freeze(mixture.source_counts(rows).select(
-        F.lit(1).alias("cand"), "source", F.lit(size).alias("size"), "rows")), KEY, seed="even").drop("cand")
-    found = search.mix_search(freeze(even), freeze(_real(spark, folder)), "label", bins(), KEY, size=size, batch=8, max_trials=16)
+    size = mixture.source_counts(rows).agg(F.sum("rows")).first()[0] // 2
+    found = search.mix_search(rows, freeze(_real(spark, folder)), "label", bins(), KEY, size=size)
     return found.history
 
 
@@ -158,9 +151,18 @@ def _normal(column: str) -> str:
 
 
 def _sizes(column: str) -> str:
-    return f"""(SELECT cand, source, (base + CASE WHEN top = 1 THEN rows - sum(base) OVER (PARTITION BY cand) ELSE 0 END)::BIGINT AS size
-      FROM (SELECT *, floor(alpha * rows)::BIGINT AS base, row_number() OVER (PARTITION BY cand ORDER BY alpha DESC, ordinal) AS top
-        FROM {_normal(column)} a CROSS JOIN (SELECT min(n) AS rows FROM (SELECT count(*) AS n FROM {SOURCES} s GROUP BY source))))"""
+    return f"""(WITH n AS (SELECT source, count(*) AS rows FROM {SOURCES} s GROUP BY source),
+      a AS (SELECT c.*, n.rows, (SELECT sum(rows) * 2 // 3 FROM n)::BIGINT AS goal FROM {_normal(column)} c JOIN n USING (source)),
+      b AS (SELECT *, goal - coalesce(sum(rows) OVER (fill ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+          sum(alpha) OVER (fill ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+        FROM a WINDOW fill AS (PARTITION BY cand ORDER BY rows / alpha, ordinal)),
+      d AS (SELECT *, rows * weights < alpha * left_over AS is_full FROM b),
+      e AS (SELECT *, CASE WHEN is_full THEN rows WHEN bool_or(is_full) OVER c
+          THEN floor(alpha * (goal - sum(CASE WHEN is_full THEN rows END) OVER c) / sum(CASE WHEN NOT is_full THEN alpha END) OVER c + 1e-9::DOUBLE)
+          ELSE floor(alpha * goal) END::BIGINT AS base FROM d WINDOW c AS (PARTITION BY cand)),
+      f AS (SELECT *, least(base, rows) AS base2, goal - sum(least(base, rows)) OVER (PARTITION BY cand) AS rest FROM e)
+      SELECT cand, source, (base2 + least(rows - base2, greatest(rest - coalesce(sum(rows - base2) OVER (
+        PARTITION BY cand ORDER BY alpha DESC, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)))::BIGINT AS size FROM f)"""
 
 
 _RANKED = f"""(SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('-', {_K}, source, '5'))) AS rn FROM {SOURCES} s)"""

@@ -186,7 +186,7 @@ def _test(metric: str, where: str) -> str:
     return f"""{where}_m AS (SELECT data, method, count({metric}) AS n, avg({metric}) AS a, var_samp({metric}) AS v FROM {EXPERIMENTS} e GROUP BY ALL),
     {where}_t AS (SELECT o.data, o.method, (m.n + o.n - 2)::BIGINT AS df, (m.a - o.a) / nullif(sqrt(((m.n - 1) * m.v + (o.n - 1) * o.v)
         / nullif(m.n + o.n - 2, 0) * (1.0::DOUBLE / m.n + 1.0::DOUBLE / o.n)), 0) AS t
-      FROM {where}_m o JOIN {where}_m m ON m.data = o.data AND m.method = '{MIXTURE}' AND o.method <> '{MIXTURE}'),
+      FROM {where}_m o LEFT JOIN {where}_m m ON m.data = o.data AND m.method = '{MIXTURE}' WHERE o.method <> '{MIXTURE}'),
     {where}_p AS (SELECT data, method, t, CASE WHEN df % 2 = 0 THEN
         (1 - t / sqrt(df + t * t) * list_sum(list_transform(range(df // 2), lambda j:
           exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2)) * pow(df / (df + t * t), j)))) / 2

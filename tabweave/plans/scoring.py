@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.operators import score
+from tabweave.operators import replicate, sample, score
 from tabweave.operators.generate import gen_copula
 from tabweave.operators.sample import split3
 from tabweave.plans.inputs import (
@@ -74,8 +74,29 @@ def tree_score(spark: SparkSession, folder: str) -> DataFrame:
                             "label", depth=6, ignore=["o_orderkey"])
 
 
+def _replicated(out: DataFrame) -> DataFrame:
+    return out.select("replicate", "split", *[F.round(c, 7).alias(c) for c in ("auc", "mean", "std")])
+
+
+def replicate_auc(spark: SparkSession, folder: str) -> DataFrame:
+    """50 draws of a tenth of the training rows, a model of each, AUC on validation and test rows."""
+    parts = freeze(_parts(spark, folder))
+    train = parts.where("split = 'train'")
+    draws = sample.replicate(train.drop("split"), train.count() // 10, 50, KEY)
+    return _replicated(replicate.replicate_scores(draws, parts.where("split <> 'train'"), "label", bins()))
+
+
+def replicate_model(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for 50 draws from one copula of the training rows."""
+    parts = freeze(_parts(spark, folder))
+    train = spread(parts.where("split = 'train'"))
+    return _replicated(replicate.replicate_model(train, parts.where("split <> 'train'"), train.count() // 10, "label", bins(), NUMERIC,
+                                                 ["l_linestatus", "label"]))
+
+
 QUERIES = {f.__name__: f for f in (
-    auc, train_auc_guard, log_odds, score_trainval, per_source_score, tstr_score, real_baseline, tree_score)}
+    auc, train_auc_guard, log_odds, score_trainval, per_source_score, tstr_score, real_baseline, tree_score,
+    replicate_auc, replicate_model)}
 
 _MODEL = "ln((sum(label) + 1.0::DOUBLE) / (sum(1 - label) + 1.0::DOUBLE))"
 
@@ -97,7 +118,18 @@ _PER_SOURCE = f"""WITH parts AS MATERIALIZED {SPLIT}, src AS (SELECT *, l_linest
   scored AS (SELECT n.source, n.tuned, r.split, label AS y, {chain_sql()} AS s FROM parts r CROSS JOIN names n
     {joins_sql('w', 'AND w_{f}.source = n.source AND w_{f}.tuned = n.tuned')} WHERE r.split <> 'train')
   SELECT source, tuned, split, round(auc, 9) AS auc FROM ({auc_sql('SELECT * FROM scored', 'source, tuned, split')})"""
+_REPLICATES = "(SELECT unnest(range(1, 51))::INTEGER AS replicate)"
+_REPLICATE = f"""WITH parts AS MATERIALIZED {SPLIT}, train AS (SELECT * EXCLUDE (split) FROM parts WHERE split = 'train'),
+  drawn AS MATERIALIZED (SELECT * FROM (SELECT t.*, replicate, row_number() OVER (PARTITION BY replicate
+      ORDER BY md5(concat_ws('-', {', '.join(KEY)}, replicate, '5'))) AS place, count(*) OVER (PARTITION BY replicate) AS pool
+    FROM train t, {_REPLICATES} r) WHERE place <= pool // 10),
+  w AS MATERIALIZED ({_weights('drawn', 'replicate')}),
+  scored AS (SELECT c.replicate, r.split, label AS y, {chain_sql()} AS s FROM parts r CROSS JOIN {_REPLICATES} c
+    {joins_sql('w', 'AND w_{f}.replicate = c.replicate')} WHERE r.split <> 'train')
+  SELECT replicate, split, round(auc, 7) AS auc, round(avg(auc) OVER (PARTITION BY split), 7) AS mean,
+    round(stddev_samp(auc) OVER (PARTITION BY split), 7) AS std FROM ({auc_sql('SELECT * FROM scored', 'replicate, split')})"""
 ORACLES = {
+    "replicate_auc": _REPLICATE,
     "auc": _rounded(auc_sql(f"SELECT l_linestatus, l_extendedprice AS s, label AS y FROM {LABELLED} l", "l_linestatus")),
     "train_auc_guard": "SELECT * REPLACE (coalesce(round(auc, 9), 0.5) AS auc) FROM ("
         + auc_sql(f"SELECT l_orderkey, l_extendedprice AS s, label AS y FROM {LABELLED} l", "l_orderkey") + ")",

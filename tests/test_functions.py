@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions import ordered
 from tabweave.functions.hashing import normal_pair, row_hash
-from tabweave.functions.normal import EXACT_DF, normal_cdf, normal_ppf, student_upper
+from tabweave.functions.normal import normal_cdf, normal_ppf, student_upper
 
 
 def test_normal_functions(spark):
@@ -31,12 +31,23 @@ def _upper(t, df):
 
 
 def test_student(spark):
-    cases = [(t, df) for t in (-3.0, -0.5, 0.0, 0.7, 2.7365142, 5.0) for df in (1, 2, 3, 4, 5, 18, 99, EXACT_DF, EXACT_DF + 1, 50_000)]
+    cases = [(t, df) for t in (-3.0, -0.5, 0.0, 0.7, 2.7365142, 5.0) for df in (1, 2, 3, 4, 5, 18, 99, 999, 1000, 1001, 5000, 50_000)]
     rows = spark.createDataFrame(cases, "t double, df long").select("t", "df", student_upper(F.col("t"), F.col("df")).alias("p"))
     for t, df, p in rows.collect():
         assert abs(p - _upper(t, df)) < 1e-6, (t, df, p)
 
 
+def test_student_far_out(spark):
+    """Closed forms for one and two degrees of freedom, and the normal limit, far into the tail."""
+    import math
+    for t in (0.1, 1.0, 10.0, 1000.0):
+        row = spark.range(1).select(*[student_upper(F.lit(t), F.lit(df)).alias(f"p{df}") for df in (1, 2)]).first()
+        assert abs(row.p1 / (math.atan2(1.0, t) / math.pi) - 1) < 1e-8
+        assert abs(row.p2 / (1 / ((t * t + 2) * (1 + t / math.sqrt(t * t + 2)))) - 1) < 1e-8
+    row = spark.range(1).select(student_upper(F.lit(6.0), F.lit(10**9)).alias("p")).first()
+    assert abs(row.p / (math.erfc(6 / math.sqrt(2)) / 2) - 1) < 1e-5
+
+
 def test_student_golden(spark):
     rows = spark.createDataFrame([(2.7365142, 0.0068), (-0.2272316, 0.5886), (0.0, 0.5)], "t double, p double")
     for p, got in rows.select("p", student_upper(F.col("t"), F.lit(18).cast("long"))).collect():

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,52 @@ def test_sizes_and_draws(spark):
         assert len({(r["cand"], r["source"], r["id"]) for r in drawn}) == 600
 
 
+def _filled(alpha, rows, total):
+    """Sizes by raising the water level in small steps: the real-valued targets."""
+    size, left, open_ = dict.fromkeys(rows, 0.0), float(total), {s for s in rows if alpha[s] > 0}
+    while left > 1e-9 and open_:
+        weight = sum(alpha[s] for s in open_)
+        level = min(left / weight, *((rows[s] - size[s]) / alpha[s] for s in open_), float("inf"))
+        for s in open_:
+            size[s] += alpha[s] * level
+        left -= weight * level
+        open_ = {s for s in open_ if rows[s] - size[s] > 1e-9}
+    return size
+
+
+@pytest.mark.parametrize("alpha,rows,total", [
+    ((0.7, 0.1, 0.1, 0.1), (100, 1000, 5000, 300), 4370), ((0.7, 0.1, 0.1, 0.1), (100, 1000, 5000, 300), 200), ((0.7, 0.1, 0.1, 0.1), (100, 1000, 5000, 300), 6400),
+    ((0.25, 0.25, 0.25, 0.25), (3, 3, 3, 3), 10), ((1.0, 0.0, 0.0, 0.0), (5, 5, 5, 5), 17), ((0.5, 0.3, 0.2, 0.0), (10, 100, 20, 7), 77)])
+def test_capacities(spark, alpha, rows, total):
+    """No source gives more than it has, and what one lacks the others share by weight."""
+    names = [f"s{k}" for k in range(4)]
+    table = spark.createDataFrame([(1, k, s, a) for k, (s, a) in enumerate(zip(names, alpha))], "cand int, ordinal int, source string, alpha double")
+    counts = spark.createDataFrame(list(zip(names, rows)), "source string, rows long")
+    got = {r["source"]: r["size"] for r in mixture.mix_size(table, counts, total).collect()}
+    assert sum(got.values()) == total and all(0 <= got[s] <= n for s, n in zip(names, rows))
+    want = _filled(dict(zip(names, alpha)), dict(zip(names, rows)), total)
+    if sum(want.values()) > total - 1e-6:  # weights alone can fill it
+        assert all(abs(got[s] - want[s]) < 4 for s in names)
+
+
+def test_sizes_of_equal_pools(spark):
+    """With pools as large as the mixture: whole numbers of alpha * total, the remainder to the largest weight."""
+    pick = random.Random(3)
+    rows, want = [], {}
+    for cand in range(40):
+        raw = [pick.random() for _ in range(5)]
+        alpha = [x / sum(raw) for x in raw]
+        size = [int(a * 10_000) for a in alpha]
+        size[alpha.index(max(alpha))] += 10_000 - sum(size)
+        rows += [(cand, k, f"s{k}", a) for k, a in enumerate(alpha)]
+        want |= {(cand, f"s{k}"): n for k, n in enumerate(size)}
+    counts = spark.createDataFrame([(f"s{k}", 10_000) for k in range(5)], "source string, rows long")
+    got = mixture.mix_size(spark.createDataFrame(rows, "cand int, ordinal int, source string, alpha double"), counts, 10_000)
+    assert {(r["cand"], r["source"]): r["size"] for r in got.collect()} == want
+    with pytest.raises(Exception, match="fewer rows"):
+        mixture.mix_size(spark.createDataFrame(rows[:5], "cand int, ordinal int, source string, alpha double"), counts, 50_001).collect()
+
+
 def test_draws_from_copies(spark):
     src = spark.createDataFrame([("s1", 1)] * 60 + [("s2", i) for i in range(60)], "source string, id int").repartition(3)
     sizes = mixture.mix_size(search.candidate_table(spark, [[0.75, 0.25], [0.5, 0.5]], ["s1", "s2"]), mixture.source_counts(src), 60)

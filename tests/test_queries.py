@@ -24,3 +24,14 @@ def test_query(spark, folder, con, name):
 def test_entry(spark):
     assert entry_point.entry(spark).count() == 3
     assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
+
+
+def test_without_training_data(monkeypatch):
+    """A missing library of the training-data part leaves all other queries."""
+    import sys
+    for name in [m for m in sys.modules if m.startswith("tabweave.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    monkeypatch.delattr("tabweave.llm", raising=False)
+    assert set(entry_point.queries()) == set(QUERIES)
+    assert set(entry_point.oracle_sql()) == set(ORACLES)

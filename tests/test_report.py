@@ -13,9 +13,11 @@ def test_t_from_published_moments(spark):
 
     rows = [("d", "mix", v) for v in sample(0.8667, 0.0104)] + [("d", "other", v) for v in sample(0.7721, 0.0402)]
     rows += [("flat", m, 0.5) for m in ("mix", "other") for _ in range(10)]
+    rows += [("bare", "other", 0.5), ("bare", "other", 0.6)]  # without the mixture
     got = {r["data"]: r for r in report.ttest_greater(spark.createDataFrame(rows, "data string, method string, auc double"),
                                                        ["data"], "method", "mix", ["auc"]).collect()}
     assert round(got["d"]["auc_t"], 2) == 7.20 and got["d"]["auc_p"] < 1e-5
+    assert got["bare"]["auc_t"] is None and got["bare"]["auc_p"] is None
     assert got["flat"]["auc_t"] is None and got["flat"]["auc_p"] is None
 
 

@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabweave.operators import score
+from tabweave.operators import replicate, score
+from tabweave.session import freeze
 
 
 def _brute(pairs):
@@ -62,3 +63,23 @@ def test_sources_are_ranked(spark, separable):
     bad = good.withColumn("y", 1 - F.col("y")).withColumn("source", F.lit("bad"))
     got = {r["source"]: r["auc"] for r in score.per_source_score(good.unionByName(bad), separable.where("split = 'test'"), "y", bins).collect()}
     assert got["good"] > 0.9 and got["bad"] < 0.1
+
+
+def test_replicates_of_one_model(spark):
+    """Every draw is scored as if it stood alone, whether weights are columns or arrays."""
+    rng = np.random.default_rng(4)
+    rows = [(int(y), float(x), c, s) for y, x, c, s in zip(
+        rng.integers(0, 2, 900), rng.normal(size=900), rng.choice(["a", "b"], 900), rng.choice(["val", "test"], 900))]
+    real = spark.createDataFrame([(y, x + y, c, s) for y, x, c, s in rows], "label int, x double, c string, split string")
+    bins = {"x": F.floor(F.col("x") * 2).cast("int"), "c": F.col("c")}
+    draws = freeze(replicate.draw_many(real.drop("split"), 120, 20, ["x"], ["c", "label"]))
+    assert {r["replicate"]: r["count"] for r in draws.groupBy("replicate").count().collect()} == dict.fromkeys(range(1, 21), 120)
+    got = {(r["replicate"], r["split"]): r for r in replicate.replicate_scores(draws, real, "label", bins).collect()}
+    assert len(got) == 40
+    few = {(r["replicate"], r["split"]): r["auc"] for r in
+           replicate.replicate_scores(draws.where("replicate <= 3"), real, "label", bins).collect()}
+    assert all(abs(got[k]["auc"] - auc) < 1e-12 for k, auc in few.items())
+    for split in ("val", "test"):
+        values = [got[k, split]["auc"] for k in range(1, 21)]
+        assert abs(got[1, split]["mean"] - np.mean(values)) < 1e-9 and abs(got[1, split]["std"] - np.std(values, ddof=1)) < 1e-9
+        assert np.mean(values) > 0.6
