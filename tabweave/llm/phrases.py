@@ -154,8 +154,9 @@ def count_batch(lang: pa.Array, text: pa.Array, longest: int, now: Proposals | N
             good = before = np.ones(len(keys), np.bool_)
         else:
             places = now.places(keys)
-            good = now.holds(size - 1, places) | ~known
-            before = old.holds(size - 1, places) & known if old is not None else np.zeros(len(places), np.bool_)
+            good, before = now.holds(size - 1, places), np.zeros(len(places), np.bool_)
+            if old is not None:
+                good, before = good | ~known, old.holds(size - 1, places) & known
         every = np.full(len(words) + 1, -1, np.int64)
         every[at] = code
         left = at[at < len(words) - size + 1]

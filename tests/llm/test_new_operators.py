@@ -139,6 +139,23 @@ def test_phrases(spark, least, longest, sample, bits):
     assert sorted(tuple(r) for r in made) == plain_phrases(rows, least, longest, 50, 30)
 
 
+def test_border_of_few_proposals():
+    """The first pass counts single words and what proposals allow, nothing else."""
+    def sizes(*proposed):
+        now = phrases.Proposals(1 << 16, 3)
+        for size, key in proposed:
+            place = now.places(pa.array([key]))
+            now.maps[size][(place >> np.uint64(6)) % np.uint64(len(now.maps[size]))] |= np.uint64(1) << (place & np.uint64(63))
+        made = phrases.count_batch(pa.array(["en"]), pa.array(["a b c a b d"]), 3, now, None)
+        return sorted(k.split("\t")[1] for r in made for k in r.column("key").to_pylist() if " " in k)
+
+    assert sizes() == sizes((1, "en\ta")) == []
+    assert sizes((1, "en\ta"), (1, "en\tb")) == ["a b"]
+    words = [(1, f"en\t{w}") for w in "abcd"]
+    assert sizes(*words) == ["a b", "b c", "b d", "c a"]
+    assert sizes(*words, (2, "en\ta b"), (2, "en\tb c")) == ["a b", "a b c", "b c", "b d", "c a"]
+
+
 def test_no_phrases(spark):
     assert phrases.collocations(phrases.frequent_phrases(frame(spark, [(1, "a", "en", "s", 1)]).limit(0))).count() == 0
     # products beyond 64 bits
