@@ -6,13 +6,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabweave.functions.hashing import row_hash, uniform
 from tabweave.functions.ordered import ONE_TASK_ROWS, running
 from tabweave.operators.mixture import (
-    REAL, candidate_cuts, mix_draw, mix_normalise, mix_size, mix_warmstart, source_counts)
+    REAL, candidate_cuts, mix_augment, mix_draw, mix_normalise, mix_size, mix_warmstart, source_counts)
 from tabweave.operators.sample import HASH, step, with_hash
 from tabweave.operators.score import (
     auc, binned, log_odds_fit, log_odds_score, log_odds_slots, log_odds_weight, per_source_score, tstr_score)
@@ -94,12 +94,37 @@ def score_batch(sources: DataFrame, real_counts: DataFrame, label: str, bins: di
 
 @dataclass
 class SearchResult:
-    """``history`` has a row per trial; ``best`` is its best row's content."""
+    """``history`` has a row per trial with the AUC on every split of the real
+    rows; ``best`` is the chosen trial's row. ``promoted`` holds what the
+    boosted trees said of the best few, ``(trial, split, auc)``."""
 
     history: DataFrame
     best: dict[str, float]
     weights: dict[str, float]
     stopped_at: int
+    promoted: DataFrame | None = None
+
+
+# Raw weights are whole numbers, so their sums are exact in any order and any
+# SQL engine draws the same candidates.
+GRAIN = 1_000_000
+
+
+def drawn_weights(spark: SparkSession, names: Sequence[str], first: int, count: int, seed: object,
+                  center: Sequence[float] | None = None, reach: float = 0.3) -> DataFrame:
+    """``(cand, ordinal, source, alpha)`` of candidates ``first, first + 1, ...``: raw
+    weights from a hash of candidate and source, uniform, or within ``reach``
+    of ``center`` (weights that add up to 1), at least one grain each."""
+    listed = spark.range(first, first + count).select(
+        F.col("id").cast("int").alias("cand"), F.posexplode(F.array(*[F.lit(n) for n in names])).alias("_at", "source"))
+    u = uniform(row_hash(["cand", "source"], seed))
+    if center is None:
+        raw = F.floor(u * GRAIN)
+    else:
+        middle = F.get(F.array(*[F.lit(int(c * GRAIN)) for c in center]), F.col("_at"))
+        raw = middle + F.floor((2 * u - 1) * (reach * GRAIN))
+    return listed.select("cand", (F.col("_at") + 1).cast("int").alias("ordinal"), "source",
+                         F.greatest(raw.cast("double"), F.lit(1.0)).alias("alpha"))
 
 
 def no_progress(scores: Sequence[float], patience: int, percent: float = 0.0) -> int | None:
@@ -125,77 +150,103 @@ def no_progress(scores: Sequence[float], patience: int, percent: float = 0.0) ->
 
 def mix_search(
     sources: DataFrame, real: DataFrame, label: str, bins: dict[str, Column], key: Sequence[str], *,
-    size: int | None = None, augmented: float = 0.0, batch: int = 8, max_trials: int = 32, patience: int = 10,
-    percent: float = 0.0, seed: int = 5, split: str = "split", objective: str = "val",
+    size: int | None = None, augmented: float = 0.0, batch: int = 16, max_trials: int = 64, patience: int = 20,
+    percent: float = 0.0, seed: int = 5, split: str = "split", objective: str = "val", reach: float = 0.3,
+    promote: int = 0, rounds: int = 20, depth: int = 6, ignore: Sequence[str] = (),
 ) -> SearchResult:
     """Weights that maximise the validation AUC.
 
-    The first batch holds the warm start, every single source and uniform
-    draws; later batches draw around the best so far. A batch is scored as one
-    set of Spark jobs; the driver keeps candidates and scores only. What the
-    batches read (key, label and bins of the source rows, counts of the real
-    rows) is written once.
+    Trial 1 starts warm, from the AUC of the single sources; if that mixture (the
+    probe) does not beat the best single source, it is that source alone. The
+    rest of the first batch is drawn uniformly, later batches around the best so
+    far. A batch is scored as one set of Spark jobs; the driver keeps
+    candidates and scores only. What the batches read (key, label and bins of
+    the source rows, counts of the real rows) is written once.
+
+    The AUC on the other splits of ``real`` is reported and has no say. With
+    ``promote`` that many of the best trials are drawn and given to boosted
+    trees, and the best of them on the objective is the result.
     """
     spark = sources.sparkSession
-    names = sorted(r[0] for r in source_counts(sources).collect())
+    rows = freeze(source_counts(sources))
+    names = sorted(r["source"] for r in rows.select("source").collect())
     synthetic = [n for n in names if n != REAL]
     if augmented > 0 and REAL not in names:
         raise ValueError(f"an augmented share needs a source named {REAL}")
     used = [*synthetic, REAL] if augmented > 0 else synthetic
-    rows = freeze(source_counts(sources))
-    judge = real.where(F.col(split) == objective)
+    judge = real.where(F.col(split) != "train")
     judge_counts = freeze(binned(judge, label, bins, [split]).withColumnRenamed(split, "split"))
-    single = per_source_score(sources.where(F.col("source") != REAL), judge, label, bins, split=split)
-    single = single.withColumnRenamed("source", "_source").select(F.col("_source").alias("source"), "auc")
-    start = {r["source"]: r["alpha"] for r in mix_warmstart(single, augmented).collect()}
     slim = freeze(sources.select("source", *key, label, *[b.alias(f"_in_{f}") for f, b in bins.items()]))
     slim_bins = {f: F.col(f"_in_{f}") for f in bins}
-    rng = np.random.default_rng(seed)
-    share = 1.0 - augmented
-
-    def complete(vector: np.ndarray) -> list[float]:
-        scaled = vector / vector.sum() * share
-        return [*scaled.tolist(), augmented] if augmented > 0 else scaled.tolist()
-
-    plan = [np.array([start[s] for s in synthetic])]
-    plan += [np.eye(len(synthetic))[i] for i in range(len(synthetic))]
-    trials: list[tuple[list[float], float, float]] = []
+    single = per_source_score(slim.where(F.col("source") != REAL), judge.where(F.col(split) == objective).select(
+        label, split, *[b.alias(f"_in_{f}") for f, b in bins.items()]), label, slim_bins, split=split)
+    single = single.select("source", F.coalesce("auc", F.lit(0.5)).alias("auc"))
+    alone = {r["source"]: (r["auc"], r["alpha"]) for r in mix_warmstart(freeze(single)).collect()}
+    lone_auc = [alone[s][0] for s in synthetic]
+    warm = [max(float(int(alone[s][1] * GRAIN)), 0.0) for s in synthetic]
+    corner = [float(GRAIN) if i == lone_auc.index(max(lone_auc)) else 0.0 for i in range(len(synthetic))]
+
+    def scored(raw: DataFrame) -> dict[int, tuple[list[float], dict[str, float]]]:
+        """Weights and AUC by split of each candidate."""
+        if augmented > 0:
+            raw = mix_augment(raw, augmented, len(synthetic) + 1)
+        table = freeze(mix_normalise(raw, augmented))
+        sizes = freeze(mix_size(table, rows, size))
+        out: dict[int, tuple[list[float], dict[str, float]]] = {}
+        for r in table.orderBy("cand", "ordinal").collect():
+            out.setdefault(r["cand"], ([], {}))[0].append(r["alpha"])
+        for r in score_batch(slim, judge_counts, label, slim_bins, sizes, key, seed).collect():
+            out[r["cand"]][1][r["split"]] = 0.5 if r["auc"] is None else float(r["auc"])
+        return out
+
+    trials: list[tuple[list[float], dict[str, float]]] = []
+    value = lambda t: t[1].get(objective, 0.5)
     stop = None
     while len(trials) < max_trials and stop is None:
-        while len(plan) < batch:
-            if not trials:
-                plan.append(rng.uniform(size=len(synthetic)))
-            else:
-                best = np.array(max(trials, key=lambda t: t[2])[0][: len(synthetic)])
-                plan.append(np.clip(best + rng.normal(0.0, 0.15, len(synthetic)), 1e-3, None))
-        chosen = [complete(v) for v in plan[: max_trials - len(trials)]]
-        plan = []
-        table = mix_normalise(candidate_table(spark, chosen, used), augmented)
-        sizes = freeze(mix_size(table, rows, size))
-        scored = {(r["cand"], r["split"]): r["auc"] for r in
-                  score_batch(slim, judge_counts, label, slim_bins, sizes, key, seed).collect()}
-        for i, vector in enumerate(chosen, start=1):
-            val = scored.get((i, objective))
-            trials.append((vector, scored.get((i, "train"), 0.5), float(val) if val is not None else 0.5))
-        stop = no_progress([t[2] for t in trials], patience, percent)
+        first = len(trials) + 1
+        count = min(batch, max_trials - len(trials))
+        if first == 1:
+            # candidate 0 is the probe; trial 1 is either the probe or the corner
+            raw = candidate_table(spark, [warm, corner], synthetic, 0)
+            if count > 1:
+                raw = raw.unionByName(drawn_weights(spark, synthetic, 2, count - 1, seed))
+            done = scored(raw)
+            done[1] = done[0] if value(done[0]) > max(lone_auc) else done[1]
+        else:
+            top = max(trials, key=value)[0][: len(synthetic)]
+            done = scored(drawn_weights(spark, synthetic, first, count, seed, [a / (1.0 - augmented) for a in top], reach))
+        trials += [done[first + i] for i in range(count)]
+        stop = no_progress([value(t) for t in trials], patience, percent)
     kept = trials[: stop or len(trials)]
+    others = sorted({s for t in kept for s in t[1]} - {"train", objective})
     history = spark.createDataFrame(
-        [(i, *vector, train, val) for i, (vector, train, val) in enumerate(kept, start=1)],
-        ["trial", *[f"alpha_{j + 1}" for j in range(len(used))], "train_auc", "val_auc"])
-    top = max(range(len(kept)), key=lambda i: (kept[i][2], -i))
-    best = {"trial": top + 1, "train_auc": kept[top][1], "val_auc": kept[top][2]}
-    return SearchResult(history, best, dict(zip(used, kept[top][0])), len(kept))
+        [(i, *t[0], t[1].get("train", 0.5), value(t), *[t[1].get(o) for o in others]) for i, t in enumerate(kept, start=1)],
+        ", ".join(["trial int", *[f"alpha_{j + 1} double" for j in range(len(used))], "train_auc double",
+                   f"{objective}_auc double", *[f"`{o}_auc` double" for o in others]]))
+    top = max(range(len(kept)), key=lambda i: (value(kept[i]), -i))
+    found = SearchResult(history, {}, dict(zip(used, kept[top][0])), len(kept))
+    if promote:
+        found.promoted = freeze(rescore(found, sources, judge, label, key, size=size, top=promote, split=split, rounds=rounds,
+                                        depth=depth, ignore=ignore, seed=seed, score=f"{objective}_auc"))
+        said = {(r["trial"], r["split"]): r["auc"] for r in found.promoted.collect()}
+        judged = [t for t, s in said if s == objective and said[t, s] is not None]
+        if judged:
+            top = max(judged, key=lambda t: (said[t, objective], -t)) - 1
+        found.weights = dict(zip(used, kept[top][0]))
+        found.best = {f"tree_{s}_auc": auc for (t, s), auc in said.items() if t == top + 1}
+    found.best |= {"trial": top + 1, **{f"{s}_auc": auc for s, auc in kept[top][1].items()}, "val_auc": value(kept[top])}
+    return found
 
 
 def rescore(found: SearchResult, sources: DataFrame, real: DataFrame, label: str, key: Sequence[str], *,
             size: int | None = None, top: int = 3, split: str = "split", rounds: int = 20, depth: int = 6,
-            ignore: Sequence[str] = (), seed: object = 5) -> DataFrame:
+            ignore: Sequence[str] = (), seed: object = 5, score: str = "val_auc") -> DataFrame:
     """Draw the best few mixtures of a search and score them with boosted
     trees: ``(trial, split, auc)``. ``top`` models are trained one by one."""
     spark = sources.sparkSession
     names = list(found.weights)
     alphas = [f"alpha_{j + 1}" for j in range(len(names))]
-    best = found.history.orderBy(F.desc("val_auc"), "trial").limit(top).collect()
+    best = found.history.orderBy(F.desc(score), "trial").limit(top).collect()
     rows = [(r["trial"], j + 1, s, float(r[a])) for r in best for j, (s, a) in enumerate(zip(names, alphas))]
     sizes = freeze(mix_size(spark.createDataFrame(rows, "cand int, ordinal int, source string, alpha double"),
                             freeze(source_counts(sources)), size))

@@ -154,3 +154,65 @@ def test_hp_search_stops(spark):
     rows = got.orderBy("trial").collect()
     assert [r["val_auc"] for r in rows] == [0.5, 0.9, 0.5, 0.5, 0.5]
     assert [r["trial"] for r in rows if r["tuned"]] == [2] and rows[0]["untuned"]
+
+
+def test_drawn_weights(spark):
+    names = ["a", "b", "c"]
+    raw = search.drawn_weights(spark, names, 5, 40, 9)
+    got = {(r["cand"], r["source"]): r["alpha"] for r in raw.collect()}
+    assert set(got) == {(c, s) for c in range(5, 45) for s in names} and len(set(got.values())) > 100
+    assert all(v == int(v) and 1 <= v <= search.GRAIN for v in got.values())
+    # a candidate's weights follow from its number alone
+    assert got[44, "b"] == search.drawn_weights(spark, names, 44, 1, 9).where("source = 'b'").first()["alpha"]
+    near = search.drawn_weights(spark, names, 1, 50, 9, center=[0.9, 0.1, 0.0], reach=0.05).collect()
+    middle = dict(zip(names, (0.9, 0.1, 0.0)))
+    assert all(abs(r["alpha"] / search.GRAIN - middle[r["source"]]) <= 0.0501 for r in near)
+
+
+def _searched(spark, good_alone):
+    """Three sources, the last one noise: either the first alone knows the
+    label, or the first two each know half of it."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(2400):
+        x, z, noise, k = int(rng.integers(0, 8)), int(rng.integers(0, 8)), int(rng.integers(0, 2)), i % 3
+        y = noise if k == 2 or (good_alone and k) else int(x + z > 7) if good_alone else int(x > 3) if k else int(z > 3)
+        rows.append((f"s{k + 1}", i, x, z, y))
+    src = spark.createDataFrame(rows, "source string, id int, x int, z int, y int")
+    a, b = rng.integers(0, 8, 600), rng.integers(0, 8, 600)
+    real = spark.createDataFrame([(int(p), int(q), int(p + q > 7), "test" if i % 2 else "val") for i, (p, q) in enumerate(zip(a, b))],
+                                 "x int, z int, y int, split string")
+    return src, real
+
+
+@pytest.mark.parametrize("good_alone", [False, True])
+def test_search_starts_warm_or_at_the_corner(spark, good_alone):
+    bins = {"x": F.col("x"), "z": F.col("z")}
+    src, real = _searched(spark, good_alone)
+    found = search.mix_search(src, real, "y", bins, ["id"], batch=2, max_trials=2, size=800)
+    assert {"train_auc", "val_auc", "test_auc"} <= set(found.history.columns)
+    first = found.history.where("trial = 1").first()
+    val = real.where("split = 'val'")
+    lone = {r["source"]: r["auc"] for r in search.per_source_score(src, val, "y", bins).collect()}
+    start = {r["source"]: r["alpha"] for r in mixture.mix_warmstart(
+        spark.createDataFrame(list(lone.items()), "source string, auc double")).collect()}
+    warm = search.candidate_table(spark, [[start[s] for s in sorted(start)]], sorted(start))
+    sizes = mixture.mix_size(mixture.mix_normalise(warm), mixture.source_counts(src), 800)
+    probe = {r["split"]: r["auc"] for r in search.score_candidates(src, val, "y", bins, sizes, ["id"]).collect()}["val"]
+    if probe > max(lone.values()):
+        assert abs(first["val_auc"] - probe) < 0.01 and first["alpha_1"] < 1
+    else:
+        assert first[f"alpha_{max(lone, key=lone.get)[1]}"] == 1.0
+    assert (probe > max(lone.values())) or good_alone  # the halves add up
+
+
+def test_promoted_trials_decide(spark):
+    bins = {"x": F.col("x"), "z": F.col("z")}
+    src, real = _searched(spark, good_alone=True)
+    found = search.mix_search(src, real, "y", bins, ["id"], batch=4, max_trials=8, size=800, promote=2, rounds=3, depth=3)
+    said = {(r["trial"], r["split"]): r["auc"] for r in found.promoted.collect()}
+    assert len(said) == 4 and {s for _, s in said} == {"val", "test"}
+    assert found.best["tree_val_auc"] == max(v for (_, s), v in said.items() if s == "val")
+    assert found.best["tree_test_auc"] == said[found.best["trial"], "test"]
+    kept = found.history.where(F.col("trial") == found.best["trial"]).first()
+    assert [found.weights[s] for s in ("s1", "s2")] == [kept["alpha_1"], kept["alpha_2"]]
