@@ -9,9 +9,11 @@ ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabweave.session import freeze, has_at_most
@@ -84,28 +86,86 @@ def long_values(df: DataFrame, columns: Sequence[str], cast: str = "double") ->
     )
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **kw: int) -> DataFrame:
-    """Linear-interpolated quantiles, one row per column with an array ``q``.
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], knots: int = 256,
+                    accuracy: int = 10_000) -> DataFrame:
+    """Linear-interpolated quantiles, one row per column with an array ``q``;
+    null, NaN and infinite values count as missing.
 
-    ``percentile`` keeps a value map per group in one task; this counts
-    distinct values first and reads the order statistics off a running count.
+    The order statistics are found by narrowing: a sketch proposes knots, the rows
+    at and between knots are counted, and only the gaps that hold a wanted
+    place are sketched and counted again. The counts decide, so the sketch may
+    err; each pass combines on the map side and sends a number per knot. No
+    value is shuffled, whatever the distribution. ``df`` is read about four times.
     """
-    counted = (
-        long_values(df, columns).where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = running(counted, ["column"], ["value"], {"upto": ("sum", "n")}, **kw)
-    total = ranked.groupBy("column").agg(F.max("upto").alias("rows"))  # one row per column
-    at = ranked.join(F.broadcast(total), "column")
-    picks: list[Column] = []
-    for i, p in enumerate(probs):
-        place = (F.col("rows") - 1) * F.lit(float(p))
-        for side, index in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            picks.append(F.min(F.when(F.col("upto") > index, F.col("value"))).alias(f"{side}{i}"))
-    stats = at.groupBy("column").agg(F.max("rows").alias("rows"), *picks)
-    q = []
-    for i, p in enumerate(probs):
-        place = (F.col("rows") - 1) * F.lit(float(p))
-        share = place - F.floor(place)
-        q.append(F.col(f"lo{i}") + share * (F.col(f"hi{i}") - F.col(f"lo{i}")))
-    return stats.select("column", "rows", F.array(*q).alias("q"))
+    spark, names = df.sparkSession, list(columns)
+    number = lambda c: F.col(c).cast("double")
+    rows = df.select(*[F.when(F.abs(number(c)) < float("inf"), number(c)).alias(f"_v{i}") for i, c in enumerate(names)])
+    levels = F.lit([k / knots for k in range(knots + 1)])
+    sketch = lambda v: F.percentile_approx(v, levels, F.lit(accuracy))
+    first = rows.agg(*[f(f"_v{i}") for i in range(len(names)) for f in (F.count, sketch)]).first()
+    totals = [first[2 * i] for i in range(len(names))]
+    places = [[(n - 1) * float(p) for p in probs] if n else [] for n in totals]
+    found: list[dict[int, float]] = [{} for _ in names]
+    # per column the gaps (low, high, rows up to low, wanted places in between)
+    inf = float("inf")
+    gaps = {i: [(-inf, inf, 0, sorted({f(x) for x in at for f in (math.floor, math.ceil)}))] for i, at in enumerate(places) if at}
+    marks = {i: sorted(set(first[2 * i + 1])) for i in gaps}
+    while gaps:
+        coded = _coded(rows, marks, gaps)
+        counts = {(r["at"], r["code"]): r["n"] for r in coded.groupBy("at", "code").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for i in list(gaps):
+            gaps[i] = [g for gap in gaps[i] for g in _narrow(gap, marks[i], lambda code: counts.get((i, code), 0), found[i])]
+            if gaps[i]:
+                marks[i] = sorted({m for low, high, _, _ in gaps[i] for m in (low, high)} - {-inf, inf})
+            else:
+                del gaps[i], marks[i]
+        if gaps:
+            inside = _coded(rows, marks, gaps).groupBy("at", "code").agg(
+                sketch("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+            more = {i: {x for r in inside if r["at"] == i for x in (*r["s"], r["lo"], r["hi"])} for i in gaps}
+            marks = {i: sorted({*marks[i], *more[i]}) for i in gaps}
+    out = []
+    for c, n, at, have in zip(names, totals, places, found):
+        if n:
+            ends = [(have[math.floor(x)], have[math.ceil(x)], x - math.floor(x)) for x in at]
+            out.append((c, n, [lo + share * (hi - lo) for lo, hi, share in ends]))
+    return spark.createDataFrame(out, "column string, rows long, q array<double>")
+
+
+def _coded(rows: DataFrame, marks: dict[int, list[float]], gaps: dict[int, list]) -> DataFrame:
+    """``(at, code, value)`` of the values inside the gaps: code ``2k + 1`` at the
+    k-th mark of column ``at``, ``2k`` between the marks k - 1 and k."""
+    # without marks yet all values are in one gap
+    splits = [[float("-inf"), *(marks[i] or [0.0]), float("inf")] for i in marks]
+    search = Bucketizer(splitsArray=splits, inputCols=[f"_v{i}" for i in marks], outputCols=[f"_b{i}" for i in marks], handleInvalid="keep")
+    items = []
+    for i, listed in zip(marks, splits):
+        slot, value = F.col(f"_b{i}").cast("int"), F.col(f"_v{i}")
+        # 2 * slot, less one where the value is the mark below
+        below = F.get(F.array(*[F.lit(x) for x in listed[1:-1]]), slot - 1)
+        code = 2 * slot - F.coalesce(below == value, F.lit(False)).cast("int")
+        inside = [any(low <= a and b <= high for low, high, _, _ in gaps[i]) for a, b in zip(listed, listed[1:])]
+        ends = [low for low, _, _, _ in gaps[i]]
+        wanted = F.get(F.array(*[F.lit(x) for x in inside]), slot) & ~F.coalesce(
+            (below == value) & F.get(F.array(*[F.lit(x in ends) for x in listed[1:-1]]), slot - 1), F.lit(False))
+        items.append(F.when(value.isNotNull() & wanted, F.struct(F.lit(i).alias("at"), code.alias("code"), value.alias("value"))))
+    return search.transform(rows).select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*")
+
+
+def _narrow(gap: tuple, marks: list[float], count: Callable[[int], int], found: dict[int, float]) -> list[tuple]:
+    """Settle the places of a gap that lie at a mark; the smaller gaps of the others."""
+    low, high, run, places = gap
+    start = marks.index(low) + 1 if low in marks else 0
+    end = marks.index(high) if high in marks else len(marks)
+    out = []
+    for k in range(start, end + 1):
+        n = count(2 * k)
+        inside = [p for p in places if run <= p < run + n]
+        if inside:
+            out.append((marks[k - 1] if k > start else low, marks[k] if k < end else high, run, inside))
+        run += n
+        if k < end:
+            n = count(2 * k + 1)
+            found.update({p: marks[k] for p in places if run <= p < run + n})
+            run += n
+    return out

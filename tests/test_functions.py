@@ -84,10 +84,28 @@ def test_running_by_ranges_equals_one_window(spark, descending, current):
 
 
 def test_exact_quantiles(spark):
+    """Continuous, tied and heavy-tailed columns, a third of one value, and missing values."""
     rng = np.random.default_rng(2)
-    a, b = rng.normal(size=501), rng.integers(0, 5, 501).astype(float)
-    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    probs = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
-    for limit in (0, 10_000):
-        got = {r["column"]: r["q"] for r in ordered.exact_quantiles(df, ["a", "b"], probs, one_task_rows=limit).collect()}
-        assert np.allclose(got["a"], np.quantile(a, probs)) and np.allclose(got["b"], np.quantile(b, probs))
+    n = 5001
+    wide = np.exp(rng.normal(size=n) * 40)
+    hot = np.where(rng.random(n) < 0.34, 0.5, rng.normal(size=n))
+    data = {"a": rng.normal(size=n), "b": rng.integers(0, 5, n).astype(float), "wide": wide, "hot": hot, "one": np.full(n, 3.0)}
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*data.values())], ", ".join(f"{c} double" for c in data))
+    probs = (0.0, 0.1, 0.25, 0.3333, 0.5, 0.9, 0.9999, 1.0)
+    for knots in (2, 16, 256):
+        for parts in (1, 8):
+            got = {r["column"]: r["q"] for r in ordered.exact_quantiles(df.repartition(parts), list(data), probs, knots).collect()}
+            for c, v in data.items():
+                assert np.allclose(got[c], np.quantile(v, probs), rtol=1e-12), (c, knots)
+    holes = spark.createDataFrame([(1.0, None), (None, None), (float("nan"), None), (float("inf"), None), (2.0, None)], "x double, y double")
+    got = ordered.exact_quantiles(holes, ["x", "y"], [0.5]).collect()
+    assert [(r["column"], r["rows"], r["q"]) for r in got] == [("x", 2, [1.5])]
+    assert ordered.exact_quantiles(holes.limit(0), ["x"], [0.5]).count() == 0
+
+
+def test_quantiles_shuffle_counts_only(spark):
+    """What a pass sends is a row per knot, however many values there are."""
+    df = spark.range(200_000).select((F.col("id") * 0.37).alias("_v0"))
+    coded = ordered._coded(df, {0: [10.0 * k for k in range(100)]}, {0: [(float("-inf"), float("inf"), 0, [5])]})
+    plan = coded.groupBy("at", "code").count()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_count" in plan
