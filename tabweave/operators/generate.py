@@ -1,16 +1,17 @@
 """Synthetic rows from a Gaussian copula with empirical marginals.
 
-Fitting takes one aggregate for the quantile grids, one for the category
-shares and one pass for the correlation of normal scores; only the grids and
-the d x d matrix reach the driver. Drawing is a range of row numbers and
+Fitting narrows down the quantile grids by counts, and takes one aggregate for the
+category shares and one for the correlation of normal scores; only the grids
+and the d x d matrix reach the driver. Drawing is a range of row numbers and
 column expressions: every row depends on its number and the seed alone, so
 any task can be rerun and any number of rows drawn in parallel.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -18,19 +19,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.functions.hashing import normal_pair, row_hash
+from tabweave.functions.hashing import normal_pair, row_hash, uniform
 from tabweave.functions.normal import normal_cdf, normal_ppf, tail_scale
-from tabweave.functions.ordered import long_values, running
-from tabweave.operators.lookup import bracket, join_payload
+from tabweave.functions.ordered import exact_quantiles, running
 from tabweave.session import freeze, small_side
 
 RIDGE = 1e-6
+# Normal scores are summed as whole numbers of this grain: exact in any order.
+GRAIN = 1_000_000
 
 
 @dataclass(frozen=True)
 class CopulaModel:
-    """A fitted copula. ``grids`` and ``factor`` are small and on the driver,
-    ``shares`` (column, value, low, high) stays a table."""
+    """A fitted copula. ``grids``, ``factor`` and ``missing`` (the share of
+    nulls by column) are small and on the driver, ``shares`` (column, value,
+    low, high) stays a table."""
 
     columns: tuple[str, ...]
     types: dict[str, str]
@@ -39,16 +42,18 @@ class CopulaModel:
     categorical: tuple[str, ...]
     factor: np.ndarray
     correlation: np.ndarray
+    missing: dict[str, float]
 
 
-def category_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def category_shares(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Cumulative share of each category in sorted order: ``[low, high)``."""
-    counted = long_values(df, columns, "string").where(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("n"))
-    upto = running(counted, ["column"], ["value"], {"upto": ("sum", "n")})
-    rows = upto.groupBy("column").agg(F.max("upto").alias("rows"))  # one row per column
-    return freeze(upto.join(F.broadcast(rows), "column").select(
-        "column", "value", ((F.col("upto") - F.col("n")) / F.col("rows")).alias("low"),
+    long = df.select(*by, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot(list(by), list(columns), "column", "value")
+    group = [*by, "column"]
+    counted = long.where(F.col("value").isNotNull()).groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = running(counted, group, ["value"], {"upto": ("sum", "n")})
+    rows = upto.groupBy(*group).agg(F.max("upto").alias("rows"))  # one row per column and group
+    return freeze(upto.join(F.broadcast(rows), group).select(
+        *group, "value", ((F.col("upto") - F.col("n")) / F.col("rows")).alias("low"),
         (F.col("upto") / F.col("rows")).alias("high")))
 
 
@@ -81,59 +86,134 @@ def _grid_place(df: DataFrame, column: str, grid: list[float], into: str) -> Dat
     return search.transform(df).withColumn(into, place).drop("_slot")
 
 
-def correlate(z: DataFrame) -> np.ndarray:
-    """Correlation matrix of all columns: one aggregate of sums of products,
-    of which d(d+1)/2 + d numbers reach the driver."""
-    names = z.columns
+def correlate(z: DataFrame, by: str = "_g") -> dict[int, np.ndarray]:
+    """Correlation matrix of all columns but ``by`` for each of its values.
+
+    One aggregate of whole-number sums, so the result does not depend on the
+    order of the rows; a pair counts the rows where both are present. A matrix
+    of such pairs need not be one of a distribution: negative eigenvalues are
+    raised to nothing.
+    """
+    names = [c for c in z.columns if c != by]
+    whole = z.select(by, *[F.round(F.col(c) * GRAIN).cast("long").alias(c) for c in names])
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    sums = z.agg(F.count(F.lit(1)), *[F.sum(c) for c in names],
-                 *[F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
-    n = sums[0]
-    out = np.eye(len(names))
-    if not n:
-        return out
-    mean = np.array(sums[1 : len(names) + 1]) / n
-    for (i, j), total in zip(pairs, sums[len(names) + 1 :]):
-        out[i, j] = out[j, i] = total / n - mean[i] * mean[j]
-    scale = np.sqrt(np.clip(np.diag(out), 0.0, None))
-    # a constant column is correlated with nothing
-    safe = np.where(scale > 1e-12, scale, np.inf)
-    out = out / safe[:, None] / safe[None, :]
-    np.fill_diagonal(out, 1.0)
+    sums = []
+    for i, j in pairs:
+        x, y = F.col(names[i]), F.col(names[j])
+        both = x.isNotNull() & y.isNotNull()
+        product = lambda a, b: F.sum(F.when(both, a * b).cast("decimal(19,0)"))
+        sums.append(F.struct(F.sum(both.cast("long")).alias("n"), F.sum(F.when(both, x)).alias("x"), F.sum(F.when(both, y)).alias("y"),
+                             product(x, y).alias("xy"), product(x, x).alias("xx"), product(y, y).alias("yy")))
+    out = {}
+    for row in whole.groupBy(by).agg(*[s.alias(f"_p{k}") for k, s in enumerate(sums)]).collect():
+        matrix = np.eye(len(names))
+        for k, (i, j) in enumerate(pairs):
+            p = row[k + 1]
+            if i != j and p["n"]:
+                n, x, y, xy, xx, yy = (int(v) for v in p)
+                # a constant column is correlated with nothing
+                spread = (n * xx - x * x) * (n * yy - y * y)
+                matrix[i, j] = matrix[j, i] = (n * xy - x * y) / math.sqrt(spread) if spread > 0 else 0.0
+        values, vectors = np.linalg.eigh(matrix)
+        if values.min() < 0:
+            matrix = (vectors * np.clip(values, 0.0, None)) @ vectors.T
+            scale = np.sqrt(np.diag(matrix))
+            matrix = matrix / scale[:, None] / scale[None, :]
+            np.fill_diagonal(matrix, 1.0)
+        out[row[by]] = matrix
     return out
 
 
-def fit_copula(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], grid: int = 101,
-               accuracy: int = 10_000) -> CopulaModel:
-    """Fit on the rows without nulls in the named columns."""
+def fit_copula(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], grid: int = 101) -> CopulaModel:
+    """Fit on all rows: a column's marginal on the rows where it is present, a
+    correlation on the rows where both columns are. The share of nulls of each column is kept."""
+    return fit_classes(df, F.lit(0), [0], numeric, categorical, grid)[0]
+
+
+def fit_classes(df: DataFrame, label: Column, values: Sequence[object], numeric: Sequence[str], categorical: Sequence[str],
+                grid: int = 101) -> dict[object, CopulaModel]:
+    """A copula for the rows of each value of ``label``, all fitted in the same
+    jobs: grids, shares, null counts and correlations are tables keyed by class."""
     names = [*numeric, *categorical]
-    rows = df.select(*names).dropna("any")
+    group = F.lit(None).cast("int")
+    for g, v in enumerate(values):
+        group = F.when(label == F.lit(v), F.lit(g)).otherwise(group)
+    whole = lambda c: F.col(c).cast("double")
+    rows = df.select(group.alias("_g"), *[F.when(F.abs(whole(c)) < float("inf"), whole(c)).alias(c) for c in numeric], *categorical)
+    rows = rows.where(F.col("_g").isNotNull())
     probs = [float(p) for p in np.linspace(0.0, 1.0, grid)]
-    grids: dict[str, list[float]] = {}
+    classes = range(len(values))
+    grids: dict[int, dict[str, list[float]]] = {g: {} for g in classes}
     if numeric:
-        found = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), F.lit(probs), F.lit(accuracy)).alias(c)
-                           for c in numeric]).first()
-        grids = {c: list(found[c]) for c in numeric}
-    shares = category_shares(rows, categorical) if categorical else None
+        wide = rows.select(*[F.when(F.col("_g") == g, F.col(c)).alias(f"{g}|{i}") for g in classes for i, c in enumerate(numeric)])
+        for r in exact_quantiles(wide, wide.columns, probs).collect():
+            g, i = r["column"].split("|")
+            grids[int(g)][numeric[int(i)]] = list(r["q"])
+    shares = category_shares(rows, categorical, ["_g"]) if categorical else None
+    counted = {r["_g"]: r for r in rows.groupBy("_g").agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(names)]).collect()}
 
     scored = rows
-    for c in categorical:
+    for i, c in enumerate(categorical):
         side = small_side(shares.where(F.col("column") == c).select(
-            F.col("value").alias("_v"), ((F.col("low") + F.col("high")) / 2).alias(f"_u_{c}")))
-        scored = scored.join(side, scored[c].cast("string") == side["_v"]).drop("_v")
+            F.col("_g").alias("_h"), F.col("value").alias("_v"), ((F.col("low") + F.col("high")) / 2).alias(f"_u_{c}")))
+        scored = scored.join(side, (scored[c].cast("string") == side["_v"]) & (scored["_g"] == side["_h"]), "left").drop("_v", "_h")
     for c in numeric:
-        scored = _grid_place(scored.withColumn(c, F.col(c).cast("double")), c, grids[c], f"_u_{c}")
+        parts = []
+        for g in classes:
+            if c in grids[g]:
+                scored = _grid_place(scored, c, grids[g][c], f"_u{g}_{c}")
+                parts.append(F.when(F.col("_g") == g, F.col(f"_u{g}_{c}")))
+        place = F.coalesce(*parts) if parts else F.lit(None).cast("double")
+        scored = scored.withColumn(f"_u_{c}", F.when(F.col(c).isNotNull(), place))
+        scored = scored.drop(*[f"_u{g}_{c}" for g in classes])
     edge = 1e-6
+    inside = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(edge), F.least(F.lit(1 - edge), c)))
     # the places are columns of their own before the quantile formula refers
     # to them again and again
-    inner = scored.select(*[F.greatest(F.lit(edge), F.least(F.lit(1 - edge), f"_u_{c}")).alias(f"_u_{c}") for c in names])
+    inner = scored.select("_g", *[inside(f"_u_{c}").alias(f"_u_{c}") for c in names])
     inner = inner.select("*", *[tail_scale(F.col(f"_u_{c}")).alias(f"_s_{c}") for c in names])
-    z = inner.select(*[normal_ppf(F.col(f"_u_{c}"), F.col(f"_s_{c}")).alias(f"_z{i}") for i, c in enumerate(names)])
-    correlation = correlate(z)
-    size = len(names)
-    factor = np.linalg.cholesky((correlation + RIDGE * np.eye(size)) / (1 + RIDGE))
+    z = inner.select("_g", *[F.when(F.col(f"_u_{c}").isNotNull(), normal_ppf(F.col(f"_u_{c}"), F.col(f"_s_{c}"))).alias(f"_z{i}")
+                             for i, c in enumerate(names)])
+    correlations = correlate(z)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in names}
-    return CopulaModel(tuple(names), types, grids, shares, tuple(categorical), factor, correlation)
+    size, out = len(names), {}
+    for g, v in enumerate(values):
+        correlation = correlations.get(g, np.eye(size))
+        factor = np.linalg.cholesky((correlation + RIDGE * np.eye(size)) / (1 + RIDGE))
+        n = counted[g]["_rows"] if g in counted else 0
+        missing = {c: 1.0 - counted[g][f"_n{i}"] / n if n else 1.0 for i, c in enumerate(names)}
+        part = shares.where(F.col("_g") == g).drop("_g") if shares is not None else None
+        out[v] = CopulaModel(tuple(names), types, grids[g], part, tuple(categorical), factor, correlation, missing)
+    return out
+
+
+def thinned(model: CopulaModel, grid: int) -> CopulaModel:
+    """The same model on a coarser grid, whose steps are whole steps of its own."""
+    grids = {}
+    for c, listed in model.grids.items():
+        step, rest = divmod(len(listed) - 1, grid - 1)
+        if rest or not step:
+            raise ValueError(f"a grid of {len(listed)} cannot be thinned to {grid}")
+        grids[c] = listed[::step]
+    return replace(model, grids=grids)
+
+
+def _drawn_category(drawn: DataFrame, u: str, shares: DataFrame, column: str, kind: str) -> DataFrame:
+    """The category whose range holds ``u``: an equi-join on ``u`` in as many
+    buckets as there are categories, then the range. A common category has a
+    row in every bucket it reaches, so no bucket is hot."""
+    table = freeze(shares.select("value", "low", "high"))
+    buckets = max(table.count(), 1)
+    bucket = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1)).cast("int")
+    side = table.select(F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("_bucket"),
+                        F.col("value").alias("_value"), F.col("low").alias("_low"), F.col("high").alias("_high"))
+    side = small_side(side, counted=2 * buckets)
+    at = drawn.withColumn("_at", bucket(F.col(u)))
+    # the last range ends at 1 and holds it
+    inside = (F.col(u) >= F.col("_low")) & ((F.col(u) < F.col("_high")) | (F.col("_high") >= 1.0))
+    found = at.join(side, (at["_at"] == side["_bucket"]) & inside, "left")
+    return found.withColumn(column, F.col("_value").cast(kind)).drop("_at", "_bucket", "_value", "_low", "_high")
 
 
 def _grid_value(u: Column, grid: list[float]) -> Column:
@@ -167,19 +247,22 @@ def draw_copula(spark: SparkSession, model: CopulaModel, n: int, seed: object =
     drawn = normals.select("row_id", *zs).select(
         "row_id", *[normal_cdf(F.col(f"_z_{c}")).alias(f"_u_{c}") for c in model.columns])
     for c in model.categorical:
-        table = freeze(model.shares.where(F.col("column") == c).select("low", "value"))
-        drawn = bracket(drawn, f"_u_{c}", table, "low").drop("_above")
-        drawn = join_payload(drawn, "_below", table, "low", ["value"], "_c_").drop("_below")
-        drawn = drawn.withColumn(c, F.col("_c_value").cast(model.types[c])).drop("_c_value")
+        drawn = _drawn_category(drawn, f"_u_{c}", model.shares.where(F.col("column") == c), c, model.types[c])
     whole = {t.simpleString() for t in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())}
     out = []
-    for c in model.columns:
+    for j, c in enumerate(model.columns):
+        kind = model.types[c]
         if c in model.categorical:
-            out.append(F.col(c))
+            value = F.col(c)
+        elif c not in model.grids:
+            value = F.lit(None)
         else:
             value = _grid_value(F.col(f"_u_{c}"), model.grids[c])
-            kind = model.types[c]
-            out.append((F.round(value).cast(kind) if kind in whole else value.cast(kind)).alias(c))
+            value = F.round(value) if kind in whole else value
+        if model.missing[c] > 0:
+            there = uniform(row_hash(["row_id"], f"{seed}-null-{j}")) >= F.lit(model.missing[c])
+            value = F.when(there, value)
+        out.append(value.cast(kind).alias(c))
     return drawn.select("row_id", *out)
 
 
@@ -190,17 +273,19 @@ def gen_copula(df: DataFrame, n: int, numeric: Sequence[str], categorical: Seque
 
 def gen_conditional(df: DataFrame, label: str, sizes: dict[int, int], numeric: Sequence[str],
                     categorical: Sequence[str], grid: int = 101, seed: object = 5) -> DataFrame:
-    """Fixed class counts: one copula per class (the label has two values)."""
-    out = None
-    first = 0
-    kind = df.schema[label].dataType
+    """Fixed class counts: a copula per class, all fitted at once."""
+    asked = {v: n for v, n in sizes.items() if n}
+    if not asked:
+        raise ValueError("no rows asked for")
+    models = fit_classes(df, F.col(label), list(asked), numeric, categorical, grid)
+    return draw_classes(df.sparkSession, models, asked, label, df.schema[label].dataType, seed)
+
+
+def draw_classes(spark: SparkSession, models: dict, sizes: dict, label: str, kind: T.DataType, seed: object = 5) -> DataFrame:
+    """``sizes[v]`` rows of each class ``v``, numbered through."""
+    out, first = None, 0
     for value, n in sizes.items():
-        if n == 0:
-            continue
-        model = fit_copula(df.where(F.col(label) == F.lit(value)), numeric, categorical, grid)
-        part = draw_copula(df.sparkSession, model, n, f"{seed}-{value}", first).withColumn(label, F.lit(value).cast(kind))
+        part = draw_copula(spark, models[value], n, f"{seed}-{value}", first).withColumn(label, F.lit(value).cast(kind))
         out = part if out is None else out.unionByName(part)
         first += n
-    if out is None:
-        raise ValueError("no rows asked for")
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.hashing import row_hash, uniform
 from tabweave.functions.ordered import ONE_TASK_ROWS, running
+from tabweave.operators.generate import draw_classes, draw_copula, fit_classes, fit_copula, thinned
 from tabweave.operators.mixture import (
     REAL, candidate_cuts, mix_augment, mix_draw, mix_normalise, mix_size, mix_warmstart, source_counts)
 from tabweave.operators.sample import HASH, step, with_hash
@@ -272,12 +273,63 @@ def hp_search(settings: Sequence[Mapping[str, object]], evaluate: Callable[[Mapp
         scores.append(float(evaluate(s)))
         if no_progress(scores, patience) is not None:
             break
+    return _tried(spark, settings, scores)
+
+
+def _tried(spark: SparkSession, settings: Sequence[Mapping[str, object]], scores: Sequence[float]) -> DataFrame:
     best = max(range(len(scores)), key=lambda i: (scores[i], -i))
     rows = [(i + 1, ", ".join(f"{k}={v}" for k, v in settings[i].items()), score, i == 0, i == best)
             for i, score in enumerate(scores)]
     return spark.createDataFrame(rows, "trial int, setting string, val_auc double, untuned boolean, tuned boolean")
 
 
+def copula_settings(grid: int = 101) -> list[dict[str, object]]:
+    """All grids that ``grid`` can be thinned to, fitted on all rows and per class; the default first."""
+    grids = [(grid - 1) // step + 1 for step in range(1, (grid - 1) // 2 + 1) if (grid - 1) % step == 0]
+    return [{"grid": g, "by_class": by_class} for g in grids for by_class in (False, True)]
+
+
+def copula_search(
+    train: DataFrame, real: DataFrame, label: str, bins: dict[str, Column], numeric: Sequence[str], categorical: Sequence[str], *,
+    settings: Sequence[Mapping[str, object]] | None = None, n: int | None = None, patience: int = 10, split: str = "split",
+    objective: str = "val", seed: object = 5,
+) -> DataFrame:
+    """``hp_search`` over the settings of the copula, as one batch.
+
+    All settings are fitted together: one fit of the finest grid on all rows
+    and one per class, of which coarser grids are a part. ``n`` rows of each
+    setting are drawn into one table with a ``setting`` column, and all their
+    scorers are fitted and applied on counts by setting and bin. The label is
+    one of the categories of the joint fit; a per-class fit keeps the class counts of ``train``.
+    """
+    spark = train.sparkSession
+    settings = list(settings or copula_settings())
+    finest = max(s["grid"] for s in settings)
+    classes = {r[0]: r[1] for r in train.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(label).collect()}
+    total = sum(classes.values())
+    n = total if n is None else n
+    joint, apart = None, {}
+    if not all(s["by_class"] for s in settings):
+        joint = fit_copula(train, numeric, [*categorical, label], finest)
+    if any(s["by_class"] for s in settings):
+        apart = fit_classes(train, F.col(label), list(classes), numeric, categorical, finest)
+    # class counts add up to n: whole parts, the rest to the last class
+    sizes = {v: count * n // total for v, count in classes.items()}
+    sizes[list(classes)[-1]] += n - sum(sizes.values())
+    draws = None
+    for i, s in enumerate(settings):
+        if s["by_class"]:
+            made = draw_classes(spark, {v: thinned(m, s["grid"]) for v, m in apart.items()}, sizes, label, train.schema[label].dataType, seed)
+        else:
+            made = draw_copula(spark, thinned(joint, s["grid"]), n, seed)
+        part = made.select(F.lit(i).alias("setting"), *numeric, *categorical, label)
+        draws = part if draws is None else draws.unionByName(part)
+    judged = per_source_score(draws, real.where(F.col(split) == objective), label, bins, ["setting"], split)
+    said = {r["setting"]: r["auc"] for r in judged.collect()}
+    scores = [0.5 if said.get(i) is None else float(said[i]) for i in range(len(settings))]
+    return _tried(spark, settings, scores[: no_progress(scores, patience)])
+
+
 # ---------------------------------------------------------------- trial history
 
 

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.operators import mixture, search
-from tabweave.operators.generate import draw_copula, fit_copula
 from tabweave.operators.sample import split3
-from tabweave.operators.score import log_odds_auc
 from tabweave.plans.inputs import (
     EXPERIMENTS, KEY, METHODS, NUMERIC, SOURCES, SPLIT, TRIALS, auc_sql, bins, chain_sql, experiments, hash_sql,
     joins_sql, labelled, long_bins_sql, sources, trials, uniform_sql)
 from tabweave.plans.inputs import table as read
-from tabweave.session import freeze, spread
+from tabweave.session import freeze
 
 
 def _weights(spark: SparkSession, folder: str, cand: str) -> DataFrame:
@@ -110,17 +108,10 @@ def mix_search_trees(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hp_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Copula settings judged by the log-odds scorer on validation rows."""
-    parts = spread(freeze(split3(labelled(spark, folder), KEY)))
-    train, val = parts.where("split = 'train'"), parts.where("split = 'val'")
-    n = train.count()
-
-    def evaluate(setting):
-        made = draw_copula(spark, fit_copula(train, NUMERIC, ["l_linestatus", "label"], setting["grid"]), n)
-        both = made.drop("row_id").withColumn("split", F.lit("train")).unionByName(val.select(*NUMERIC, "l_linestatus", "label", "split"))
-        return log_odds_auc(both, "label", bins()).where("split = 'val'").first()["auc"]
-
-    return search.hp_search([{"grid": 101}, {"grid": 11}, {"grid": 33}], evaluate, spark)
+    """All copula settings, judged by the log-odds scorer on validation rows."""
+    parts = freeze(split3(labelled(spark, folder), KEY))
+    out = search.copula_search(parts.where("split = 'train'"), parts, "label", bins(), NUMERIC, ["l_linestatus"])
+    return out.withColumn("val_auc", F.round("val_auc", 9))
 
 
 def best_trial(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabweave.operators import generate
 
@@ -39,3 +40,55 @@ def test_conditional_counts(spark, rows):
     made = generate.gen_conditional(rows, "y", {1: 30, 0: 70}, ["x"], ["kind"]).toPandas()
     assert (made["y"] == 1).sum() == 30 and len(made) == 100 and made["row_id"].is_unique
     assert made.loc[made["y"] == 1, "x"].median() > made.loc[made["y"] == 0, "x"].median()
+
+
+def test_fit_does_not_depend_on_partitions(spark, rows):
+    fits = [generate.fit_copula(rows.repartition(n, "x"), ["x", "n", "flat"], ["kind", "y"]) for n in (1, 8)]
+    assert fits[0].grids == fits[1].grids and np.array_equal(fits[0].correlation, fits[1].correlation)
+    real = rows.toPandas()
+    assert np.allclose(fits[0].grids["x"], real["x"].quantile(np.linspace(0, 1, 101)))
+    draws = [generate.draw_copula(spark, f, 300).orderBy("row_id").collect() for f in fits]
+    assert draws[0] == draws[1]
+
+
+def test_every_row_has_a_null(spark, rows):
+    """Marginals and correlations come from what is present, and the share of nulls is drawn along."""
+    third = F.pmod(F.xxhash64("x", "n"), F.lit(3))
+    holes = rows.select(F.when(third != 0, F.col("x")).alias("x"), F.when(third != 1, F.col("n")).alias("n"),
+                        F.when(third != 2, F.col("kind")).alias("kind"), F.lit(None).cast("double").alias("gone"))
+    model = generate.fit_copula(holes, ["x", "n", "gone"], ["kind"])
+    full = generate.fit_copula(rows, ["x", "n"], [])
+    assert abs(model.correlation[0, 1] - full.correlation[0, 1]) < 0.03
+    made = generate.draw_copula(spark, model, 3000).toPandas()
+    assert made["gone"].isna().all()
+    assert all(abs(made[c].isna().mean() - 1 / 3) < 0.04 for c in ("x", "n", "kind"))
+    both = made.dropna(subset=["x", "n"])
+    assert abs(both[["x", "n"]].rank().corr().iloc[0, 1] - rows.toPandas()[["x", "n"]].rank().corr().iloc[0, 1]) < 0.08
+
+
+def test_many_categories(spark):
+    """Each category in its share, one of them a third of all, whatever the number of categories."""
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, F.lit("common")).otherwise(F.concat(F.lit("c"), F.col("id"))).alias("c"))
+    made = generate.draw_copula(spark, generate.fit_copula(df, [], ["c"]), 9000)
+    assert made.where("c IS NULL").count() == 0
+    counts = made.groupBy("c").count()
+    assert abs(counts.where("c = 'common'").first()["count"] - 3000) < 150 and counts.count() > 3000
+
+
+def test_classes_are_fitted_at_once(spark, rows):
+    """Three classes, fitted in the same jobs, equal to three fits."""
+    three = rows.withColumn("k", F.when(F.col("x") < 0.5, "a").when(F.col("x") < 2, "b").otherwise("c"))
+    models = generate.fit_classes(three, F.col("k"), ["a", "b", "c", "none"], ["x", "n"], ["kind"])
+    for k in "abc":
+        alone = generate.fit_copula(three.where(F.col("k") == k), ["x", "n"], ["kind"])
+        assert models[k].grids == alone.grids and np.array_equal(models[k].correlation, alone.correlation)
+    made = generate.gen_conditional(three, "k", {"a": 40, "b": 50, "c": 60}, ["x", "n"], ["kind"]).toPandas()
+    assert made["k"].value_counts().to_dict() == {"a": 40, "b": 50, "c": 60} and made["row_id"].is_unique
+    assert made.loc[made["k"] == "a", "x"].max() < 0.5 <= made.loc[made["k"] == "b", "x"].min()
+
+
+def test_thinned_grid(spark, rows):
+    model = generate.fit_copula(rows, ["x"], [], grid=101)
+    assert np.allclose(generate.thinned(model, 11).grids["x"], generate.fit_copula(rows, ["x"], [], grid=11).grids["x"], rtol=1e-9)
+    with pytest.raises(ValueError):
+        generate.thinned(model, 8)

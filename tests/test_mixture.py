@@ -216,3 +216,22 @@ def test_promoted_trials_decide(spark):
     assert found.best["tree_test_auc"] == said[found.best["trial"], "test"]
     kept = found.history.where(F.col("trial") == found.best["trial"]).first()
     assert [found.weights[s] for s in ("s1", "s2")] == [kept["alpha_1"], kept["alpha_2"]]
+
+
+def test_copula_search(spark):
+    """One batch gives what each setting gives alone; the label's shape within classes needs the per-class fit."""
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 2, 3000)
+    x = np.where(y == 1, rng.choice([-2.0, 2.0], 3000), 0.0) + rng.normal(size=3000) * 0.4
+    df = spark.createDataFrame([(float(v), int(k), "train" if i % 3 else "val") for i, (v, k) in enumerate(zip(x, y))], "x double, y int, split string")
+    train = df.where("split = 'train'")
+    bins = {"x": F.floor(F.col("x") * 2)}
+    settings = [{"grid": 21, "by_class": False}, {"grid": 21, "by_class": True}, {"grid": 3, "by_class": True}]
+    got = search.copula_search(train, df, "y", bins, ["x"], [], settings=settings, patience=3).orderBy("trial").collect()
+    assert [r["trial"] for r in got if r["tuned"]] == [2] and got[0]["untuned"] and len(got) == 3
+    assert got[1]["val_auc"] > 0.95 > got[0]["val_auc"] + 0.2
+    alone = search.copula_search(train, df, "y", bins, ["x"], [], settings=settings[1:2]).first()
+    assert alone["val_auc"] == got[1]["val_auc"]
+    assert len(search.copula_settings()) == 16 and search.copula_settings()[0] == {"grid": 101, "by_class": False}
+    # nothing after trial 2 gets better, so patience 1 stops at the third
+    assert len(search.copula_search(train, df, "y", bins, ["x"], [], settings=settings * 3, patience=2).collect()) == 4
