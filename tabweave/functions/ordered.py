@@ -10,6 +10,7 @@ ways give the same rows.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -95,7 +96,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     at and between knots are counted, and only the gaps that hold a wanted
     place are sketched and counted again. The counts decide, so the sketch may
     err; each pass combines on the map side and sends a number per knot. No
-    value is shuffled, whatever the distribution. ``df`` is read about four times.
+    value is shuffled, whatever the distribution. ``df`` is read about six times.
     """
     spark, names = df.sparkSession, list(columns)
     number = lambda c: F.col(c).cast("double")
@@ -121,8 +122,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
                 del gaps[i], marks[i]
         if gaps:
             inside = _coded(rows, marks, gaps).groupBy("at", "code").agg(
-                sketch("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-            more = {i: {x for r in inside if r["at"] == i for x in (*r["s"], r["lo"], r["hi"])} for i in gaps}
+                F.count(F.lit(1)).alias("n"), sketch("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+            more: dict[int, set[float]] = {i: set() for i in gaps}
+            at_code = {(i, _code(marks[i], g[0])): g for i in gaps for g in gaps[i]}
+            for r in inside:
+                # the ends of what a gap holds and the knots next to the wanted places
+                _, _, run, wanted = at_code[r["at"], r["code"]]
+                near = [int((p - run) * knots / r["n"]) + d for p in wanted for d in (-1, 0, 1, 2)]
+                more[r["at"]] |= {r["lo"], r["hi"], *[r["s"][k] for k in near if 0 <= k <= knots]}
             marks = {i: sorted({*marks[i], *more[i]}) for i in gaps}
     out = []
     for c, n, at, have in zip(names, totals, places, found):
@@ -152,6 +159,11 @@ def _coded(rows: DataFrame, marks: dict[int, list[float]], gaps: dict[int, list]
     return search.transform(rows).select(F.explode(F.array_compact(F.array(*items))).alias("x")).select("x.*")
 
 
+def _code(marks: list[float], low: float) -> int:
+    """The code of the values between the mark ``low`` and the next one."""
+    return 2 * bisect_right(marks, low)
+
+
 def _narrow(gap: tuple, marks: list[float], count: Callable[[int], int], found: dict[int, float]) -> list[tuple]:
     """Settle the places of a gap that lie at a mark; the smaller gaps of the others."""
     low, high, run, places = gap
