@@ -44,40 +44,62 @@ def running(
     ``outputs`` maps a new column to ``(function, value column)`` with function
     ``sum``, ``max`` or ``min``. ``order`` must be unique within ``by``.
     """
-    last = 0 if include_current else -1
-    keys = [F.desc(c) if descending else F.asc(c) for c in order]
+    laid = layout(df, by, order, descending=descending, one_task_rows=one_task_rows)
+    return carry(laid, by, order, outputs, include_current=include_current, descending=descending).select(*df.columns, *outputs)
+
+
+RANGE = "_range"
+
+
+def layout(df: DataFrame, by: Sequence[str], order: Sequence[str], *, descending: bool = False,
+           one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """``df`` as ``carry`` wants it: frozen, and past ``one_task_rows`` rows cut
+    into ranges of the order, with a ``_range`` column. Any number of running
+    values can be taken from one layout."""
     frozen = freeze(df)
     if has_at_most(frozen, one_task_rows):
-        window = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, last)
-        for name, (kind, value) in outputs.items():
-            out = _COMBINE[kind][0](value).over(window)
-            frozen = frozen.withColumn(name, F.coalesce(out, F.lit(0)) if kind == "sum" else out)
         return frozen
-
     # The range number is only meaningful for this one physical layout, so it
     # is frozen together with the rows before anything reads it twice. Groups
     # that share an order value are told apart by ``by``, so a value that a
     # third of all rows have (the first trial of everybody) is split as well.
-    ranged = freeze(
-        frozen.repartitionByRange(*keys, *by).withColumn("_range", F.spark_partition_id())
-    )
-    totals = ranged.groupBy(*by, "_range").agg(
+    return freeze(frozen.repartitionByRange(*_keys(order, descending), *by).withColumn(RANGE, F.spark_partition_id()))
+
+
+def _keys(order: Sequence[str], descending: bool) -> list:
+    return [F.desc(c) if descending else F.asc(c) for c in order]
+
+
+def carry(laid: DataFrame, by: Sequence[str], order: Sequence[str], outputs: dict[str, tuple[str, str]], *,
+          include_current: bool = True, descending: bool = False) -> DataFrame:
+    """Add running aggregates to a table from ``layout`` (or to what was added to one); nothing is written."""
+    last = 0 if include_current else -1
+    keys = _keys(order, descending)
+    if RANGE not in laid.columns:
+        window = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, last)
+        for name, (kind, value) in outputs.items():
+            out = _COMBINE[kind][0](value).over(window)
+            laid = laid.withColumn(name, F.coalesce(out, F.lit(0)) if kind == "sum" else out)
+        return laid
+
+    totals = laid.groupBy(*by, RANGE).agg(
         *[_COMBINE[kind][0](value).alias(f"_total_{name}") for name, (kind, value) in outputs.items()]
     )
     # at most one row per range and group
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        *by, "_range",
+        *by, RANGE,
         *[_COMBINE[kind][0](f"_total_{name}").over(earlier).alias(f"_before_{name}")
           for name, (kind, _) in outputs.items()],
     )
-    inside = Window.partitionBy(*by, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, last)
+    inside = Window.partitionBy(*by, RANGE).orderBy(*keys).rowsBetween(Window.unboundedPreceding, last)
+    columns = laid.columns
     for name, (kind, value) in outputs.items():
-        ranged = ranged.withColumn(f"_in_{name}", _COMBINE[kind][0](value).over(inside))
-    joined = ranged.join(totals, [*by, "_range"])
+        laid = laid.withColumn(f"_in_{name}", _COMBINE[kind][0](value).over(inside))
+    joined = laid.join(totals, [*by, RANGE])
     for name, (kind, _) in outputs.items():
         joined = joined.withColumn(name, _COMBINE[kind][1](F.col(f"_before_{name}"), F.col(f"_in_{name}")))
-    return joined.select(*df.columns, *outputs)
+    return joined.select(*columns, *outputs)
 
 
 def long_values(df: DataFrame, columns: Sequence[str], cast: str = "double") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.functions.hashing import row_hash, uniform
-from tabweave.functions.ordered import ONE_TASK_ROWS, running
+from tabweave.functions.ordered import ONE_TASK_ROWS, carry, layout, running
 from tabweave.operators.generate import draw_classes, draw_copula, fit_classes, fit_copula, thinned
 from tabweave.operators.mixture import (
     REAL, candidate_cuts, mix_augment, mix_draw, mix_normalise, mix_size, mix_warmstart, source_counts)
@@ -364,19 +364,18 @@ def early_stop(df: DataFrame, score: str, order: Sequence[str], by: Sequence[str
     """
     if percent and patience != 1:
         raise ValueError("a percentage needs patience 1")
-    limits = {"one_task_rows": one_task_rows}
+    # One layout of the order serves all running values.
     base = df.withColumn("_loss", 1.0 - F.col(score)).withColumn("_one", F.lit(1).cast("long"))
+    laid = layout(base, by, order, one_task_rows=one_task_rows)
     if percent:
-        base = base.withColumn("_me", F.struct(*order, "_loss"))
-        first = running(base, by, order, {"_before": ("max", "_me")}, include_current=False, **limits)
-        first = first.withColumn("_best", F.col("_before")["_loss"]).drop("_before", "_me")
+        laid = laid.withColumn("_me", F.struct(*order, "_loss"))
+        first = carry(laid, by, order, {"_before": ("max", "_me"), "_done": ("sum", "_one")}, include_current=False)
+        first = first.withColumn("_best", F.col("_before")["_loss"])
     else:
-        first = running(base, by, order, {"_best": ("min", "_loss")}, include_current=False, **limits)
-    numbered = running(first, by, order, {"trial": ("sum", "_one")}, **limits)
+        first = carry(laid, by, order, {"_best": ("min", "_loss"), "_done": ("sum", "_one")}, include_current=False)
     progress = F.col("_loss") < F.col("_best") - F.abs(F.col("_best")) * F.lit(percent / 100.0)
-    marked = numbered.withColumn("_hit", F.when(progress, F.col("trial")).otherwise(F.lit(0).cast("long")))
-    since = running(marked, by, order, {"_last": ("max", "_hit")}, **limits)
-    idle = since.withColumn("since", F.col("trial") - F.col("_last"))
+    marked = first.withColumn("trial", F.col("_done") + 1).withColumn("_hit", F.when(progress, F.col("trial")).otherwise(F.lit(0).cast("long")))
+    idle = carry(marked, by, order, {"_last": ("max", "_hit")}).withColumn("since", F.col("trial") - F.col("_last"))
     stops = idle.withColumn("_stop", ((F.col("trial") > 1) & (F.col("since") >= patience)).cast("long"))
-    done = running(stops, by, order, {"_stopped": ("max", "_stop")}, **limits)
+    done = carry(stops, by, order, {"_stopped": ("max", "_stop")})
     return done.select(*df.columns, "trial", "since", (F.col("_stopped") == 1).alias("stopped"))

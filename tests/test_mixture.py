@@ -235,3 +235,16 @@ def test_copula_search(spark):
     assert len(search.copula_settings()) == 16 and search.copula_settings()[0] == {"grid": 101, "by_class": False}
     # nothing after trial 2 gets better, so patience 1 stops at the third
     assert len(search.copula_search(train, df, "y", bins, ["x"], [], settings=settings * 3, patience=2).collect()) == 4
+
+
+def test_early_stop_lays_the_order_out_once(spark, monkeypatch):
+    from tabweave.functions import ordered
+    written = []
+    monkeypatch.setattr(ordered, "freeze", lambda df: written.append(1) or df.checkpoint())
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(0 if i % 3 else i % 7, i, float(v)) for i, v in enumerate(rng.random(600))], "s int, t int, score double")
+    for patience, percent in ((10, 0.0), (1, 5.0)):
+        small = search.early_stop(df, "score", ["t"], ["s"], patience, percent).collect()
+        written.clear()
+        large = search.early_stop(df, "score", ["t"], ["s"], patience, percent, one_task_rows=0).collect()
+        assert len(written) == 2 and sorted(map(tuple, small)) == sorted(map(tuple, large))
