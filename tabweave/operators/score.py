@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.ordered import running
 from tabweave.operators.clean import numeric_columns, string_columns
-from tabweave.operators.encode import code_apply, code_fit
+from tabweave.operators.encode import ENCODED, EncoderTable, te_fit
 from tabweave.session import freeze, sizes_by, small_side
 
 
@@ -126,38 +126,55 @@ def log_odds_auc(parts: DataFrame, label: str, bins: dict[str, Column], split: s
 
 # ---------------------------------------------------------------- tree models
 
-# Above this many categories a column enters the trees as an ordered code.
-NOMINAL_LIMIT = 64
+# Distinct training rows of one part of the training layout.
+PART_ROWS = 50_000
+# A category's code is drawn towards the mean of all rows as if it had so many more rows.
+PRIOR_ROWS = 10.0
 
 
 def _features(train: DataFrame, target: str, ignore: Sequence[str]):
-    """A function that turns a frame into (label, features), fitted on train."""
+    """A function that turns a frame into label, feature columns and their
+    vector, fitted on train.
+
+    A category's code is its smoothed target mean, which puts categories in the
+    order that a split of a 0/1 target needs, however many there are. Null and
+    unseen categories share a code below all others.
+    """
     texts = string_columns(train, exclude=[target, *ignore])
     numbers = numeric_columns(train, exclude=[target, *ignore])
     if not texts and not numbers:
         raise ValueError("no feature columns")
-    codes = code_fit(train, texts) if texts else None
-    sizes = {r[0]: r[1] for r in codes.groupBy("column").count().collect()} if texts else {}
+    coder = None
+    if texts:
+        prior = train.agg(F.avg(F.col(target).cast("double"))).first()[0] or 0.0
+        fitted = te_fit(train, target, texts)
+        smooth = (F.col("mean") * F.col("n") + F.lit(prior * PRIOR_ROWS)) / (F.col("n") + F.lit(PRIOR_ROWS))
+        coder = EncoderTable(fitted.table.withColumn("mean", smooth), fitted.columns)
 
     def prepare(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        kept = df.select(*[c for c in extra if c not in texts + numbers], target, *numbers, *texts)
-        out = code_apply(kept, codes, texts) if texts else kept
-        columns = []
-        for c in texts:
-            n = sizes.get(c, 0)
-            # one extra code stands for null and for unseen categories
-            code = F.coalesce(F.col(c), F.lit(n).cast("long")).cast("double")
-            nominal = n + 1 <= NOMINAL_LIMIT
-            meta = {"ml_attr": {"type": "nominal", "num_vals": n + 1, "name": c}} if nominal else {}
-            columns.append(code.alias(c, metadata=meta))
-        columns += [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in numbers]
-        out = out.select(*[c for c in extra if c not in texts + numbers],
-                         F.col(target).cast("double").alias("_label"), *columns)
-        return VectorAssembler(inputCols=[*texts, *numbers], outputCol="_features", handleInvalid="keep").transform(out)
+        extra = [c for c in extra if c not in texts + numbers]
+        kept = df.select(*extra, F.col(target).cast("double").alias("_label"),
+                         *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in numbers], *texts)
+        out = coder.apply(kept) if coder else kept
+        out = out.fillna(-1.0, [c + ENCODED for c in texts]) if texts else out
+        return VectorAssembler(inputCols=[*[c + ENCODED for c in texts], *numbers], outputCol="_features", handleInvalid="keep").transform(out)
 
     return prepare
 
 
+def training_layout(prepared: DataFrame) -> DataFrame:
+    """``(_label, _features, _n)``: equal rows once, with their number as a
+    weight, in parts and an order that follow from the rows alone, and written
+    once for all rounds. Neither the cores nor the layout of the input change
+    what a learner sees, and copies that a third of all rows are make one row.
+    """
+    columns = [c for c in prepared.columns if c != "_features"]
+    distinct = freeze(prepared.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.first("_features").alias("_features")))
+    parts = max(8, -(-distinct.count() // PART_ROWS))
+    place = F.xxhash64(*columns)
+    return freeze(distinct.repartition(parts, place).sortWithinPartitions(place, *columns).select("_label", "_features", "_n"))
+
+
 def _one_class(train: DataFrame, target: str) -> bool:
     return train.select(F.col(target).cast("double")).distinct().limit(2).count() < 2
 
@@ -169,14 +186,14 @@ def fit_predict(train: DataFrame, target: str, model: str = "boosted", rounds: i
     if _one_class(train, target):
         # nothing to learn: every row gets the same score
         return lambda df, extra=(): prepare(df, extra).withColumn("_p", F.lit(0.5))
-    shared = {"labelCol": "_label", "featuresCol": "_features", "maxBins": max(64, NOMINAL_LIMIT), "seed": 5}
+    shared = {"labelCol": "_label", "featuresCol": "_features", "weightCol": "_n", "maxBins": 64, "seed": 5}
     if model == "boosted":
         learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, checkpointInterval=10, **shared)
     elif model == "tree":
         learner = DecisionTreeClassifier(maxDepth=depth, **shared)
     else:
         raise ValueError(f"unknown classifier: {model}")
-    fitted = learner.fit(prepare(train).select("_label", "_features"))
+    fitted = learner.fit(training_layout(prepare(train.where(F.col(target).isNotNull()))))
 
     def score(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         scored = fitted.transform(prepare(df, extra))

@@ -83,3 +83,17 @@ def test_replicates_of_one_model(spark):
         values = [got[k, split]["auc"] for k in range(1, 21)]
         assert abs(got[1, split]["mean"] - np.mean(values)) < 1e-9 and abs(got[1, split]["std"] - np.std(values, ddof=1)) < 1e-9
         assert np.mean(values) > 0.6
+
+
+def test_trees_do_not_depend_on_the_layout(spark):
+    """Rows in any order and number of parts, a third of them copies, hundreds of categories."""
+    rng = np.random.default_rng(8)
+    level = rng.normal(size=300)
+    kind = np.where(rng.random(3000) < 0.34, 0, rng.integers(0, 300, 3000))
+    rows = [(f"c{k}" if k % 50 else None, 0.0 if k == 0 else float(x), int(level[k] + x > 0)) for k, x in zip(kind, rng.normal(size=3000))]
+    df = spark.createDataFrame(rows, "c string, x double, y int")
+    got = {score.score_trainval(df.withColumn("split", F.lit("train")).repartition(n, how), "y", rounds=4, depth=3).first()["auc"]
+           for n, how in ((1, "x"), (7, "x"), (3, "c"))}
+    assert len(got) == 1 and got.pop() > 0.9
+    laid = score.training_layout(score._features(df, "y", [])(df))
+    assert laid.agg(F.sum("_n")).first()[0] == 3000 and laid.count() < 2100
