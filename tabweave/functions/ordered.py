@@ -71,10 +71,11 @@ def _keys(order: Sequence[str], descending: bool) -> list:
 
 
 def carry(laid: DataFrame, by: Sequence[str], order: Sequence[str], outputs: dict[str, tuple[str, str]], *,
-          include_current: bool = True, descending: bool = False) -> DataFrame:
-    """Add running aggregates to a table from ``layout`` (or to what was added to one); nothing is written."""
+          include_current: bool = True, descending: bool = False, backward: bool = False) -> DataFrame:
+    """Add running aggregates to a table from ``layout`` (or to what was added
+    to one); nothing is written. ``backward`` runs against the order of the layout."""
     last = 0 if include_current else -1
-    keys = _keys(order, descending)
+    keys = _keys(order, descending != backward)
     if RANGE not in laid.columns:
         window = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, last)
         for name, (kind, value) in outputs.items():
@@ -86,7 +87,7 @@ def carry(laid: DataFrame, by: Sequence[str], order: Sequence[str], outputs: dic
         *[_COMBINE[kind][0](value).alias(f"_total_{name}") for name, (kind, value) in outputs.items()]
     )
     # at most one row per range and group
-    earlier = Window.partitionBy(*by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy(F.desc(RANGE) if backward else F.asc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *by, RANGE,
         *[_COMBINE[kind][0](f"_total_{name}").over(earlier).alias(f"_before_{name}")

@@ -8,55 +8,51 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.ordered import ONE_TASK_ROWS, running
+from tabweave.functions.ordered import ONE_TASK_ROWS, carry, layout
 from tabweave.session import freeze, has_at_most
 
 # Up to this many keys the sorted key list travels in the plan.
 LISTED_KEYS = 10_000
 
 
-def bracket(
-    df: DataFrame,
-    value: str,
-    table: DataFrame,
-    key: str,
-    *,
-    listed_keys: int = LISTED_KEYS,
-    one_task_rows: int = ONE_TASK_ROWS,
-) -> DataFrame:
-    """Add ``_below`` (last key <= value) and ``_above`` (first key >= value).
+def _listed(df: DataFrame, value: str, table: DataFrame, key: str) -> DataFrame:
+    """Add ``_below`` (last key <= value) and ``_above`` (first key >= value) by
+    binary search in the sorted keys, row by row and with no shuffle."""
+    keys = sorted(r[0] for r in table.select(key).where(F.col(key).isNotNull()).distinct().collect())
+    if not keys:
+        return df.withColumns({"_below": F.lit(None).cast("double"), "_above": F.lit(None).cast("double")})
+    splits = [float("-inf"), *keys, float("inf")]
+    search = Bucketizer(splits=splits, inputCol=value, outputCol="_slot", handleInvalid="keep")
+    # _slot = number of keys <= value (nulls land in an extra last slot)
+    slot = F.col("_slot").cast("int")
+    found = search.transform(df)
+    listed = F.lit(keys) if len(keys) > 1 else F.array(F.lit(keys[0]))
+    below = F.when(F.col(value).isNotNull() & (slot > 0), F.get(listed, slot - 1))
+    above = F.when(F.col(value).isNotNull(), F.get(listed, slot))
+    return found.withColumn("_below", below).withColumn(
+        "_above", F.when(F.col("_below") == F.col(value), F.col("_below")).otherwise(above)
+    ).drop("_slot")
 
-    ``table`` must be frozen and hold each key once. A short key list is
-    binary-searched row by row, with no shuffle. For a long one the distinct
-    values and the keys are put in one order, running max and min carry the
-    keys to the values, and the result is joined back by value.
-    """
-    if has_at_most(table, listed_keys):
-        keys = sorted(r[0] for r in table.select(key).where(F.col(key).isNotNull()).distinct().collect())
-        if not keys:
-            return df.withColumns({"_below": F.lit(None).cast("double"), "_above": F.lit(None).cast("double")})
-        splits = [float("-inf"), *keys, float("inf")]
-        search = Bucketizer(splits=splits, inputCol=value, outputCol="_slot", handleInvalid="keep")
-        # _slot = number of keys <= value (nulls land in an extra last slot)
-        slot = F.col("_slot").cast("int")
-        found = search.transform(df)
-        listed = F.lit(keys) if len(keys) > 1 else F.array(F.lit(keys[0]))
-        below = F.when(F.col(value).isNotNull() & (slot > 0), F.get(listed, slot - 1))
-        above = F.when(F.col(value).isNotNull(), F.get(listed, slot))
-        return found.withColumn("_below", below).withColumn(
-            "_above", F.when(F.col("_below") == F.col(value), F.col("_below")).otherwise(above)
-        ).drop("_slot")
 
-    values = df.select(F.col(value).alias("_x")).where(F.col("_x").isNotNull()).distinct()
-    line = (
-        values.withColumn("_key", F.lit(None).cast("double"))
-        .unionByName(table.select(F.col(key).cast("double").alias("_x"), F.col(key).cast("double").alias("_key")))
-        .groupBy("_x").agg(F.max("_key").alias("_key"))
-    )
-    up = running(line, [], ["_x"], {"_below": ("max", "_key")}, one_task_rows=one_task_rows)
-    down = running(line, [], ["_x"], {"_above": ("min", "_key")}, descending=True, one_task_rows=one_task_rows)
-    located = up.select("_x", "_below").join(down.select("_x", "_above"), "_x")
-    return df.join(located, df[value] == located["_x"], "left").drop("_x")
+def _merged(df: DataFrame, value: str, table: DataFrame, key: str, columns: Sequence[str], one_task_rows: int) -> DataFrame:
+    """Add ``_lower`` and ``_upper``, the rows of ``table`` (key and ``columns``)
+    on both sides of ``value``.
+
+    Rows and keys are put in one order, cut into ranges, and each range is told the
+    keys at its edges, so nothing is joined back by value. A hash of the row
+    stands last in the order: a value that a third of all rows have is cut too.
+    """
+    whole = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    entry = F.struct(F.col(key).cast("double").alias("_key"), *columns)
+    rows = df.withColumns({"_x": F.col(value).cast("double"), "_kind": F.lit(1), "_tie": F.xxhash64(*whole)})
+    keys = table.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("double").alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), entry.alias("_entry"))
+    order = ["_x", "_kind", "_tie"]  # a key stands before the rows of its value
+    laid = layout(rows.unionByName(keys, allowMissingColumns=True), [], order, one_task_rows=one_task_rows)
+    up = carry(laid, [], order, {"_lower": ("max", "_entry")})
+    both = carry(up, [], order, {"_after": ("min", "_entry")}, backward=True)
+    upper = F.when(F.col("_lower._key") == F.col("_x"), F.col("_lower")).when(F.col("_x").isNotNull(), F.col("_after"))
+    return both.where("_kind = 1").select(*df.columns, "_lower", upper.alias("_upper"))
 
 
 def join_payload(
@@ -76,16 +72,25 @@ def nearest(
     key: str,
     tie: str,
     payload: Sequence[str],
-    **limits: int,
+    *,
+    listed_keys: int = LISTED_KEYS,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add the payload of the key closest to ``value``; on equal distance the
-    key with the smaller ``tie`` wins. Null values find nothing."""
+    key with the smaller ``tie`` wins. Null values find nothing. ``table``
+    holds each key once."""
     base = list(df.columns)
     table = freeze(table)
-    found = bracket(df, value, table, key, **limits)
     columns = [tie, *[p for p in payload if p != tie]]
-    found = join_payload(found, "_below", table, key, columns, "_b_")
-    found = join_payload(found, "_above", table, key, columns, "_a_")
+    if has_at_most(table, listed_keys):
+        found = _listed(df, value, table, key)
+        found = join_payload(found, "_below", table, key, columns, "_b_")
+        found = join_payload(found, "_above", table, key, columns, "_a_")
+    else:
+        found = _merged(df, value, table, key, columns, one_task_rows)
+        sides = {"_b_": "_lower", "_a_": "_upper"}
+        found = found.select(*base, F.col("_lower._key").alias("_below"), F.col("_upper._key").alias("_above"),
+                             *[F.col(side)[c].alias(mark + c) for mark, side in sides.items() for c in columns])
     left, right = F.col(value) - F.col("_below"), F.col("_above") - F.col(value)
     use_left = F.col("_above").isNull() | (left < right) | (
         (left == right) & (F.col(f"_b_{tie}") <= F.col(f"_a_{tie}"))

@@ -61,3 +61,19 @@ def test_scaling(spark):
     assert out.columns == ["scaled_a", "scaled_b", "i"]
     assert [r["scaled_a"] for r in out.orderBy("i").collect()] == [-1.0, -0.5, 0.0, 0.5, 48.5]
     assert {r["scaled_b"] for r in out.collect()} == {0.0}
+
+
+def test_nearest_ways_agree(spark):
+    """Long key lists, in one range or many, give what the listed keys give; a third of all rows share a value."""
+    import random
+    pick = random.Random(6)
+    keys = spark.createDataFrame([(float(k) * 1.5, k % 7, f"p{k}") for k in range(-20, 60)], "k double, t int, p string")
+    rows = [(i, 7.5 if i % 3 == 0 else None if i % 50 == 1 else pick.choice([pick.uniform(-60, 120), 0.75 * pick.randint(-50, 130)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, v double").repartition(5)
+    run = lambda **limits: sorted(map(tuple, nearest(df, "v", keys, "k", "t", ["p", "t"], **limits).collect()))
+    want = run()
+    assert len(want) == 900 and want == run(listed_keys=0) == run(listed_keys=0, one_task_rows=0)
+    table = [(r["k"], r["t"], r["p"]) for r in keys.collect()]
+    for i, v, p, t in want:
+        best = None if v is None else min(table, key=lambda r: (abs(r[0] - v), r[1]))
+        assert (p, t) == ((None, None) if v is None else (best[2], best[1]))
