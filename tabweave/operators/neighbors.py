@@ -1,29 +1,43 @@
-"""Exact k nearest neighbours of every row, without comparing all pairs.
-
-The rows are divided around pivots. Distances to pivots bound the distance
-between rows (triangle inequality), so a row is sent only to the cells where
-it can still be among the k nearest of somebody; everything else is ruled out
-by the bound, not by a cap. Within a cell both sides are cut into blocks of a
-fixed number of rows, so no task holds a whole cell, and each block passes on
-only its k best. Equal vectors are compared once and expanded afterwards.
+"""k nearest neighbours of every row, exact unless the caller asks otherwise.
+
+A share of the rows become pivots, as many as keep a cell near ``BLOCK_ROWS``
+rows, within ``PIVOT_BYTES``; they stand in two levels, so a row is placed by
+about twice the square root of their number of distances. A cell larger than a
+block is cut into blocks by hash, so no task holds a whole cell.
+
+Every row is first compared with its own block. The distance of its worst
+neighbour so far is its reach: by the triangle inequality, and by the planes
+halfway between pivots, only cells within the reach can hold a nearer row, and
+the row is sent to those alone. An outlier
+therefore looks far for itself, and nobody else does for its sake. Each block
+passes on only what lies within the reach. Equal vectors are compared once and
+expanded afterwards.
+
+In many dimensions the bounds rule out little, and exact search approaches all
+pairs of blocks. ``probes`` then sends a row to that many of the nearest cells
+at most; ``recall`` measures what this finds against brute force.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.hashing import row_hash
-from tabweave.session import freeze
+from tabweave.functions.hashing import row_hash, uniform
+from tabweave.session import freeze, small_side
 
 # rows of one side that a task compares at a time
 BLOCK_ROWS = 2048
-# pivots travel to every task, so their number is fixed, not a share of the rows
-MAX_PIVOTS = 1024
+# pivots travel to every task, so their size is bounded; past it cells grow and are cut into more blocks
+PIVOT_BYTES = 16 << 20
+# entries of a distance matrix that a task holds at a time
+MATRIX = 1 << 20
 # slack for rounding in the pruning bounds (never in the distances themselves)
 _SLACK = 1e-9
 
@@ -42,6 +56,46 @@ def _rows(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype="float64").reshape(len(column), -1)
 
 
+def _vector(features: Sequence[str] | str) -> Column:
+    if isinstance(features, str):
+        return F.col(features).cast("array<double>")
+    return F.array(*[F.col(c).cast("double") for c in features])
+
+
+@dataclass
+class Pivots:
+    """Pivots in groups around a square root of their number."""
+
+    tops: np.ndarray    # group, feature
+    points: np.ndarray  # cell, feature; cells of a group stand together
+    first: np.ndarray   # first cell of each group, and the number of cells
+
+    @staticmethod
+    def of(points: np.ndarray) -> Pivots:
+        tops = points[:math.isqrt(len(points) - 1) + 1]
+        step = max(1, MATRIX // len(tops))
+        group = np.concatenate([squared_distances(points[i:i + step], tops).argmin(axis=1)
+                                for i in range(0, len(points), step)])
+        order = np.argsort(group, kind="stable")
+        return Pivots(tops, points[order], np.searchsorted(group[order], np.arange(len(tops) + 1)))
+
+    def cells(self, group: int) -> slice:
+        return slice(self.first[group], self.first[group + 1])
+
+    def place(self, v: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, distance to its pivot, and the distance within which ``want`` pivots of the group lie."""
+        group = squared_distances(v, self.tops).argmin(axis=1)
+        cell, near, bound = np.zeros(len(v), int), np.zeros(len(v)), np.full(len(v), np.inf)
+        for g in np.unique(group):
+            row = np.flatnonzero(group == g)
+            d = np.sqrt(squared_distances(v[row], self.points[self.cells(g)]))
+            place = d.argmin(axis=1)
+            cell[row], near[row] = self.first[g] + place, d[np.arange(len(row)), place]
+            if d.shape[1] >= want:
+                bound[row] = np.partition(d, want - 1, axis=1)[:, want - 1]
+        return cell, near, bound
+
+
 def knn(
     df: DataFrame,
     key: str,
@@ -49,18 +103,20 @@ def knn(
     k: int = 5,
     *,
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = MAX_PIVOTS,
+    max_pivots: int | None = None,
+    probes: int | None = None,
     seed: object = 5,
 ) -> DataFrame:
     """``(key, neighbours)``: the k nearest other rows as an array of
     ``(distance2, neighbour)`` structs, by distance then key.
 
     ``features`` is a list of numeric columns or one array column; ``key`` is
-    a unique integer column.
+    a unique integer column. A row with a null, NaN or infinite coordinate is
+    nobody's neighbour and has none. ``probes`` bounds the cells that a row is
+    sent to beyond its own block; without it the result is exact.
     """
-    vector = F.col(features).cast("array<double>") if isinstance(features, str) else F.array(
-        *[F.col(c).cast("double") for c in features])
-    points = freeze(df.select(F.col(key).cast("long").alias("_key"), vector.alias("_v")))
+    every = freeze(df.select(F.col(key).cast("long").alias("_key"), _vector(features).alias("_v")))
+    points = every.where(F.forall("_v", lambda x: F.abs(x) < F.lit(math.inf)))
 
     # Equal vectors: one representative, and the k+1 smallest keys of each.
     # The rank filter is applied on the map side too (WindowGroupLimit).
@@ -69,7 +125,7 @@ def knn(
     members = points.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= want).groupBy("_v").agg(
         F.array_sort(F.collect_list("_key")).alias("_keys"))
     distinct = freeze(members.withColumn("_id", F.element_at("_keys", 1)))
-    near = _knn_distinct(distinct.select("_id", "_v"), want, block_rows, max_pivots, seed)
+    near = _knn_distinct(distinct.select("_id", "_v"), want, block_rows, max_pivots, probes, seed)
 
     # Per distinct vector: its k+1 best concrete neighbours. A vector has at
     # most k+1 near vectors with k+1 keys each, so the arrays stay bounded.
@@ -79,81 +135,189 @@ def knn(
     ))), 1, want).alias("_best"))
     by_vector = distinct.select("_id", "_v").join(candidates, "_id").select("_v", "_best")
     # a heavily repeated vector makes a hot key here; AQE splits its partition
-    return points.join(by_vector, "_v").select(
-        F.col("_key").alias(key),
-        F.slice(F.filter("_best", lambda n: n["neighbour"] != F.col("_key")), 1, k).alias("neighbours"))
+    others = F.slice(F.filter("_best", lambda n: n["neighbour"] != F.col("_key")), 1, k)
+    none = F.array().cast("array<struct<distance2:double,neighbour:bigint>>")
+    return every.join(by_vector, "_v", "left").select(
+        F.col("_key").alias(key), F.coalesce(others, none).alias("neighbours"))
 
 
-def _knn_distinct(rows: DataFrame, want: int, block_rows: int, max_pivots: int, seed: object) -> DataFrame:
+def _knn_distinct(rows: DataFrame, want: int, block_rows: int, max_pivots: int | None, probes: int | None,
+                  seed: object) -> DataFrame:
     """``(_id, _near, _d)``: the ``want`` nearest rows, itself included."""
-    total = rows.count()
-    cells = max(1, min(max_pivots, -(-total // block_rows)))
-    picked = rows.orderBy(row_hash(["_id"], seed), "_id").limit(cells).select("_v").collect()
-    pivots = np.array([r[0] for r in picked], dtype="float64").reshape(len(picked), -1)
-    if not len(pivots):
-        return rows.select("_id", F.col("_id").alias("_near"), F.lit(0.0).alias("_d")).limit(0)
-
-    def to_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    u = uniform(row_hash(["_id"], seed))
+    total, lowest, width = rows.agg(F.count(F.lit(1)), F.min(u), F.max(F.size("_v"))).first()
+    if not total:
+        return rows.select("_id", F.col("_id").alias("_near"), F.lit(0.0).alias("_d"))
+    most = max_pivots or max(1, PIVOT_BYTES // (8 * max(width, 1)))
+    share = min(most, -(-total // block_rows)) / total
+    # about ``most`` rows at the most, the one with the smallest hash at the least
+    picked = rows.where(u <= F.lit(max(share, lowest))).select(u.alias("u"), "_id", "_v").collect()
+    picked = np.array([r["_v"] for r in sorted(picked, key=lambda r: (r["u"], r["_id"]))], dtype="float64")
+    pivots = Pivots.of(picked.reshape(len(picked), -1))
+
+    settled, cells = _own_blocks(rows, pivots, want, block_rows)
+    own = settled.select("_id", F.explode(F.arrays_zip("_near", "_d")).alias("n")).select("_id", "n.*")
+    if total <= block_rows and len(pivots.points) == 1:
+        return own
+    sent = _sent(settled, cells, pivots, want, probes)
+    best = Window.partitionBy("_id").orderBy("_d", "_near")
+    return own.unionByName(_beyond(settled, sent, cells, want, block_rows)).withColumn(
+        "_rn", F.row_number().over(best)).where(F.col("_rn") <= want).drop("_rn")
+
+
+def _own_blocks(rows: DataFrame, pivots: Pivots, want: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their nearest in their own block and their reach; and a row per cell."""
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = np.sqrt(squared_distances(_rows(batch["_v"]), pivots))
-                cell = d.argmin(axis=1)
-                yield batch.assign(_cell=cell.astype("int32"), _dp=d[np.arange(len(d)), cell])
-
-    placed = freeze(rows.mapInPandas(to_cells, "_id long, _v array<double>, _cell int, _dp double"))
-
-    # For each cell, an upper bound on how far its rows must look: the
-    # want-th smallest of radius + pivot distance + distance to the own pivot.
-    sizes = {r[0]: (r[1], r[2]) for r in placed.groupBy("_cell").agg(
-        F.count(F.lit(1)), F.max("_dp")).collect()}
-    inner = placed.withColumn("_rn", F.row_number().over(Window.partitionBy("_cell").orderBy("_dp", "_id"))).where(
-        F.col("_rn") <= want).select("_cell", "_dp").collect()  # at most want rows per pivot
-    between = np.sqrt(squared_distances(pivots, pivots))
-    inner_cell = np.array([r[0] for r in inner], dtype=int)
-    inner_dp = np.array([r[1] for r in inner])
-    radius = np.array([sizes.get(c, (0, 0.0))[1] for c in range(len(pivots))])
-    reach = np.full(len(pivots), -1.0)
-    for c in range(len(pivots)):
-        if c in sizes:
-            bounds = np.sort(radius[c] + between[c, inner_cell] + inner_dp)
-            reach[c] = bounds[min(want, len(bounds)) - 1] * (1 + _SLACK) + _SLACK
-
-    def to_targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                cell, near, bound = pivots.place(_rows(batch["_v"]), want)
+                yield batch.assign(_cell=cell.astype("int32"), _dp=near, _bound=bound)
+
+    placed = freeze(rows.mapInPandas(place, "_id long, _v array<double>, _cell int, _dp double, _bound double"))
+    cells = freeze(placed.groupBy("_cell").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_blocks"),
+        F.min("_dp").alias("_low"), F.max("_dp").alias("_high")))
+    block = F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int")
+    blocked = placed.join(small_side(cells.select("_cell", "_blocks")), "_cell").select(
+        "_id", "_v", "_cell", "_bound", block.alias("_block"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_id", kind="stable")
+        v, ids = _rows(rows["_v"]), rows["_id"].to_numpy()
+        near, gaps, reach = [], [], rows["_bound"].to_numpy().copy()
+        step = max(1, MATRIX // len(v))
+        for i in range(0, len(v), step):
+            d = squared_distances(v[i:i + step], v)
+            best = np.argsort(d, axis=1, kind="stable")[:, :want]  # ties go to the smaller id
+            d = np.take_along_axis(d, best, axis=1)
+            near += list(ids[best])
+            gaps += list(d)
+            if len(v) >= want:
+                reach[i:i + step] = np.minimum(reach[i:i + step], np.sqrt(d[:, -1]))
+        return rows[["_id", "_v", "_cell", "_block"]].assign(_reach=reach, _near=near, _d=gaps)
+
+    return freeze(blocked.groupBy("_cell", "_block").applyInPandas(
+        compare, "_id long, _v array<double>, _cell int, _block int, _reach double, _near array<long>, _d array<double>")), cells
+
+
+def _sent(settled: DataFrame, cells: DataFrame, pivots: Pivots, want: int, probes: int | None) -> DataFrame:
+    """Rows once for every cell within their reach. The driver sees a row per pivot."""
+    low, high = np.full(len(pivots.points), np.inf), np.full(len(pivots.points), -np.inf)
+    for r in cells.select("_cell", "_low", "_high").toLocalIterator():
+        low[r["_cell"]], high[r["_cell"]] = r["_low"], r["_high"]
+    groups = len(pivots.tops)
+    wide = np.full(groups, -np.inf)  # radius of a whole group
+    for g in range(groups):
+        part = pivots.cells(g)
+        if part.start < part.stop:
+            d = np.sqrt(squared_distances(pivots.tops[g:g + 1], pivots.points[part]))[0]
+            wide[g] = (d + high[part]).max()
+
+    def within(d: np.ndarray, inner: np.ndarray | float, outer: np.ndarray | float, reach: np.ndarray) -> np.ndarray:
+        far = reach[:, None] * (1 + _SLACK) + _SLACK * (1 + d)
+        return (d - outer <= far) & (inner - d <= far)
+
+    def nearer_side(d: np.ndarray, own: np.ndarray, among: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Whether the reach crosses the plane between a pivot and the row's ``own``
+        of these pivots: rows placed at a pivot lie on its side."""
+        gap = np.sqrt(squared_distances(among[own], among))
+        mine = d[np.arange(len(d)), own][:, None]
+        return (d - mine) * (d + mine) <= 2 * gap * (reach[:, None] * (1 + _SLACK) + _SLACK * (1 + d))
+
+    def nearest(v: np.ndarray) -> np.ndarray:
+        """The distance to the last pivot that a row is sent to."""
+        step = max(1, MATRIX // len(pivots.points))
+        return np.sqrt(np.concatenate([np.partition(squared_distances(v[i:i + step], pivots.points), probes - 1, axis=1)[:, probes - 1]
+                                       for i in range(0, len(v), step)]))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                d = np.sqrt(squared_distances(_rows(batch["_v"]), pivots))
-                row, cell = np.nonzero(d - radius[None, :] <= reach[None, :])
-                yield pd.DataFrame({
-                    "_id": batch["_id"].to_numpy()[row], "_v": batch["_v"].to_numpy()[row],
-                    "_cell": cell.astype("int32")})
-
-    sent = placed.select("_id", "_v").mapInPandas(to_targets, "_id long, _v array<double>, _cell int")
-    # counting first gives every cell its number of blocks on either side
-    arriving = {r[0]: r[1] for r in sent.groupBy("_cell").count().collect()}
-    spark = rows.sparkSession
-    plan = F.broadcast(spark.createDataFrame(  # one row per pivot
-        [(int(c), max(1, -(-n // block_rows)), max(1, -(-arriving.get(c, 1) // block_rows)))
-         for c, (n, _) in sizes.items()], "_cell int, _ours int, _theirs int"))
-    spread = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
-    ours = placed.select("_id", "_v", "_cell").join(plan, "_cell").withColumn("_a", F.pmod(spread, F.col("_ours")).cast("int"))
-    ours = ours.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))).drop("_ours", "_theirs")
-    theirs = sent.join(plan, "_cell").withColumn("_b", F.pmod(spread, F.col("_theirs")).cast("int"))
-    theirs = theirs.withColumn("_a", F.explode(F.sequence(F.lit(0), F.col("_ours") - 1))).drop("_ours", "_theirs")
+            if not len(batch):
+                continue
+            v, reach = _rows(batch["_v"]), np.minimum(batch["_reach"].to_numpy(), 1e300)  # zero times it is zero
+            last = nearest(v) if probes and probes < len(pivots.points) else np.full(len(v), np.inf)
+            to_top = np.sqrt(squared_distances(v, pivots.tops))
+            open_ = within(to_top, 0.0, wide[None, :], reach) & nearer_side(to_top, to_top.argmin(axis=1), pivots.tops, reach)
+            for g in range(groups):
+                part = pivots.cells(g)
+                rows = np.flatnonzero(open_[:, g])
+                step = max(1, MATRIX // 16 // max(1, part.stop - part.start))
+                for i in range(0, len(rows), step):
+                    some = rows[i:i + step]
+                    d = np.sqrt(squared_distances(v[some], pivots.points[part]))
+                    near = within(d, low[part], high[part], reach[some]) & (d <= last[some, None])
+                    near &= nearer_side(d, d.argmin(axis=1), pivots.points[part], reach[some])
+                    row, cell = np.nonzero(near)
+                    if len(row):
+                        yield batch.iloc[some[row]].assign(_to=(part.start + cell).astype("int32"))
+
+    return settled.select("_id", "_v", "_cell", "_block", "_reach").mapInPandas(
+        send, "_id long, _v array<double>, _cell int, _block int, _reach double, _to int")
+
+
+def _beyond(settled: DataFrame, sent: DataFrame, cells: DataFrame, want: int, block_rows: int) -> DataFrame:
+    """``(_id, _near, _d)`` from the blocks that rows are sent to. Counting what
+    arrives first gives every cell its number of parts on that side as well."""
+    arriving = sent.groupBy(F.col("_to").alias("_cell")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_parts"))
+    plan = small_side(freeze(cells.select("_cell", "_blocks").join(arriving, "_cell")))
+    asking = sent.join(plan.select(F.col("_cell").alias("_to"), "_blocks", "_parts"), "_to").select(
+        "_id", "_v", "_reach", "_cell", "_block", "_to", F.pmod(F.xxhash64("_id", F.lit(1)), F.col("_parts")).cast("int").alias("_part"),
+        F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_in"))
+    asking = asking.where((F.col("_to") != F.col("_cell")) | (F.col("_in") != F.col("_block")))  # compared before
+    asked = settled.join(plan, "_cell").select(
+        "_id", "_v", F.col("_cell").alias("_to"), F.col("_block").alias("_in"),
+        F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"_id": [], "_near": [], "_d": []})
-        right = right.sort_values("_id", kind="stable")
-        d = squared_distances(_rows(left["_v"]), _rows(right["_v"]))
-        ids = right["_id"].to_numpy()
-        # stable sort over id-ordered columns: ties go to the smaller id
-        best = np.argsort(d, axis=1, kind="stable")[:, :want]
-        return pd.DataFrame({
-            "_id": np.repeat(left["_id"].to_numpy(), best.shape[1]),
-            "_near": ids[best].ravel(), "_d": np.take_along_axis(d, best, axis=1).ravel()})
-
-    block = ["_cell", "_a", "_b"]
-    parts = ours.groupBy(*block).cogroup(theirs.groupBy(*block)).applyInPandas(
-        compare, "_id long, _near long, _d double")
-    best = Window.partitionBy("_id").orderBy("_d", "_near")
-    return parts.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= want).drop("_rn")
+        out = [pd.DataFrame({"_id": [], "_near": [], "_d": []})]
+        if len(left) and len(right):
+            right = right.sort_values("_id", kind="stable")
+            ids, others = right["_id"].to_numpy(), _rows(right["_v"])
+            step = max(1, MATRIX // len(others))
+            for i in range(0, len(left), step):
+                some = left.iloc[i:i + step]
+                d = squared_distances(_rows(some["_v"]), others)
+                best = np.argsort(d, axis=1, kind="stable")[:, :want]
+                d = np.take_along_axis(d, best, axis=1)
+                row, place = np.nonzero(np.sqrt(d) <= some["_reach"].to_numpy()[:, None] * (1 + _SLACK) + _SLACK)
+                out.append(pd.DataFrame({"_id": some["_id"].to_numpy()[row], "_near": ids[best[row, place]], "_d": d[row, place]}))
+        return pd.concat(out) if len(out) > 1 else out[0]
+
+    key = ["_to", "_in", "_part"]
+    return asking.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(compare, "_id long, _near long, _d double")
+
+
+def recall(df: DataFrame, key: str, features: Sequence[str] | str, found: DataFrame, k: int = 5, *,
+           queries: int = 1000, seed: object = 5) -> float:
+    """Share of the true neighbours of ``queries`` rows, the first by a hash of
+    their key, that ``found`` (a result of ``knn``) has; by distance, so ties count.
+
+    The queries go to every task, which passes on the k smallest distances of each.
+    """
+    points = df.select(F.col(key).cast("long").alias("_key"), _vector(features).alias("_v")).where(
+        F.forall("_v", lambda x: F.abs(x) < F.lit(math.inf)))
+    asked = points.orderBy(row_hash(["_key"], seed), "_key").limit(queries).collect()
+    if not asked:
+        return 1.0
+    ids, v = np.array([r["_key"] for r in asked]), np.array([r["_v"] for r in asked], dtype="float64")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full((len(ids), k), np.inf)
+        for batch in batches:
+            step = max(1, MATRIX // len(ids))
+            for i in range(0, len(batch), step):
+                some = batch.iloc[i:i + step]
+                d = squared_distances(v, _rows(some["_v"]))
+                d[ids[:, None] == some["_key"].to_numpy()[None, :]] = np.inf
+                best = np.sort(np.concatenate([best, d], axis=1), axis=1)[:, :k]
+        row, place = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({"_key": ids[row], "_d": best[row, place]})
+
+    true = points.mapInPandas(search, "_key long, _d double").groupBy("_key").agg(
+        F.slice(F.array_sort(F.collect_list("_d")), 1, k).alias("_true"))
+    seen = true.join(found.withColumnRenamed(key, "_key"), "_key", "left")
+    hit = F.size(F.filter(F.coalesce("neighbours", F.array().cast("array<struct<distance2:double,neighbour:bigint>>")),
+                          lambda n: n["distance2"] <= F.element_at("_true", -1)))
+    hits, all_ = seen.agg(F.sum(hit), F.sum(F.size("_true"))).first()
+    return hits / all_ if all_ else 1.0

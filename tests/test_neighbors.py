@@ -1,8 +1,12 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
+from tabweave.operators import neighbors
 from tabweave.operators.neighbors import knn
 from tabweave.operators.resample import rebalance, smote, smote_rows
 
@@ -63,3 +67,45 @@ def test_class_ratios(spark):
     df = spark.createDataFrame(rows, "id long, a double, y int")
     assert Counter(r["y"] for r in smote(df, "y", ["a"], "id").collect()) == {0: 400, 1: 400}
     assert Counter(r["y"] for r in rebalance(df, "y", ["a"], "id", 0.1, 0.5).collect()) == {1: 40, 0: 80}
+
+
+def _pairs(df, columns, block_rows):
+    """Pairs of a row and a row of a block it is compared with, as the search plans them."""
+    rows = df.select(F.col("id").alias("_id"), F.array(*columns).alias("_v"))
+    picked = [r["_v"] for r in rows.orderBy("_id").limit(rows.count() // block_rows).collect()]
+    pivots = neighbors.Pivots.of(np.array(picked))
+    settled, cells = neighbors._own_blocks(rows, pivots, 6, block_rows)
+    sizes = settled.groupBy(F.col("_cell").alias("_to")).count()
+    sent = neighbors._sent(settled, cells, pivots, 6, None).groupBy("_to").agg(F.count("*").alias("asking"))
+    return sent.join(sizes, "_to").agg(F.sum(F.col("asking") * F.col("count"))).first()[0]
+
+
+def test_pairs_stay_far_below_all_with_outliers(spark):
+    rng = np.random.default_rng(6)
+    ratios = {}
+    for n in (4000, 16000):
+        values = rng.normal(size=(n, 3))
+        values[-3:] *= 1e4  # far from all others
+        rng.shuffle(values)
+        df = spark.createDataFrame(pd.DataFrame(values, columns=["a", "b", "c"]).assign(id=np.arange(n)))
+        ratios[n] = _pairs(df, ["a", "b", "c"], 64) / n ** 2
+    assert ratios[4000] < 0.15 and ratios[16000] < ratios[4000] / 2
+
+
+def test_rows_without_a_place(spark):
+    rows = [(1, [0.0, 1.0]), (2, [0.0, None]), (3, [float("nan"), 0.0]), (4, [1.0, 1.0]), (5, None), (6, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert _got(knn(df, "id", "v", 5)) == {1: [(1.0, 4)], 4: [(1.0, 1)], 2: [], 3: [], 5: [], 6: []}
+    assert knn(df.limit(0), "id", "v", 5).collect() == []
+
+
+def test_probes_and_recall(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 32))
+    values = centres[rng.integers(0, 20, 3000)] + 0.3 * rng.normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "id long, v array<double>")
+    exact = knn(df, "id", "v", 5, block_rows=100)
+    assert neighbors.recall(df, "id", "v", exact, 5, queries=200) == 1.0
+    few = neighbors.recall(df, "id", "v", knn(df, "id", "v", 5, block_rows=100, probes=1), 5, queries=200)
+    more = neighbors.recall(df, "id", "v", knn(df, "id", "v", 5, block_rows=100, probes=8), 5, queries=200)
+    assert few < more and more >= 0.9
