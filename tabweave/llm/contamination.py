@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm import words as W
-from tabweave.llm.frames import keep, map_arrow, table
+from tabweave.llm.frames import aside, keep, map_arrow, table
 
 LENGTH = 10
 BLOCK_WORDS = 2_000_000
@@ -232,7 +232,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, bloc
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a word inside a benchmark window."""
-    return find_leaks(docs, benchmark, **options).where(F.col(f"{FOUND}.n_hit") == 0).drop(FOUND)
+    renamed, back = aside(docs, (FOUND,))
+    found = find_leaks(renamed, benchmark, **options)
+    return found.where(F.col(f"{FOUND}.n_hit") == 0).drop(FOUND).withColumnsRenamed(back)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,3 +42,18 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[pa.Record
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of these names, in either case, under fresh ones,
+    and the names to give back with ``withColumnsRenamed``."""
+    used = {c.lower() for c in (*docs.columns, *names)}
+    back = {}
+    for c in docs.columns:
+        if c.lower() in {n.lower() for n in names}:
+            fresh = c
+            while fresh.lower() in used:
+                fresh += "_"
+            used.add(fresh.lower())
+            back[fresh] = c
+    return docs.withColumnsRenamed({c: fresh for fresh, c in back.items()}), back

@@ -8,8 +8,9 @@ fraction, decided by a hash of the document.
 Defined results: a null text has size 0; a null source is a source of its own,
 last in order; a source whose documents are all empty has target 0 and is
 taken once (its rows carry no words); repeated rows are decided alike, because
-the hash sees only doc_id and seed; an empty table gives an empty result;
-further columns are carried along and never read.
+the hash sees only doc_id and seed, or the text of a row without doc_id; an empty table gives an empty result;
+further columns are carried along and never read. ``mix`` replaces columns of the
+names that it adds; ``mixed_documents`` returns them as they were.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tabweave.llm.frames import keep, table, word_count
+from tabweave.llm.frames import aside, keep, table, word_count
 from tabweave.session import small_side
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 SEED = "mix"
+NAMES = ("_mix_size", "_mix_source", "_mix_source_size", "_mix_target", "_mix_rate")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
@@ -78,23 +80,25 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     when small, otherwise joined by shuffle, where adaptive execution splits
     a hot source.
     """
-    names = ("_mix_size", "_mix_source", "_mix_source_size", "_mix_target", "_mix_rate", "_mix_weight")
-    sized = docs.withColumn(names[0], word_count(F.col("text")))
+    names = NAMES
+    sized = docs.drop(*names, "_mix_copies").withColumn(names[0], word_count(F.col("text")))
     sums = sized.groupBy("source").agg(F.sum(names[0]).cast("long").alias("source_size"))
     sources = keep(source_targets(sums, weights, share, most), "mix_sources")
     side = small_side(sources.select(F.col("source").alias(names[1]), F.col("source_size").alias(names[2]),
                                      F.col("target").alias(names[3]), F.col("rate").alias(names[4])))
     joined = sized.join(side, F.col("source").eqNullSafe(F.col(names[1])))
     rate = F.col(names[4])
-    extra = (bernoulli(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    extra = (bernoulli(named, seed) < rate - F.floor(rate)).cast("int")
     return joined.withColumn("_mix_copies", (F.floor(rate) + extra).cast("int"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix themselves, each row as often as it is taken."""
-    mixed = mix(docs, **options)
+    renamed, back = aside(docs, (*NAMES, "_mix_copies", "_mix_copy"))
     copies = F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
-    return mixed.where("_mix_copies > 0").withColumn("_mix_copy", copies).select(*docs.columns)
+    taken = mix(renamed, **options).where("_mix_copies > 0").withColumn("_mix_copy", copies)
+    return taken.select(*renamed.columns).withColumnsRenamed(back)
 
 
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +111,7 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, text, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              ([3.0, 1.0, 2.0])[((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT]::DOUBLE AS weight
       FROM d GROUP BY source),
@@ -121,7 +125,7 @@ t AS (SELECT source, source_size, coalesce(least(room, found * weight), room) AS
              CASE WHEN source_size > 0 THEN coalesce(least(room, found * weight), room) / source_size ELSE 1.0 END AS rate
       FROM l, f),
 c AS (SELECT doc_id, size, source_size, target,
-             (floor(rate) + ((('0x' || substr(sha256('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE
+             (floor(rate) + ((('0x' || substr(sha256('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE
                / 4503599627370496.0) < rate - floor(rate))::INT)::INT AS copies
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM c

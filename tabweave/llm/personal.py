@@ -4,15 +4,17 @@ Base spans come from fixed patterns. Around digits and at signs the random
 field (see ``semicrf``) chooses boundaries and types of further entities
 jointly; its spans that overlap no base span are added.
 
-The field is trained here: ``TRAIN`` documents at most, the first by a hash of
-doc_id among those with a base span, give stretches with the base spans as
-entities, plus copies in which the marks that the patterns hang on are dropped
-or varied (a phone number without its plus, "(at)" for the at sign), and
-stretches without any. Its size is fixed; it goes along with the tasks.
+The field is trained here, on a bounded sample: the first ``TRAIN`` documents
+with a base span by a hash, and of all their pieces the first ``EACH`` of every
+kind by a hash. They give stretches with the base spans as entities, copies in
+which the marks that the patterns hang on are dropped or varied (a phone number
+without its plus or country, "(at)" for the at sign), copies with harmless
+numbers in their place, and stretches without any. The model has a fixed size
+and goes along with the tasks.
 
 Only stretches of text around digits and at signs are cut into tokens, so long
-texts cost little more than their bytes. A stretch is cut where white space
-follows ``WIDE`` characters without such a mark.
+texts cost little more than their bytes. A stretch begins and ends at white
+space and has any length; nothing inside it is cut.
 
 Defined results: null and empty texts have no spans; repeated rows are judged
 alike; places are code points, ends exclusive; base spans of different kinds
@@ -27,16 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabweave.llm import words as W
 from tabweave.llm.frames import map_arrow, table
 from tabweave.llm.semicrf import KINDS, SemiCrf, Stretch, luhn, stretch_of
 
-TRAIN = 200
-WIDE = 24  # characters of context on both sides
-LONGEST_STRETCH = 160
+TRAIN = 200  # documents
+EACH = 30  # pieces of a kind
+PIECE = 160  # characters of a piece without a base span; longer base spans are no examples
+WIDE = 24  # characters of context on both sides, and on to the next white space
 
 # The patterns, fixed values. Possessive repeats and the look behind only spare
 # places where a match cannot begin; results are those of the plain patterns.
@@ -47,7 +51,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 RESULT = ("doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
-MARK = re.compile(r"[0-9@]|\(at\)")
+MARK = re.compile(r"[0-9]+|@|\(at\)")
+SPACE = re.compile(r"\s")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -81,25 +86,31 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around digits and at signs."""
+    """Parts of the text around digits and at signs, from white space to white space."""
     out: list[list[int]] = []
     for m in MARK.finditer(text):
-        low, high = max(0, m.start() - WIDE), min(len(text), m.end() + WIDE)
-        if out and low <= out[-1][1] and high - out[-1][0] <= LONGEST_STRETCH:
-            out[-1][1] = high
-        elif not out or m.start() >= out[-1][1] - WIDE:
-            out.append([max(low, out[-1][1] if out and low < out[-1][1] else low), high])
+        floor = out[-1][1] if out else 0
+        low = max(floor, m.start() - WIDE)
+        while low > floor and not text[low - 1].isspace():
+            low -= 1
+        if not out or low > floor:
+            out.append([low, floor])
+        if m.end() + WIDE > out[-1][1]:
+            end = SPACE.search(text, m.end() + WIDE)
+            out[-1][1] = end.start() if end else len(text)
     return [(a, b) for a, b in out]
 
 
 def entities(text: str, crf: SemiCrf, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
     """Entities of the field that overlap no base span."""
-    out = []
+    out, ahead, reached = [], 0, 0  # base spans before ``ahead`` end by ``reached``
     for low, high in stretches(text):
-        stretch = stretch_of(text[low:high])
-        for i, j, kind in crf.best(stretch) if stretch.spans else ():
-            a, b = low + stretch.starts[i], low + stretch.ends[j - 1]
-            if not any(a < e and s < b for s, _, e in base):
+        for start, end, kind in crf.best_spans(text[low:high]):
+            a, b = low + start, low + end
+            while ahead < len(base) and base[ahead][0] < b:
+                reached = max(reached, base[ahead][2])
+                ahead += 1
+            if reached <= a:
                 out.append((a, KINDS[kind], b))
     return out
 
@@ -113,6 +124,28 @@ def _example(text: str, spans: list[tuple[int, str, int]]) -> tuple[Stretch, set
     return stretch, {g for g in gold if g[:2] in held}
 
 
+def variants(kind: str, span: str) -> list[str]:
+    """The same entity as people write it who leave out or change its marks."""
+    if kind == "email":
+        local, _, domain = span.rpartition("@")
+        plain = re.sub(r"[^A-Za-z]", "", local) or "x"
+        short = ".".join(domain.split(".")[-2:])
+        dotted, bare = f"{plain}.{plain[::-1]}", re.sub(r"[0-9]", "", domain).strip(".-") or "x.y"
+        return [f"{name}(at){host}" for name, host in (
+            (local, domain), (plain, bare), (dotted, bare), (plain, short), (dotted, short), (local, short))]
+    if kind == "phone":
+        groups = re.findall(r"[0-9]+", span)
+        rest = groups[1:] if len(groups) > 2 else groups
+        return [span[1:], " ".join(groups), "-".join(rest), " ".join(rest), f"0{rest[0]} {''.join(rest[1:])}"]
+    return []
+
+
+def harmless(span: str) -> list[str]:
+    """What may stand in the place of an entity and is none: a short number, too many digits, a date, a mark alone."""
+    digits = re.sub(r"[^0-9]", "", span)
+    return [digits[:5], (digits * 3)[:24], f"{digits[:4]}-{digits[4:6]}-{digits[6:8]}" if len(digits) > 7 else "none (at) all"]
+
+
 def examples(text: str) -> Iterator[tuple[Stretch, set]]:
     """Training stretches of one text, with varied copies."""
     base = base_spans(text)
@@ -125,35 +158,49 @@ def examples(text: str) -> Iterator[tuple[Stretch, set]]:
         inside = [(s - low, k, e - low) for s, k, e in single if low <= s and e <= high]
         yield _example(part, inside)
         span = text[a:b]
-        other = {"phone": span[1:], "email": span.replace("@", "(at)"), "card": span, "ip": span}[kind]
-        if other != span:
+        for other in variants(kind, span):
             yield _example(text[low:a] + other + text[b:high], [(a - low, kind, a - low + len(other))])
-        # digits that are nothing: the same place with a short number, and with too many digits
-        yield _example(text[low:a] + re.sub(r"[^0-9]", "", span)[:5] + text[b:high], [])
-        yield _example(text[low:a] + (re.sub(r"[^0-9]", "", span) * 3)[:24] + text[b:high], [])
+        for other in harmless(span):
+            yield _example(text[low:a] + other + text[b:high], [])
+
+
+def pieces(text: str, base: list[tuple[int, str, int]]) -> list[tuple[str, str]]:
+    """Training pieces of one text with their kind: the surroundings of every
+    base span, and every stretch that has none, in runs of ``PIECE`` characters."""
+    out = [(kind, text[max(0, a - 3 * WIDE):b + 3 * WIDE]) for a, kind, b in base if b - a <= PIECE]
+    ahead = 0
+    for a, b in stretches(text):
+        while ahead < len(base) and base[ahead][2] <= a:
+            ahead += 1
+        if ahead == len(base) or base[ahead][0] >= b:
+            out += [("none", text[i:min(b, i + PIECE)]) for i in range(a, b, PIECE)]
+    return out
 
 
-def train(docs: DataFrame, limit: int = TRAIN) -> SemiCrf:
-    """Fit the field on at most ``limit`` documents with a base span."""
-    marked = docs.where(F.col("text").rlike(r"[@+][A-Za-z0-9]|[0-9]{4}|[0-9]\.[0-9]"))
+def train(docs: DataFrame, limit: int = TRAIN, each: int = EACH) -> SemiCrf:
+    """Fit the field on at most ``limit`` documents with a base span, and at
+    most ``each`` of their pieces per kind, the first by their hash."""
     key = F.xxhash64(F.col("doc_id"), F.col("text")).alias("key")
-    # only hashes meet in one task; whole texts stay where they are read, the driver gets the parts around spans
-    first = F.broadcast(marked.select(key).distinct().orderBy("key").limit(limit))  # at most ``limit`` rows
+
+    def mark(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = [bool(base_spans(t.as_py())) for t in batch.column("text")]
+        yield pa.RecordBatch.from_pydict({"key": batch.column("key").filter(pa.array(found, pa.bool_()))})
+
+    marked = map_arrow(docs.where(F.col("text").rlike("[0-9@]")).select(key, "text"), mark, "key long")
+    # only hashes meet in one task; whole texts stay where they are read, the driver gets the pieces chosen
+    first = F.broadcast(marked.distinct().orderBy("key").limit(limit))  # at most ``limit`` rows
     picked = docs.select(key, "text").join(first, "key", "left_semi")
+
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys, places, parts = [], [], []
-        for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            base = base_spans(text)
-            own = [text[max(0, a - 3 * WIDE):b + 3 * WIDE] for a, _, b in base[:5]]
-            own += [text[a:b] for a, b in stretches(text)[:5] if not any(a < e and s < b for s, _, e in base)]
-            keys, places, parts = keys + [key] * len(own), places + list(range(len(own))), parts + own
-        yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "place": pa.array(places, pa.int32()),
-                                          "part": pa.array(parts, pa.string())})
+        for text in batch.column("text"):
+            own = pieces(text.as_py(), base_spans(text.as_py()))
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in own], pa.string()),
+                                              "piece": pa.array([p for _, p in own], pa.string())})
 
-    cuts = map_arrow(picked, cut, "key long, place int, part string").dropDuplicates(["key", "place"])  # repeated rows count once
-    parts = sorted(r["part"] for r in cuts.collect())
-    parts = parts[::max(1, -(-len(parts) // limit))]
-    return SemiCrf().train([e for p in parts for e in examples(p)])
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("piece"), "piece")  # cut off before the shuffle as well
+    cuts = map_arrow(picked, cut, "kind string, piece string").distinct().withColumn("place", F.row_number().over(order))
+    rows = cuts.where(F.col("place") <= each).select("piece").distinct().collect()
+    return SemiCrf().train([e for p in sorted(r["piece"] for r in rows) for e in examples(p)])
 
 
 def listed(spans: list[tuple[int, str, int]]) -> str:
@@ -169,6 +216,7 @@ def find_personal(docs: DataFrame, crf: SemiCrf | None = None) -> DataFrame:
         for part in W.text_parts(batch):
             data, offsets = W.text_buffer(part.column("text"))
             marked = W.segment_sums((data >= 48) & (data <= 57) | (data == 64) | (data == 43), offsets) > 0
+            marked |= np.asarray(pc.fill_null(pc.match_substring(part.column("text"), "(at)"), False))
             base, every = [], []
             texts = part.column("text")
             for row, has in enumerate(marked.tolist()):

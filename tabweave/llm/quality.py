@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabweave.llm import words as W
-from tabweave.llm.frames import keep, map_arrow, table
+from tabweave.llm.frames import aside, keep, map_arrow, table
 from tabweave.session import small_side
 
 MIN_WORDS = 50
@@ -257,8 +257,9 @@ def judge(counted: DataFrame, groups: DataFrame, pooled: DataFrame, tail: float
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns. Two scans of the texts."""
+    docs, back = aside(docs, (FOUND, "_distance", "_kept", "_q_lang", "_q_source", "_q_centre", "_q_inverse"))
     groups, pooled = estimates(with_counts(docs.select("lang", "source", "text"), drop_text=True))
-    return judge(with_counts(docs), groups, pooled).where("_kept").select(*docs.columns)
+    return judge(with_counts(docs), groups, pooled).where("_kept").select(*docs.columns).withColumnsRenamed(back)
 
 
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

@@ -166,3 +166,31 @@ class SemiCrf:
             out.append((i, j, int(scores[back[j]].argmax())))
             j = i
         return out[::-1]
+
+    def best_spans(self, text: str) -> list[tuple[int, int, int]]:
+        """``best`` as places in the text (start, end, kind), for texts of any
+        length: a candidate's features are dropped once it is scored."""
+        tokens = tokens_of(text)
+        value, back = [0.0], [None]
+        for j in range(1, len(tokens) + 1):
+            most, entity = value[-1], None
+            b = tokens[j - 1][1]
+            if text[b - 1].isalnum():
+                for i in range(max(0, j - LONGEST), j):
+                    a = tokens[i][0]
+                    if may_be_entity(text, a, b):
+                        scores = self.weights[:, span_features(text, a, b)].sum(axis=1)
+                        score = value[i] + float(scores.max())
+                        if score > most and math.isfinite(score):
+                            most, entity = score, (i, int(scores.argmax()))
+            value.append(most)
+            back.append(entity)
+        out, j = [], len(tokens)
+        while j:
+            if back[j] is None:
+                j -= 1
+                continue
+            i, kind = back[j]
+            out.append((tokens[i][0], tokens[j - 1][1], kind))
+            j = i
+        return out[::-1]

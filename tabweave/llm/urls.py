@@ -3,7 +3,8 @@
 Rules decide first, the longest that fits. For the other urls, the labels of a
 host are split into words by a unigram Viterbi, the path is cut at marks, and a
 multinomial naive Bayes over these tokens gives the verdict. It is fitted on the
-urls that a rule decides, and on hosts with one of a few seed words.
+urls that a rule decides, without the host and path that the rule names (they
+would only repeat it), and on hosts with one of a few seed words.
 
 The lexicon holds the words with at least ``WORD_SHARE`` of all words in the
 pages' texts, so it has at most ``1 / WORD_SHARE`` words whatever the input.
@@ -92,8 +93,9 @@ class Segmenter:
             end = cut[end]
         if len(self.memory) > 100_000:
             self.memory.clear()
-        self.memory[name] = out[::-1]
-        return self.memory[name]
+        if len(name) <= 64:
+            self.memory[name] = out[::-1]
+        return out[::-1]
 
 
 def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
@@ -105,7 +107,7 @@ def tokens_of(host: str, path: str, segmenter: Segmenter) -> list[str]:
             if part[0].isdigit():
                 out.append(f"{side}:#")
             elif side == "h":
-                out += [f"h:{w}" for w in segmenter.split(part[:1000])]
+                out += [f"h:{w}" for w in segmenter.split(part)]
             else:
                 out.append(f"p:{part}")
     return out
@@ -127,12 +129,16 @@ def lexicon(pages: DataFrame, share: float = WORD_SHARE) -> Segmenter:
     return Segmenter({r["word"]: math.log(r["n"] / total) for r in rows}, max(total, 1))
 
 
-def labelled(host: str, path: str, tokens: list[str], seeds: tuple = SEEDS) -> int | None:
-    """Class of a training url: its rule's, else blocked if its host has a seed word."""
+def example(host: str, path: str, segmenter: Segmenter, seeds: tuple = SEEDS) -> tuple[int | None, list[str]]:
+    """Class and tokens of a training url. The class is its rule's, else blocked
+    if its host has a seed word; else it is no example. What the rule names of
+    host and path is left out of the tokens."""
     rule = rule_of(host, path)
-    if rule:
-        return CLASSES.index(rule[0])
-    return 1 if any(t[2:] in seeds for t in tokens if t[0] == "h") or any(s in host for s in seeds) else None
+    if rule is None:
+        return (1 if any(s in host for s in seeds) else None), tokens_of(host, path, segmenter)
+    named, _, begin = rule[1].partition("/")
+    # tokens_of drops the last label, here of the host that the rule names
+    return CLASSES.index(rule[0]), tokens_of(host[:len(host) - len(named)] + "rule", path[len(begin) + 1:], segmenter)
 
 
 @dataclass
@@ -155,8 +161,7 @@ def fit(pages: DataFrame, segmenter) -> Bayes:
         for batch in batches:
             for url in batch.column("url").to_pylist():
                 host, path = split_url(url)
-                tokens = tokens_of(host, path, segmenter.value)
-                kind = labelled(host, path, tokens)
+                kind, tokens = example(host, path, segmenter.value)
                 if kind is not None:
                     counts[kind, BUCKETS] += 1
                     for t in tokens:

@@ -245,6 +245,21 @@ def test_mixing_hard(spark):
     assert sum(r._mix_copies * r._mix_size for r in made) <= 2 * sum(r._mix_size for r in made)
     assert mixing.mixed_documents(small(spark, HARD)).columns == small(spark, HARD).columns
     assert mixing.mix(small(spark, HARD).limit(0)).count() == 0
+    nameless = spark.createDataFrame([(None, f"word {k}", "t") for k in range(300)] + [(1, "a b " * 600, "s")], "doc_id long, text string, source string")
+    copies = [r._mix_copies for r in mixing.mix(nameless).where("doc_id is null").collect()]
+    assert abs(sum(copies) / 300 - 1.125) < 0.08 and set(copies) == {1, 2}  # rows without doc_id are not decided as one
+
+
+def test_clashing_columns(spark, folder):
+    """Columns with names that the stages add come back as they were."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in (("_QUALITY", quality.good_documents), ("_kept", quality.good_documents), ("_mix_size", mixing.mixed_documents),
+                        ("_leak_found", lambda d: contamination.decontaminate(d, bench))):
+        plain, made = stage(docs), stage(docs.withColumn(name, docs["doc_id"] + 1))
+        assert made.columns == [*docs.columns, name] and made.where(f"{name} <> doc_id + 1").count() == 0
+        assert made.count() == plain.count()
+    assert "_mix_size" in mixing.mix(docs.withColumn("_mix_size", docs["text"]).withColumn("_mix_source", docs["text"])).columns
 
 
 def test_urls(spark, folder):
@@ -259,6 +274,35 @@ def test_urls(spark, folder):
     assert urls.rule_of("xexample.com", "/en/1") == ("allow", "com/") and urls.rule_of("a.net", "/es") is None
 
 
+def test_url_verdicts(spark, folder):
+    """Verdicts without a rule are those of a naive Bayes counted by hand."""
+    import math
+    from collections import Counter
+
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html")
+    extra = [(-1, "http://x.org/en/a", None), (-2, "http://cheapcasino.org/play", ""), (-3, None, None), (-4, "http://" + "ab" * 3000 + ".org/", None)]
+    pages = pages.unionByName(spark.createDataFrame(extra, pages.schema))
+    segmenter = urls.lexicon(pages)
+    held = [urls.example(*urls.split_url(r.url), segmenter) for r in pages.select("url").collect()]
+    counts = [Counter(t for kind, tokens in held if kind == k for t in tokens) for k in (0, 1)]
+    prior = [(sum(kind == k for kind, _ in held) + 1) / (sum(kind is not None for kind, _ in held) + 2) for k in (0, 1)]
+    seen = len(set(counts[0]) | set(counts[1]))
+    for r in urls.judge_urls(pages).collect():
+        if r.rule is None:
+            tokens = urls.tokens_of(r.host, r.path, segmenter)
+            score = [math.log(prior[k]) + sum(math.log((counts[k][t] + 1) / (counts[k].total() + seen)) for t in tokens) for k in (0, 1)]
+            assert r.verdict == urls.CLASSES[int(score[1] > score[0])] or abs(score[0] - score[1]) < 1e-9
+
+
+def test_url_examples():
+    """What a rule names of host and path is no token of its examples."""
+    segmenter = urls.Segmenter({"shop": -1.0, "example": -1.0}, 1000.0)
+    assert urls.example("shop.example.com", "/en/buy/1", segmenter) == (1, ["h:shop", "p:buy", "p:#"])
+    assert urls.example("example.com", "/en/", segmenter) == (1, [])
+    assert urls.example("example.com", "/fr/x", segmenter) == (0, ["h:example", "p:fr", "p:x"])
+    assert urls.example("xporn.org", "/", segmenter)[0] == 1 and urls.example("a.org", "/en/", segmenter)[0] is None
+
+
 def test_segmenter():
     import math
 
@@ -313,6 +357,34 @@ def test_personal_hard():
     assert personal.base_spans("a" * 200_000 + "1" * 200_000) == []
 
 
+def test_stretches():
+    """Stretches hold every mark, begin and end at white space and do not meet."""
+    pick = random.Random(7)
+    parts = ["1234", "@", "(at)", " ", "\n", "word", "x" * 60, " a b c d e f g h i j k l m n o p q r s t u v w x y z ", "é", "+"]
+    for _ in range(500):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 60)))
+        found, last = personal.stretches(text), 0
+        for a, b in found:
+            assert last <= a < b and (a == 0 or text[a - 1].isspace() or a == last) and (b == len(text) or text[b].isspace())
+            last = b
+        for m in personal.MARK.finditer(text):
+            assert any(a <= m.start() and m.end() <= b for a, b in found)
+
+
+def test_personal_added(spark):
+    """Entities that no pattern finds: in texts without a digit, and late in a long run of numbers."""
+    make = lambda k: f"then ask {'abcdefgh'[k % 8]}{k}@mail{k % 7}.example.com or +1 ({k % 900 + 100}) 555-{k % 9000 + 1000} now"
+    learnt = [(k, make(k * 37 % 9999)) for k in range(60)]
+    runs = " ".join(str(k) for k in range(100, 400))
+    asked = [(100, "write to jane(at)mail.example.org today"), (101, f"{runs} or write to jane(at)mail.example.org today"),
+             (102, "no data in this one, only words (at) all times"), (103, None), (104, "1234 " * 2_000)]
+    got = {r.doc_id: r.spans for r in personal.find_personal(small(spark, learnt + asked)).collect()}
+    assert got[100] == "email:9:33"
+    at = len(runs) + len(" or write to ")
+    assert f"email:{at}:{at + 24}" in got[101].split(",") and got[103] == ""
+    assert "email" not in got[102]
+
+
 def test_random_field():
     """The partition sum over segments is that of all segmentations; held-out spans are found."""
     stretch = semicrf.stretch_of("a 1234 56@b")
@@ -325,6 +397,10 @@ def test_random_field():
         return sums(at + 1) + sum(np.exp(scores[k]).sum() * sums(j) for k, (i, j, _) in enumerate(stretch.spans) if i == at)
 
     assert abs(-crf.gradient(stretch, set())[0] - np.log(sums(0))) < 1e-9
+    for text in ("a 1234 56@b", "call +1 (555) 555-1234 or a(at)b.c, 1.2.3.4444 é", ""):
+        part = semicrf.stretch_of(text)
+        want = [(part.starts[i], part.ends[j - 1], kind) for i, j, kind in crf.best(part)]
+        assert crf.best_spans(text) == want
     pick = random.Random(1)
     make = lambda k: f"then ask {'abcdefgh'[k % 8]}{k}@mail{k % 7}.example.com or +1 ({k % 900 + 100}) 555-{k % 9000 + 1000} now"
     trained = semicrf.SemiCrf().train([e for k in range(40) for e in personal.examples(make(pick.randrange(9999)))])
