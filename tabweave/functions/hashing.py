@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,3 +38,16 @@ def normal_pair(hashed: Column, pair: int = 0) -> tuple[Column, Column]:
     radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(hashed, 2 * pair)))
     angle = F.lit(2.0 * math.pi) * uniform(hashed, 2 * pair + 1)
     return radius * F.cos(angle), radius * F.sin(angle)
+
+
+def uniform_array(hashes: pa.Array) -> np.ndarray:
+    """The four uniforms of each hash of a batch, 16 bytes each: a row per word."""
+    fixed = hashes.cast(pa.binary(16))
+    words = np.frombuffer(fixed.buffers()[1], ">u4", 4 * len(fixed), 16 * fixed.offset)
+    return words.reshape(-1, 4).T / 4294967296.0
+
+
+def normal_array(uniforms: np.ndarray) -> np.ndarray:
+    """Four standard normals of each hash, as ``normal_pair`` makes them."""
+    radius, angle = np.sqrt(-2.0 * np.log(1.0 - uniforms[::2])), 2.0 * math.pi * uniforms[1::2]
+    return np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=1).reshape(4, -1)

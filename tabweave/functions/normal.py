@@ -1,9 +1,10 @@
-"""Normal and Student distributions as column expressions (no Python per row)."""
+"""Normal and Student distributions as column expressions, and the normal one on arrays (no Python per row)."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,6 +67,33 @@ def normal_ppf(p: Column, scale: Column | None = None) -> Column:
     )
 
 
+def _horner_array(x: np.ndarray, coefficients: tuple[float, ...]) -> np.ndarray:
+    total = np.full_like(x, coefficients[0])
+    for c in coefficients[1:]:
+        total = total * x + c
+    return total
+
+
+def normal_cdf_array(z: np.ndarray) -> np.ndarray:
+    """``normal_cdf`` of an array."""
+    a = np.abs(z)
+    t = 1.0 / (1.0 + _CDF_P * a)
+    tail = np.exp(-a * a / 2.0) / math.sqrt(2.0 * math.pi) * t * _horner_array(t, tuple(reversed(_CDF_B)))
+    return np.where(z >= 0, 1.0 - tail, tail)
+
+
+def normal_ppf_array(p: np.ndarray) -> np.ndarray:
+    """``normal_ppf`` of an array."""
+    q = p - 0.5
+    r = q * q
+    out = _horner_array(r, _PPF_A) * q / (_horner_array(r, _PPF_B) * r + 1.0)
+    far = (p < _PPF_LOW) | (p > 1 - _PPF_LOW)
+    s = np.sqrt(-2.0 * np.log(np.minimum(p[far], 1.0 - p[far])))
+    tail = _horner_array(s, _PPF_C) / (_horner_array(s, _PPF_D) * s + 1.0)
+    out[far] = np.where(p[far] < 0.5, tail, -tail)
+    return out
+
+
 _STEPS = 1500  # of Simpson's rule, times two
 _REACH = 11.0  # beyond this, exp(-w * w / 2) is below 1e-26 of its start
 _SHIFT = 64

@@ -2,31 +2,37 @@
 
 Fitting narrows down the quantile grids by counts, and takes one aggregate for the
 category shares and one for the correlation of normal scores; only the grids
-and the d x d matrix reach the driver. Drawing is a range of row numbers and
-column expressions: every row depends on its number and the seed alone, so
-any task can be rerun and any number of rows drawn in parallel.
+and the d x d matrix reach the driver. Drawing is a range of row numbers, their
+hashes, and arithmetic on batches of them: every row depends on its number and the seed
+alone, so any task can be rerun and any number of rows drawn in parallel.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 import numpy as np
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabweave.functions.hashing import normal_pair, row_hash, uniform
-from tabweave.functions.normal import normal_cdf, normal_ppf, tail_scale
+from tabweave.functions.hashing import normal_array, row_hash, uniform_array
+from tabweave.functions.normal import normal_cdf_array, normal_ppf_array
 from tabweave.functions.ordered import exact_quantiles, running
 from tabweave.session import freeze, small_side
 
 RIDGE = 1e-6
 # Normal scores are summed as whole numbers of this grain: exact in any order.
 GRAIN = 1_000_000
+# Places stay so far from 0 and 1.
+EDGE = 1e-6
+# The column that numbers the models of a family.
+MEMBER = "_member"
 
 
 @dataclass(frozen=True)
@@ -68,59 +74,72 @@ def _grid_knots(grid: list[float]) -> tuple[list[float], list[float]]:
     return knots.tolist(), [float(levels[at == i].mean()) for i in range(len(knots))]
 
 
-def _grid_place(df: DataFrame, column: str, grid: list[float], into: str) -> DataFrame:
-    """Add the empirical CDF of a column, linear between the knots of its grid.
+# Rows whose products of scores are summed in 64 bits: a score is below 5 * GRAIN.
+SUM_ROWS = 100_000
+PAIR_SUMS = ("n", "x", "y", "xy", "xx", "yy")
 
-    The knots are binary-searched in the JVM; slope and intercept come from
-    two short arrays.
-    """
+
+def _places(values: np.ndarray, grid: list[float]) -> np.ndarray:
+    """The empirical CDF, linear between the knots of a grid."""
     knots, mid = _grid_knots(grid)
     if len(knots) == 1:
-        return df.withColumn(into, F.lit(0.5))
-    slope = [0.0, *[(mid[i + 1] - mid[i]) / (knots[i + 1] - knots[i]) for i in range(len(knots) - 1)], 0.0]
-    start = [mid[0], *mid]
-    left = [knots[0], *knots]
-    search = Bucketizer(splits=[float("-inf"), *knots, float("inf")], inputCol=column, outputCol="_slot")
-    at = F.col("_slot").cast("int")
-    place = F.get(F.lit(start), at) + (F.col(column) - F.get(F.lit(left), at)) * F.get(F.lit(slope), at)
-    return search.transform(df).withColumn(into, place).drop("_slot")
-
-
-def correlate(z: DataFrame, by: str = "_g") -> dict[int, np.ndarray]:
-    """Correlation matrix of all columns but ``by`` for each of its values.
-
-    One aggregate of whole-number sums, so the result does not depend on the
-    order of the rows; a pair counts the rows where both are present. A matrix
-    of such pairs need not be one of a distribution: negative eigenvalues are
-    raised to nothing.
+        return np.full(len(values), 0.5)
+    slope = np.concatenate(([0.0], np.diff(mid) / np.diff(knots), [0.0]))
+    at = np.searchsorted(knots, values, "right")
+    return np.array([mid[0], *mid])[at] + (values - np.array([knots[0], *knots])[at]) * slope[at]
+
+
+def correlate(rows: DataFrame, grids: dict[int, dict[int, list[float]]]) -> dict[int, np.ndarray]:
+    """Correlation matrix of the normal scores of all columns but the first, the
+    class, for each class.
+
+    A column with a grid holds values, one without places in (0, 1). Every task
+    sums whole numbers and passes on a row per pair and class, so the result
+    does not depend on the order of the rows; a pair counts the rows where
+    both are present. A matrix of such pairs need not be one of a distribution:
+    negative eigenvalues are raised to nothing.
     """
-    names = [c for c in z.columns if c != by]
-    whole = z.select(by, *[F.round(F.col(c) * GRAIN).cast("long").alias(c) for c in names])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    sums = []
-    for i, j in pairs:
-        x, y = F.col(names[i]), F.col(names[j])
-        both = x.isNotNull() & y.isNotNull()
-        product = lambda a, b: F.sum(F.when(both, a * b).cast("decimal(19,0)"))
-        sums.append(F.struct(F.sum(both.cast("long")).alias("n"), F.sum(F.when(both, x)).alias("x"), F.sum(F.when(both, y)).alias("y"),
-                             product(x, y).alias("xy"), product(x, x).alias("xx"), product(y, y).alias("yy")))
-    out = {}
-    for row in whole.groupBy(by).agg(*[s.alias(f"_p{k}") for k, s in enumerate(sums)]).collect():
-        matrix = np.eye(len(names))
-        for k, (i, j) in enumerate(pairs):
-            p = row[k + 1]
-            if i != j and p["n"]:
-                n, x, y, xy, xx, yy = (int(v) for v in p)
-                # a constant column is correlated with nothing
-                spread = (n * xx - x * x) * (n * yy - y * y)
-                matrix[i, j] = matrix[j, i] = (n * xy - x * y) / math.sqrt(spread) if spread > 0 else 0.0
+    size = len(rows.columns) - 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in (b.slice(i, SUM_ROWS) for b in batches for i in range(0, b.num_rows, SUM_ROWS)):
+            group = batch.column(0).to_numpy(zero_copy_only=False)
+            whole = [pc.cast(batch.column(j + 1), pa.float64()).to_numpy(zero_copy_only=False) for j in range(size)]
+            for g in np.unique(group).tolist():
+                own = group == g
+                u = np.column_stack([_places(c[own], grids[g][j]) if j in grids.get(g, ()) else c[own] for j, c in enumerate(whole)])
+                there = ~np.isnan(u)
+                z = normal_ppf_array(np.where(there, np.clip(u, EDGE, 1 - EDGE), 0.5)) * GRAIN
+                z = np.where(there, np.sign(z) * np.floor(np.abs(z) + 0.5), 0.0).astype(np.int64)
+                m = there.astype(np.int64)
+                x, xx = z.T @ m, (z * z).T @ m
+                parts = [p.astype(object) for p in (m.T @ m, x, x.T, z.T @ z, xx, xx.T)]
+                sums[g] = [a + b for a, b in zip(sums[g], parts)] if g in sums else parts
+        i, j = np.tril_indices(size, -1)
+        for g, parts in sums.items():
+            listed = [pa.array([Decimal(v) for v in p[i, j]], pa.decimal128(38, 0)) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(i), pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), *listed],
+                                             names=["g", "i", "j", *PAIR_SUMS])
+
+    shape = "g int, i int, j int, " + ", ".join(f"{s} decimal(38,0)" for s in PAIR_SUMS)
+    pairs = rows.mapInArrow(work, shape).groupBy("g", "i", "j").agg(*[F.sum(s).alias(s) for s in PAIR_SUMS])
+    out: dict[int, np.ndarray] = {}
+    for row in pairs.collect():  # a row per pair of columns and class
+        matrix = out.setdefault(row["g"], np.eye(size))
+        n, x, y, xy, xx, yy = (int(row[s]) for s in PAIR_SUMS)
+        # a constant column is correlated with nothing
+        spread = (n * xx - x * x) * (n * yy - y * y)
+        if n:
+            matrix[row["i"], row["j"]] = matrix[row["j"], row["i"]] = (n * xy - x * y) / math.sqrt(spread) if spread > 0 else 0.0
+    for g, matrix in out.items():
         values, vectors = np.linalg.eigh(matrix)
         if values.min() < 0:
             matrix = (vectors * np.clip(values, 0.0, None)) @ vectors.T
             scale = np.sqrt(np.diag(matrix))
             matrix = matrix / scale[:, None] / scale[None, :]
             np.fill_diagonal(matrix, 1.0)
-        out[row[by]] = matrix
+            out[g] = matrix
     return out
 
 
@@ -158,24 +177,9 @@ def fit_classes(df: DataFrame, label: Column, values: Sequence[object], numeric:
         side = small_side(shares.where(F.col("column") == c).select(
             F.col("_g").alias("_h"), F.col("value").alias("_v"), ((F.col("low") + F.col("high")) / 2).alias(f"_u_{c}")))
         scored = scored.join(side, (scored[c].cast("string") == side["_v"]) & (scored["_g"] == side["_h"]), "left").drop("_v", "_h")
-    for c in numeric:
-        parts = []
-        for g in classes:
-            if c in grids[g]:
-                scored = _grid_place(scored, c, grids[g][c], f"_u{g}_{c}")
-                parts.append(F.when(F.col("_g") == g, F.col(f"_u{g}_{c}")))
-        place = F.coalesce(*parts) if parts else F.lit(None).cast("double")
-        scored = scored.withColumn(f"_u_{c}", F.when(F.col(c).isNotNull(), place))
-        scored = scored.drop(*[f"_u{g}_{c}" for g in classes])
-    edge = 1e-6
-    inside = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(edge), F.least(F.lit(1 - edge), c)))
-    # the places are columns of their own before the quantile formula refers
-    # to them again and again
-    inner = scored.select("_g", *[inside(f"_u_{c}").alias(f"_u_{c}") for c in names])
-    inner = inner.select("*", *[tail_scale(F.col(f"_u_{c}")).alias(f"_s_{c}") for c in names])
-    z = inner.select("_g", *[F.when(F.col(f"_u_{c}").isNotNull(), normal_ppf(F.col(f"_u_{c}"), F.col(f"_s_{c}"))).alias(f"_z{i}")
-                             for i, c in enumerate(names)])
-    correlations = correlate(z)
+    column = {c: c if c in numeric else f"_u_{c}" for c in names}
+    correlations = correlate(scored.select("_g", *[F.col(column[c]).alias(f"_z{i}") for i, c in enumerate(names)]),
+                             {g: {names.index(c): grid for c, grid in grids[g].items()} for g in classes})
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name in names}
     size, out = len(names), {}
     for g, v in enumerate(values):
@@ -216,54 +220,69 @@ def _drawn_category(drawn: DataFrame, u: str, shares: DataFrame, column: str, ki
     return found.withColumn(column, F.col("_value").cast(kind)).drop("_at", "_bucket", "_value", "_low", "_high")
 
 
-def _grid_value(u: Column, grid: list[float]) -> Column:
+def _grid_values(u: np.ndarray, grid: list[float]) -> np.ndarray:
     """Inverse of the empirical CDF."""
-    last = len(grid) - 1
-    place = u * F.lit(float(last))
-    at = F.least(F.floor(place), F.lit(last - 1)).cast("int")
-    listed = F.lit([float(g) for g in grid])
-    low, high = F.get(listed, at), F.get(listed, at + 1)
-    return low + (place - at) * (high - low)
+    last, listed = len(grid) - 1, np.array(grid)
+    place = u * last
+    at = np.minimum(np.floor(place), last - 1).astype(np.int64)
+    return listed[at] + (place - at) * (listed[at + 1] - listed[at])
 
 
 def draw_copula(spark: SparkSession, model: CopulaModel, n: int, seed: object = 5, first_id: int = 0) -> DataFrame:
     """``n`` synthetic rows with a ``row_id``."""
-    d = len(model.columns)
+    return draw_family(spark, [model], n, seed, first_id).drop(MEMBER)
+
+
+def draw_family(spark: SparkSession, models: Sequence[CopulaModel], n: int, seed: object = 5, first_id: int = 0) -> DataFrame:
+    """The draw of each of some models that differ in their grids alone, under a
+    ``member`` number: hashes, normals and categories follow from the row and
+    the common part of the models, so they are made once for all.
+
+    Spark hashes the row numbers; the arithmetic from hash to value is done on
+    batches of rows.
+    """
+    model, members = models[0], len(models)
+    d, names = len(model.columns), model.columns
+    blocks = (d + 3) // 4
+    holes = [j for j, c in enumerate(names) if model.missing[c] > 0]
+    hashes = [F.unhex(row_hash(["row_id"], f"{seed}-{block}")) for block in range(blocks)]
+    hashes += [F.unhex(row_hash(["row_id"], f"{seed}-null-{j}")) for j in holes]
     ids = spark.range(first_id, first_id + n).withColumnRenamed("id", "row_id")
-    for block in range((d + 3) // 4):
-        ids = ids.withColumn(f"_h{block}", row_hash(["row_id"], f"{seed}-{block}"))
-    raw = []
-    for j in range(d):
-        pair = normal_pair(F.col(f"_h{j // 4}"), (j % 4) // 2)
-        raw.append(pair[j % 2].alias(f"_n{j}"))
-    normals = ids.select("row_id", *raw)
-    zs = []
-    for i, c in enumerate(model.columns):
-        z = F.lit(0.0)
-        for j in range(i + 1):
-            if abs(model.factor[i, j]) > 0.0:
-                z = z + F.lit(float(model.factor[i, j])) * F.col(f"_n{j}")
-        zs.append(z.alias(f"_z_{c}"))
-    drawn = normals.select("row_id", *zs).select(
-        "row_id", *[normal_cdf(F.col(f"_z_{c}")).alias(f"_u_{c}") for c in model.columns])
-    for c in model.categorical:
-        drawn = _drawn_category(drawn, f"_u_{c}", model.shares.where(F.col("column") == c), c, model.types[c])
+    grids = [[m.grids.get(c) for c in names] for m in models]
+    missing, factor, texts = [model.missing[c] for c in names], model.factor, [c in model.categorical for c in names]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uniforms = [uniform_array(batch.column(1 + k)) for k in range(blocks + len(holes))]
+            normals = np.concatenate([normal_array(u) for u in uniforms[:blocks]])
+            there = {j: uniforms[blocks + k][0] >= missing[j] for k, j in enumerate(holes)}
+            u = []
+            for i in range(d):
+                z = np.zeros(batch.num_rows)
+                for j in range(i + 1):
+                    if abs(factor[i, j]) > 0.0:
+                        z = z + factor[i, j] * normals[j]
+                u.append(normal_cdf_array(z))
+            for k in range(members):
+                values = [u[j] if texts[j] else None if grids[k][j] is None else _grid_values(u[j], grids[k][j]) for j in range(d)]
+                listed = [pa.nulls(batch.num_rows, pa.float64()) if v is None else
+                          pa.array(v, pa.float64(), mask=~there[j] if j in there else None) for j, v in enumerate(values)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, k, np.int32)), *listed],
+                                                 names=["row_id", MEMBER, *[f"_c{j}" for j in range(d)]])
+
+    drawn = ids.select("row_id", *[h.alias(f"_h{k}") for k, h in enumerate(hashes)]).mapInArrow(
+        work, f"row_id long, {MEMBER} int, " + ", ".join(f"_c{j} double" for j in range(d)))
     whole = {t.simpleString() for t in (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())}
     out = []
-    for j, c in enumerate(model.columns):
-        kind = model.types[c]
-        if c in model.categorical:
-            value = F.col(c)
-        elif c not in model.grids:
-            value = F.lit(None)
-        else:
-            value = _grid_value(F.col(f"_u_{c}"), model.grids[c])
-            value = F.round(value) if kind in whole else value
-        if model.missing[c] > 0:
-            there = uniform(row_hash(["row_id"], f"{seed}-null-{j}")) >= F.lit(model.missing[c])
-            value = F.when(there, value)
+    for j, c in enumerate(names):
+        kind, value = model.types[c], F.col(f"_c{j}")
+        if texts[j]:
+            drawn = _drawn_category(drawn, f"_c{j}", model.shares.where(F.col("column") == c), f"_d{j}", kind)
+            value = F.col(f"_d{j}")
+        elif kind in whole:
+            value = F.round(value)
         out.append(value.cast(kind).alias(c))
-    return drawn.select("row_id", *out)
+    return drawn.select("row_id", MEMBER, *out)
 
 
 def gen_copula(df: DataFrame, n: int, numeric: Sequence[str], categorical: Sequence[str], grid: int = 101,
@@ -283,9 +302,14 @@ def gen_conditional(df: DataFrame, label: str, sizes: dict[int, int], numeric: S
 
 def draw_classes(spark: SparkSession, models: dict, sizes: dict, label: str, kind: T.DataType, seed: object = 5) -> DataFrame:
     """``sizes[v]`` rows of each class ``v``, numbered through."""
+    return draw_class_families(spark, {v: [m] for v, m in models.items()}, sizes, label, kind, seed).drop(MEMBER)
+
+
+def draw_class_families(spark: SparkSession, models: dict, sizes: dict, label: str, kind: T.DataType, seed: object = 5) -> DataFrame:
+    """The same for models of each class that differ in their grids alone, under a ``member`` number."""
     out, first = None, 0
     for value, n in sizes.items():
-        part = draw_copula(spark, models[value], n, f"{seed}-{value}", first).withColumn(label, F.lit(value).cast(kind))
+        part = draw_family(spark, models[value], n, f"{seed}-{value}", first).withColumn(label, F.lit(value).cast(kind))
         out = part if out is None else out.unionByName(part)
         first += n
     return out

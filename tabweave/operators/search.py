@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabweave.functions.hashing import row_hash, uniform
 from tabweave.functions.ordered import ONE_TASK_ROWS, carry, layout, running
-from tabweave.operators.generate import draw_classes, draw_copula, fit_classes, fit_copula, thinned
+from tabweave.operators.generate import MEMBER, draw_class_families, draw_family, fit_classes, fit_copula, thinned
 from tabweave.operators.mixture import (
     REAL, candidate_cuts, mix_augment, mix_draw, mix_normalise, mix_size, mix_warmstart, source_counts)
 from tabweave.operators.sample import HASH, step, with_hash
@@ -316,13 +316,19 @@ def copula_search(
     # class counts add up to n: whole parts, the rest to the last class
     sizes = {v: count * n // total for v, count in classes.items()}
     sizes[list(classes)[-1]] += n - sum(sizes.values())
+    # settings of one fit differ in their grids alone: one draw for all of them
     draws = None
-    for i, s in enumerate(settings):
-        if s["by_class"]:
-            made = draw_classes(spark, {v: thinned(m, s["grid"]) for v, m in apart.items()}, sizes, label, train.schema[label].dataType, seed)
+    for by_class in (False, True):
+        members = [i for i, s in enumerate(settings) if bool(s["by_class"]) == by_class]
+        if not members:
+            continue
+        family = lambda m: [thinned(m, settings[i]["grid"]) for i in members]  # noqa: B023, E731
+        if by_class:
+            made = draw_class_families(spark, {v: family(m) for v, m in apart.items()}, sizes, label, train.schema[label].dataType, seed)
         else:
-            made = draw_copula(spark, thinned(joint, s["grid"]), n, seed)
-        part = made.select(F.lit(i).alias("setting"), *numeric, *categorical, label)
+            made = draw_family(spark, family(joint), n, seed)
+        number = F.get(F.lit(members), F.col(MEMBER))
+        part = made.select(number.alias("setting"), *numeric, *categorical, label)
         draws = part if draws is None else draws.unionByName(part)
     judged = per_source_score(draws, real.where(F.col(split) == objective), label, bins, ["setting"], split)
     said = {r["setting"]: r["auc"] for r in judged.collect()}

@@ -92,3 +92,28 @@ def test_thinned_grid(spark, rows):
     assert np.allclose(generate.thinned(model, 11).grids["x"], generate.fit_copula(rows, ["x"], [], grid=11).grids["x"], rtol=1e-9)
     with pytest.raises(ValueError):
         generate.thinned(model, 8)
+
+
+def test_family_is_drawn_once(spark, rows):
+    """Models that differ in their grids alone: each as if drawn alone, from one range of hashed rows."""
+    model = generate.fit_copula(rows, ["x", "n"], ["kind"])
+    family = [model, generate.thinned(model, 11), generate.thinned(model, 3)]
+    made = generate.draw_family(spark, family, 500)
+    for i, m in enumerate(family):
+        alone = generate.draw_copula(spark, m, 500).orderBy("row_id").collect()
+        assert made.where(generate.MEMBER + f" = {i}").drop(generate.MEMBER).orderBy("row_id").collect() == alone
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("md5(") == 1
+
+
+def test_scores_are_summed_exactly(spark):
+    """Correlations of places given as they are, with holes, in any number of parts."""
+    rng = np.random.default_rng(3)
+    u = rng.random((3000, 3))
+    data = [(int(a > 0.5), float(a), None if c > 0.9 else float((a + b) / 2), float(c)) for a, b, c in u]
+    df = spark.createDataFrame(data, "_g int, a double, b double, c double")
+    one, many = generate.correlate(df.repartition(1), {}), generate.correlate(df.repartition(7), {})
+    assert set(one) == {0, 1} and all(np.array_equal(one[g], many[g]) for g in one)
+    ppf = lambda p: generate.normal_ppf_array(np.array(p))
+    both = [(a, b) for g, a, b, c in data if g and b is not None]
+    assert abs(one[1][0, 1] - np.corrcoef(ppf([a for a, _ in both]), ppf([b for _, b in both]))[0, 1]) < 1e-5
