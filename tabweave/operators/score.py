@@ -7,12 +7,12 @@ from functools import reduce
 from operator import and_
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabweave.functions.ordered import running
+from tabweave.functions.ordered import exact_quantiles, running
 from tabweave.operators.clean import numeric_columns, string_columns
 from tabweave.operators.encode import ENCODED, EncoderTable, te_fit
 from tabweave.session import freeze, sizes_by, small_side
@@ -126,6 +126,8 @@ def log_odds_auc(parts: DataFrame, label: str, bins: dict[str, Column], split: s
 
 # ---------------------------------------------------------------- tree models
 
+# Bins of a feature; a learner that looks at histograms sees no more of it.
+TREE_BINS = 64
 # Distinct training rows of one part of the training layout.
 PART_ROWS = 50_000
 # A category's code is drawn towards the mean of all rows as if it had so many more rows.
@@ -159,6 +161,7 @@ def _features(train: DataFrame, target: str, ignore: Sequence[str]):
         out = out.fillna(-1.0, [c + ENCODED for c in texts]) if texts else out
         return VectorAssembler(inputCols=[*[c + ENCODED for c in texts], *numbers], outputCol="_features", handleInvalid="keep").transform(out)
 
+    prepare.columns = [*[c + ENCODED for c in texts], *numbers]
     return prepare
 
 
@@ -168,35 +171,77 @@ def training_layout(prepared: DataFrame) -> DataFrame:
     once for all rounds. Neither the cores nor the layout of the input change
     what a learner sees, and copies that a third of all rows are make one row.
     """
-    columns = [c for c in prepared.columns if c != "_features"]
-    distinct = freeze(prepared.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.first("_features").alias("_features")))
+    columns = [c for c in prepared.columns if c not in ("_features", "_n")]
+    rows = F.sum("_n") if "_n" in prepared.columns else F.count(F.lit(1))
+    distinct = freeze(prepared.groupBy(*columns).agg(rows.cast("double").alias("_n"), F.first("_features").alias("_features")))
     parts = max(8, -(-distinct.count() // PART_ROWS))
     place = F.xxhash64(*columns)
     return freeze(distinct.repartition(parts, place).sortWithinPartitions(place, *columns).select("_label", "_features", "_n"))
 
 
+def tree_cuts(prepared: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Where the bins of a feature begin: at each of its values where it has few,
+    else at exact quantiles of all rows. At most ``TREE_BINS`` - 2 cuts."""
+    most = TREE_BINS - 2
+    about = prepared.agg(*[F.approx_count_distinct(c).alias(f"_a{i}") for i, c in enumerate(columns)]).first()
+    cuts: dict[str, list[float]] = {}
+    for i, c in enumerate(columns):
+        if about[i] <= 2 * TREE_BINS:  # so a row per value can be listed
+            values = sorted({r[0] + 0.0 for r in prepared.where(~F.isnan(c)).select(c).distinct().collect()})
+            if len(values) <= most + 1:
+                cuts[c] = values[1:]
+    many = [c for c in columns if c not in cuts]
+    if many:
+        for r in exact_quantiles(prepared.select(*many), many, [k / (most + 1) for k in range(1, most + 1)]).collect():
+            cuts[r["column"]] = sorted({q + 0.0 for q in r["q"]})
+    return {c: [x for x in cuts.get(c, []) if abs(x) < float("inf")] for c in columns}
+
+
+def tree_counts(prepared: DataFrame, cuts: dict[str, list[float]], extra: Sequence[str] = ()) -> DataFrame:
+    """Rows by ``extra``, label and bins, with their number ``_n`` and the vector of
+    bin numbers; missing values have the last bin. One map-side-combined aggregate."""
+    codes = {c: f"_b{i}" for i, c in enumerate(cuts)}
+    split = [c for c in cuts if cuts[c]]
+    if split:
+        prepared = Bucketizer(splitsArray=[[float("-inf"), *cuts[c], float("inf")] for c in split], inputCols=split,
+                              outputCols=[codes[c] for c in split], handleInvalid="keep").transform(prepared)
+    for c in cuts:
+        if not cuts[c]:
+            prepared = prepared.withColumn(codes[c], F.isnan(c).cast("double"))
+    counted = prepared.groupBy(*extra, "_label", *codes.values()).agg(F.count(F.lit(1)).alias("_n"))
+    return VectorAssembler(inputCols=list(codes.values()), outputCol="_features").transform(counted)
+
+
 def _one_class(train: DataFrame, target: str) -> bool:
     return train.select(F.col(target).cast("double")).distinct().limit(2).count() < 2
 
 
 def fit_predict(train: DataFrame, target: str, model: str = "boosted", rounds: int = 20, depth: int = 6,
                 ignore: Sequence[str] = ()):
-    """Train on ``train``; returns ``score(df, extra) -> df`` with ``_p``."""
+    """Train on ``train``; returns ``score(df, extra) -> df`` with ``extra``, ``_label``,
+    ``_p``, and ``_n``, the number of rows that a row stands for.
+
+    The learners see a feature by its bins alone, so rows are counted by their
+    combination of bins first; what is repeated for every round and level, and
+    the scoring, works on those counts. All rows take part in cuts and counts.
+    """
     prepare = _features(train, target, ignore)
     if _one_class(train, target):
         # nothing to learn: every row gets the same score
-        return lambda df, extra=(): prepare(df, extra).withColumn("_p", F.lit(0.5))
-    shared = {"labelCol": "_label", "featuresCol": "_features", "weightCol": "_n", "maxBins": 64, "seed": 5}
+        return lambda df, extra=(): prepare(df, extra).withColumn("_p", F.lit(0.5)).withColumn("_n", F.lit(1).cast("long"))
+    shared = {"labelCol": "_label", "featuresCol": "_features", "weightCol": "_n", "maxBins": TREE_BINS, "seed": 5}
     if model == "boosted":
         learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, checkpointInterval=10, **shared)
     elif model == "tree":
         learner = DecisionTreeClassifier(maxDepth=depth, **shared)
     else:
         raise ValueError(f"unknown classifier: {model}")
-    fitted = learner.fit(training_layout(prepare(train.where(F.col(target).isNotNull()))))
+    rows = prepare(train.where(F.col(target).isNotNull()))
+    cuts = tree_cuts(rows, prepare.columns)
+    fitted = learner.fit(training_layout(tree_counts(rows, cuts)))
 
     def score(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        scored = fitted.transform(prepare(df, extra))
+        scored = fitted.transform(tree_counts(prepare(df, extra), cuts, extra))
         return scored.withColumn("_p", vector_to_array("probability")[1])
 
     return score
@@ -206,7 +251,7 @@ def tstr_score(synthetic: DataFrame, real: DataFrame, target: str, *, by: Sequen
                rounds: int = 20, depth: int = 6, ignore: Sequence[str] = ()) -> DataFrame:
     """Train on synthetic rows, AUC on real rows (per ``by`` group)."""
     score = fit_predict(synthetic, target, model, rounds, depth, [*ignore, *by])
-    return auc(score(real, by), "_p", "_label", by)
+    return auc(score(real, by), "_p", "_label", by, weight="_n")
 
 
 def score_trainval(parts: DataFrame, target: str, *, split: str = "split", train: str = "train",
@@ -214,7 +259,7 @@ def score_trainval(parts: DataFrame, target: str, *, split: str = "split", train
     """AUC and row count of every split of one frame, trained on its train part."""
     fit_rows = parts.where(F.col(split) == train)
     score = fit_predict(fit_rows, target, model, rounds, depth, [*ignore, split])
-    out = auc(score(parts, [split]), "_p", "_label", [split])
+    out = auc(score(parts, [split]), "_p", "_label", [split], weight="_n")
     guarded = F.when((F.col(split) == train) & F.col("auc").isNull(), F.lit(0.5)).otherwise(F.col("auc"))
     return out.select(split, (F.col("positives") + F.col("negatives")).alias("rows"), guarded.alias("auc"))
 
