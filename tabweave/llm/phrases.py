@@ -53,7 +53,7 @@ FIRST = 2000  # phrases reported for a language
 SAMPLE = 0.2  # of the documents, by a hash of id and text
 LOWERED = 0.75  # of the occurrences expected in the sample, rounded up
 BITS = 1 << 24  # of a bitmap of proposals
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20  # a task holds some hundred bytes for each
 BATCH_ROWS = 1 << 16
 NO_LANG = "und"
 SALTS = 16
@@ -182,6 +182,7 @@ def counted(docs: DataFrame, longest: int, now: Proposals | None = None, old: Pr
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in W.text_parts(batch, limit=BATCH_BYTES):
             yield from count_batch(part.column("lang"), part.column("text"), longest, *shared.value)
+            pa.default_memory_pool().release_unused()  # or freed batches stay with the worker
 
     rows = map_arrow(docs.select("lang", "text"), work, COUNTS)
     phrase = F.substring_index("key", "\t", -1)  # words hold no tab and no blank
