@@ -14,8 +14,12 @@ passes on only what lies within the reach. Equal vectors are compared once and
 expanded afterwards.
 
 In many dimensions the bounds rule out little, and exact search approaches all
-pairs of blocks. ``probes`` then sends a row to that many of the nearest cells
-at most; ``recall`` measures what this finds against brute force.
+pairs of blocks. Where some rows show that each would be sent to more than
+``DENSE`` of all, large blocks are compared instead, every pair of blocks once
+for both sides: a matrix product in single precision, with a bound on its
+error, tells which pairs may be near enough, and only their distances are
+computed. ``probes`` sends a row to that many of the nearest cells at most;
+``recall`` measures what this finds against brute force.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,14 @@ BLOCK_ROWS = 2048
 PIVOT_BYTES = 16 << 20
 # entries of a distance matrix that a task holds at a time
 MATRIX = 1 << 20
+# share of all rows, in blocks, from which comparing everything in large blocks costs less than sending rows to cells
+DENSE = 0.03
+# rows that tell this share
+PLAN_ROWS = 1000
+# vectors of a large block
+GRID_BYTES = 16 << 20
+# rows and columns of a matrix product
+TILE = (128, 2048)
 # slack for rounding in the pruning bounds (never in the distances themselves)
 _SLACK = 1e-9
 
@@ -105,6 +118,7 @@ def knn(
     block_rows: int = BLOCK_ROWS,
     max_pivots: int | None = None,
     probes: int | None = None,
+    dense: float = DENSE,
     seed: object = 5,
 ) -> DataFrame:
     """``(key, neighbours)``: the k nearest other rows as an array of
@@ -113,7 +127,8 @@ def knn(
     ``features`` is a list of numeric columns or one array column; ``key`` is
     a unique integer column. A row with a null, NaN or infinite coordinate is
     nobody's neighbour and has none. ``probes`` bounds the cells that a row is
-    sent to beyond its own block; without it the result is exact.
+    sent to beyond its own block; without it the result is exact. ``dense`` is
+    the share of all rows from which large blocks are compared.
     """
     every = freeze(df.select(F.col(key).cast("long").alias("_key"), _vector(features).alias("_v")))
     points = every.where(F.forall("_v", lambda x: F.abs(x) < F.lit(math.inf)))
@@ -125,7 +140,7 @@ def knn(
     members = points.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= want).groupBy("_v").agg(
         F.array_sort(F.collect_list("_key")).alias("_keys"))
     distinct = freeze(members.withColumn("_id", F.element_at("_keys", 1)))
-    near = _knn_distinct(distinct.select("_id", "_v"), want, block_rows, max_pivots, probes, seed)
+    near = _knn_distinct(distinct.select("_id", "_v"), want, block_rows, max_pivots, probes, dense, seed)
 
     # Per distinct vector: its k+1 best concrete neighbours. A vector has at
     # most k+1 near vectors with k+1 keys each, so the arrays stay bounded.
@@ -142,7 +157,7 @@ def knn(
 
 
 def _knn_distinct(rows: DataFrame, want: int, block_rows: int, max_pivots: int | None, probes: int | None,
-                  seed: object) -> DataFrame:
+                  dense: float, seed: object) -> DataFrame:
     """``(_id, _near, _d)``: the ``want`` nearest rows, itself included."""
     u = uniform(row_hash(["_id"], seed))
     total, lowest, width = rows.agg(F.count(F.lit(1)), F.min(u), F.max(F.size("_v"))).first()
@@ -156,13 +171,19 @@ def _knn_distinct(rows: DataFrame, want: int, block_rows: int, max_pivots: int |
     pivots = Pivots.of(picked.reshape(len(picked), -1))
 
     settled, cells = _own_blocks(rows, pivots, want, block_rows)
-    own = settled.select("_id", F.explode(F.arrays_zip("_near", "_d")).alias("n")).select("_id", "n.*")
+    own = _spelled(settled)
     if total <= block_rows and len(pivots.points) == 1:
         return own
-    sent = _sent(settled, cells, pivots, want, probes)
+    if not probes and _share_sent(settled, cells, pivots, want, total) > dense:
+        found = _all_pairs(settled, want, total, width, block_rows)
+    else:
+        found = own.unionByName(_beyond(settled, _sent(settled, cells, pivots, want, probes), cells, want, block_rows))
     best = Window.partitionBy("_id").orderBy("_d", "_near")
-    return own.unionByName(_beyond(settled, sent, cells, want, block_rows)).withColumn(
-        "_rn", F.row_number().over(best)).where(F.col("_rn") <= want).drop("_rn")
+    return found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= want).drop("_rn")
+
+
+def _spelled(settled: DataFrame) -> DataFrame:
+    return settled.select("_id", F.explode(F.arrays_zip("_near", "_d")).alias("n")).select("_id", "n.*")
 
 
 def _own_blocks(rows: DataFrame, pivots: Pivots, want: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -288,6 +309,164 @@ def _beyond(settled: DataFrame, sent: DataFrame, cells: DataFrame, want: int, bl
     return asking.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(compare, "_id long, _near long, _d double")
 
 
+def _share_sent(settled: DataFrame, cells: DataFrame, pivots: Pivots, want: int, total: int) -> float:
+    """The share of all blocks that a row is sent to, by about ``PLAN_ROWS`` rows."""
+    some = settled.where(F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(max(1, total // PLAN_ROWS))) == 0)
+    sizes = small_side(cells.select(F.col("_cell").alias("_to"), "_blocks"))
+    blocks = _sent(some, cells, pivots, want, None).join(sizes, "_to").agg(F.sum("_blocks")).first()[0] or 0
+    return blocks / (max(1, some.count()) * cells.agg(F.sum("_blocks")).first()[0])
+
+
+class _Best:
+    """The nearest found so far of the rows of a block: by distance, then id."""
+
+    def __init__(self, ids: np.ndarray, reach: np.ndarray, want: int):
+        self.ids, self.want = ids, want
+        self.limit = (reach * (1 + _SLACK) + _SLACK) ** 2  # squared distance of whatever is still of use
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.held, self.most = 0, max(MATRIX, 4 * want * len(ids))
+
+    def add(self, row: np.ndarray, near: np.ndarray, d: np.ndarray) -> None:
+        use = d <= self.limit[row]
+        self.found.append((row[use], near[use], d[use]))
+        self.held += int(use.sum())
+        if self.held > self.most:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, near, d = (np.concatenate(part) for part in zip(*self.found))
+        order = np.lexsort((near, d, row))
+        row, near, d = row[order], near[order], d[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        last = place == self.want - 1
+        self.limit[row[last]] = np.minimum(self.limit[row[last]], d[last])
+        use = place < self.want
+        self.found = [(row[use], near[use], d[use])]
+        self.held = int(use.sum())
+        return self.found[0]
+
+    def table(self) -> pa.Table:
+        row, near, d = self.cut()
+        return pa.table({"_id": self.ids[row], "_near": near, "_d": d})
+
+
+def _compare(a: np.ndarray, b: np.ndarray, left: _Best, right: _Best | None) -> None:
+    """All pairs of the rows of two blocks, for the left and, if given, the right side.
+
+    Within unit length of their centre, single precision is off by less than
+    ``err`` times both squared lengths, and ``1e-30`` where it underflows.
+    """
+    centre = b.mean(axis=0)
+    scale = max(np.abs(a - centre).max(), np.abs(b - centre).max()) or 1.0
+    a1, b1 = (a - centre) / scale, (b - centre) / scale
+    err = (a.shape[1] + 32) * 2.0**-23
+    half_a, half_b = (1 - err) / 2 * (a1 * a1).sum(axis=1), (1 - err) / 2 * (b1 * b1).sum(axis=1)
+    # a row's product with a column, less half the column's squared length
+    rows = np.concatenate([a1, np.ones((len(a), 1))], axis=1).astype("float32")
+    columns = np.ascontiguousarray(np.concatenate([b1, -half_b[:, None]], axis=1).astype("float32").T)
+    high, wide = TILE
+    few = max(1, MATRIX // a.shape[1])
+
+    def half(limit: np.ndarray | float) -> np.ndarray:
+        return (np.sqrt(limit) / scale) ** 2 * ((1 + 1e-5) / 2) + 1e-30
+
+    def least(i: int, limit: np.ndarray | float) -> np.ndarray:
+        return (half_a[i:i + high] - half(limit)).astype("float32")[:, None]
+
+    def mixed(limit: np.ndarray) -> bool:
+        return limit.max() > 1.1 * limit.min()
+
+    for i in range(0, len(a), high):
+        waiting, held = [], 0
+        for j in range(0, len(b), wide):
+            part = rows[i:i + high] @ columns[:, j:j + wide]
+            if right is None:
+                near = part >= least(i, left.limit[i:i + high])
+            else:
+                theirs = right.limit[j:j + wide]
+                near = part >= least(i, np.maximum(left.limit[i:i + high], theirs.min() if mixed(theirs) else theirs.max()))
+                if mixed(theirs):
+                    near |= part + half(theirs).astype("float32") >= least(i, 0.0)
+            place = np.flatnonzero(near)
+            if 8 * len(place) > part.size:
+                d = squared_distances(a[i:i + high], b[j:j + wide])
+                _add(i + np.repeat(np.arange(len(d)), d.shape[1]), j + np.tile(np.arange(d.shape[1]), len(d)), d.ravel(), left, right)
+                continue
+            row, column = np.divmod(place, part.shape[1])
+            waiting.append((i + row, j + column))
+            held += len(place)
+            if held > few:
+                _measure(a, b, waiting, few, left, right)
+                waiting, held = [], 0
+        if held:
+            _measure(a, b, waiting, few, left, right)
+
+
+def _measure(a: np.ndarray, b: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], few: int, left: _Best, right: _Best | None) -> None:
+    row, column = (np.concatenate(part) for part in zip(*pairs))
+    for k in range(0, len(row), few):
+        gap = a[row[k:k + few]] - b[column[k:k + few]]
+        # running sums add feature by feature, as squared_distances does
+        _add(row[k:k + few], column[k:k + few], np.cumsum(gap * gap, axis=1)[:, -1], left, right)
+
+
+def _add(row: np.ndarray, column: np.ndarray, d: np.ndarray, left: _Best, right: _Best | None) -> None:
+    if right is None:  # a block and itself
+        left.add(row, left.ids[column], d)
+    else:
+        left.add(row, right.ids[column], d)
+        right.add(column, left.ids[row], d)
+
+
+def _block(rows: pa.Table, want: int) -> tuple[np.ndarray, _Best]:
+    # by reach, so that a tile has rows of about one reach
+    rows = rows.sort_by([("_reach", "ascending"), ("_id", "ascending")])
+    v = rows["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    return v, _Best(rows["_id"].to_numpy(), rows["_reach"].to_numpy(), want)
+
+
+def _all_pairs(settled: DataFrame, want: int, total: int, width: int, block_rows: int) -> DataFrame:
+    """``(_id, _near, _d)`` from all pairs of large blocks. Each block is compared
+    with itself first, which leaves a row a reach that few other rows lie within."""
+    most = max(block_rows, GRID_BYTES // (8 * max(width, 1)))
+    tasks = 6 * settled.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-total // most), min(-(-total // block_rows), math.isqrt(tasks) + 1))
+
+    def itself(rows: pa.Table) -> pa.Table:
+        v, best = _block(rows, want)
+        _compare(v, v, best, None)
+        row, near, d = best.cut()
+        first = np.searchsorted(row, np.arange(len(v) + 1))
+        reach = np.full(len(v), np.inf)
+        full = np.diff(first) >= want
+        reach[full] = np.sqrt(d[first[1:][full] - 1])
+        return pa.table({"_id": best.ids, "_v": pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32()), v.ravel()),
+                         "_block": pa.array(np.full(len(v), rows["_block"][0].as_py()), pa.int32()),
+                         "_reach": np.minimum(reach, np.sqrt(best.limit)),
+                         "_near": pa.ListArray.from_arrays(pa.array(first, pa.int32()), near),
+                         "_d": pa.ListArray.from_arrays(pa.array(first, pa.int32()), d)})
+
+    block = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(blocks)).cast("int")
+    dealt = settled.select("_id", "_v", "_reach", block.alias("_block"))
+    placed = freeze(dealt.groupBy("_block").applyInArrow(
+        itself, "_id long, _v array<double>, _block int, _reach double, _near array<long>, _d array<double>"))
+    if blocks == 1:
+        return _spelled(placed)
+
+    def across(rows: pa.Table) -> pa.Table:
+        mine = np.equal(rows["_block"].to_numpy(), rows["_low"].to_numpy())
+        if mine.all() or not mine.any():
+            return pa.table({"_id": pa.array([], pa.int64()), "_near": pa.array([], pa.int64()), "_d": pa.array([], pa.float64())})
+        (a, left), (b, right) = _block(rows.filter(pa.array(mine)), want), _block(rows.filter(pa.array(~mine)), want)
+        _compare(a, b, left, right)
+        return pa.concat_tables(best.table() for best in (left, right))
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = placed.select("_id", "_v", "_reach", "_block", other.alias("_other")).where("_block <> _other").select(
+        "_id", "_v", "_reach", "_block", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"))
+    return _spelled(placed).unionByName(pairs.groupBy("_low", "_high").applyInArrow(across, "_id long, _near long, _d double"))
+
+
 def recall(df: DataFrame, key: str, features: Sequence[str] | str, found: DataFrame, k: int = 5, *,
            queries: int = 1000, seed: object = 5) -> float:
     """Share of the true neighbours of ``queries`` rows, the first by a hash of

@@ -109,3 +109,42 @@ def test_probes_and_recall(spark):
     few = neighbors.recall(df, "id", "v", knn(df, "id", "v", 5, block_rows=100, probes=1), 5, queries=200)
     more = neighbors.recall(df, "id", "v", knn(df, "id", "v", 5, block_rows=100, probes=8), 5, queries=200)
     assert few < more and more >= 0.9
+
+
+@pytest.mark.parametrize("dense", [0.0, 1.0])
+@pytest.mark.parametrize("kind", ["spread", "grid", "far", "tiny"])
+def test_large_blocks_and_cells_are_exact(spark, kind, dense):
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 3, size=(200, 5)).astype(float) if kind == "grid" else rng.normal(size=(200, 5))
+    if kind == "far":
+        values[:100] += 1e9  # squares that single precision cannot tell apart
+        values[-2:] *= 1e30
+    if kind == "tiny":
+        values[:150] *= 1e-25
+    points = {i: tuple(map(float, v)) for i, v in enumerate(values)}
+    df = spark.createDataFrame([(i, list(v)) for i, v in points.items()], "id long, v array<double>")
+    got = {r["id"]: [n["neighbour"] for n in r["neighbours"]] for r in knn(df, "id", "v", 5, block_rows=20, dense=dense).collect()}
+    wanted = {}
+    for i, p in points.items():
+        d = sorted((float(neighbors.squared_distances(np.array([p]), np.array([q]))[0, 0]), j) for j, q in points.items() if j != i)
+        wanted[i] = [j for _, j in d[:5]]
+    assert got == wanted
+
+
+def test_few_distances_are_computed_in_many_dimensions(monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(3000, 64))
+    reach = np.sqrt(np.partition(neighbors.squared_distances(v, v[:1500]), 6, axis=1)[:, 6])
+    order = np.concatenate([np.argsort(reach[:1500]), 1500 + np.argsort(reach[1500:])])  # as blocks are
+    v, reach = v[order], reach[order]
+    d = neighbors.squared_distances(v, v)
+    left, right = (neighbors._Best(np.arange(s.start, s.stop), reach[s], 6) for s in (slice(0, 1500), slice(1500, 3000)))
+    measured = []
+    monkeypatch.setattr(neighbors, "_add", lambda row, *rest, plain=neighbors._add: (measured.append(len(row)), plain(row, *rest)))
+    neighbors._compare(v[:1500], v[1500:], left, right)
+    assert sum(measured) < 0.02 * 1500 ** 2
+    row, near, gap = right.cut()
+    for r in range(0, 1500, 100):
+        order = np.lexsort((np.arange(1500), d[1500 + r, :1500]))[:6]
+        assert list(near[row == r]) == [k for k in order if d[1500 + r, k] <= right.limit[r]]
+        assert (gap[row == r] == d[1500 + r, near[row == r]]).all()
