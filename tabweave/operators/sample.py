@@ -10,14 +10,16 @@ of copies by counting them, never by gathering them.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.hashing import row_hash
-from tabweave.session import freeze
+from tabweave.functions.hashing import key_text, md5_prefixes, row_hash
+from tabweave.session import scratch_path
 
 HASH = "_hash"
 # hex digits of a hash prefix: 65,536 prefixes at most
@@ -334,26 +336,78 @@ def global_rank(df: DataFrame, key: Sequence[str] | None = None, seed: object =
     return spelled.select(*df.columns, (F.col("_last") - F.col("_n") + F.col("_i")).alias(into))
 
 
+# hashes of a batch held at a time
+_MARKED = 1 << 22
+
+
 def replicate(df: DataFrame, n: int, times: int = 50, key: Sequence[str] | None = None, seed: object = 5) -> DataFrame:
     """``times`` independent draws of ``n`` rows, with a ``replicate`` column.
 
-    Each row is expanded narrowly into its copies, each hashed with its own
-    salt; one pass of counts finds all cuts, and a filter keeps the winners.
+    A row has a hash per draw, all of which share the stretch where the cut
+    must lie. One pass takes all hashes and writes, beside each row, the draws
+    that it is in for certain and those where its hash lies in the stretch; only
+    the latter, about sqrt(N) a draw, are hashed in full to find the cuts.
     """
     rows = df.count()
     if n > rows:
         raise ValueError(f"cannot draw {n} of {rows} rows without replacement")
-    many = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times))))
-    hashed = many.withColumn(HASH, row_hash([*(key or df.columns), "replicate"], seed))
-    cuts = find_cuts(hashed, {r: [n] for r in range(1, times + 1)}, "replicate", {r: rows for r in range(1, times + 1)})
+    key, every = list(key or df.columns), range(1, times + 1)
+    if n == 0 or times == 0:
+        return df.limit(0).withColumn("replicate", F.lit(0))
     spark = df.sparkSession
+    path = scratch_path(spark, "draws")
+    (low, high), = _windows([n], rows)
+    marked = df.withColumn("_marks", _marker(times, seed, low, high)(key_text(key)))
+    marked.write.parquet(path)
+    marks = spark.read.schema(marked.schema).parquet(path).select(*df.columns, F.explode("_marks").alias("_m"))
+    sure = marks.where("_m > 0").select(*df.columns, F.col("_m").alias("replicate"))
+    near = marks.where("_m < 0").select(*df.columns, (-F.col("_m")).alias("replicate"))
+    near = near.withColumn(HASH, row_hash([*key, "replicate"], seed))
+
+    before = dict(sure.groupBy("replicate").count().collect())
+    first = spark.createDataFrame([(r, before.get(r, 0)) for r in every], "replicate int, _before long")
+    inside = Window.partitionBy("replicate").orderBy(HASH).rowsBetween(Window.unboundedPreceding, 0)
+    upto = near.groupBy("replicate", HASH).agg(F.count(F.lit(1)).alias("n")).withColumn("_in", F.sum("n").over(inside)).join(
+        F.broadcast(first), "replicate").withColumn("_upto", F.col("_before") + F.col("_in"))  # a row per replicate
+    hits = upto.where((F.col("_upto") >= n) & (F.col("_upto") - F.col("n") < n)).collect()
+    cuts = [Cut(r["replicate"], n, r[HASH], r["_upto"] - r["n"], r["n"]) for r in hits]
+    if len(cuts) == times:
+        return sure.unionByName(_up_to(near, cuts, df.columns))
+    # copies moved a place out of its stretch: all places are counted
+    many = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    hashed = many.withColumn(HASH, row_hash([*key, "replicate"], seed))
+    return _up_to(hashed, find_cuts(hashed, {r: [n] for r in every}, "replicate", {r: rows for r in every}), df.columns)
+
+
+def _marker(times: int, seed: object, low: int, high: int) -> Callable[[Column], Column]:
+    """The replicates whose hash of a key text and their number lies below ``low``,
+    and those below ``high``, as negative numbers."""
+    endings = [f"-{r}-{seed}" for r in range(1, times + 1)]
+
+    def mark(texts: pa.Array) -> pa.Array:
+        values, counts = [], [np.zeros(1, np.int32)]
+        step = max(1, _MARKED // times)
+        for i in range(0, len(texts), step):
+            made = md5_prefixes(texts.slice(i, step), endings)
+            row, draw = np.nonzero(made < high) if high < 2**32 else np.nonzero(made >= 0)
+            values.append(np.where(made[row, draw] < low, draw + 1, -draw - 1).astype(np.int32))
+            counts.append(np.bincount(row, minlength=len(made)).astype(np.int32))
+        ends = np.cumsum(np.concatenate(counts), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *values])))
+
+    return F.arrow_udf(mark, "array<int>")
+
+
+def _up_to(hashed: DataFrame, cuts: Sequence[Cut], columns: Sequence[str]) -> DataFrame:
+    """The rows up to the cut of their replicate."""
+    spark = hashed.sparkSession
     limits = F.broadcast(spark.createDataFrame(  # one row per replicate
         [(c.group, c.hash, c.take, c.copies) for c in cuts], "replicate int, _cut string, _take long, _copies long"))
     joined = hashed.join(limits, "replicate")
     torn = [c for c in cuts if c.splits_copies]
     whole = joined.where((F.col(HASH) < F.col("_cut")) | ((F.col(HASH) == F.col("_cut")) & (F.col("_take") == F.col("_copies"))))
-    out = whole.select(*df.columns, "replicate")
+    out = whole.select(*columns, "replicate")
     if torn:
         edge = joined.where((F.col(HASH) == F.col("_cut")) & (F.col("_take") < F.col("_copies")))
-        out = out.unionByName(numbered_copies(edge).where(F.col("_copy") <= F.col("_take")).select(*df.columns, "replicate"))
+        out = out.unionByName(numbered_copies(edge).where(F.col("_copy") <= F.col("_take")).select(*columns, "replicate"))
     return out

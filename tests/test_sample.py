@@ -1,7 +1,10 @@
+import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from tabweave.functions.hashing import md5_prefixes
 from tabweave.operators import sample
 
 
@@ -91,3 +94,22 @@ def test_draw_is_a_filter_on_the_scan(spark, folder):
     customers = spark.read.parquet(f"{folder}/customer.parquet")
     plan = sample.sample_n(customers, 50, ["c_custkey"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_prefixes_are_those_of_md5():
+    texts = ["", "a", "ä-1", *["x" * k for k in (20, 50, 55, 56, 63, 64, 65, 130)]] * 20
+    endings = [f"-{r}-5" for r in (1, 9, 10, 100)]
+    made = md5_prefixes(pa.array(["cut off", *texts])[1:], endings)
+    assert made.tolist() == [[int(hashlib.md5((t + e).encode()).hexdigest()[:8], 16) for e in endings] for t in texts]
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+@pytest.mark.parametrize("n", [0, 1, 130, 400])
+def test_replicates_follow_the_hash(spark, copies, n):
+    rows = [(i // copies, "x" * (i // copies % 70)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    wanted = Counter()
+    for k in range(1, 13):
+        order = sorted(rows, key=lambda r: hashlib.md5(f"{r[0]}-{r[1]}-{k}-5".encode()).hexdigest())
+        wanted.update((*r, k) for r in order[:n])
+    assert Counter(tuple(r) for r in sample.replicate(df, n, 12).collect()) == wanted
