@@ -57,6 +57,7 @@ BATCH_BYTES = 2 << 20  # a task holds some hundred bytes for each
 BATCH_ROWS = 1 << 16
 NO_LANG = "und"
 SALTS = 16
+HEAVY = 4096  # parts with more than this share of all words are dealt out by salts
 
 # A phrase is counted under one key: its language, a tab, its words.
 COUNTS = "key string, n long"
@@ -203,7 +204,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
     def full_pass(now: Proposals, old: Proposals | None = None) -> DataFrame:
         some = counted(docs, longest, now, old)
-        return keep(some.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+        # the key of a language's number of words ends in the tab; nothing else of rare phrases is looked at
+        return keep(some.where((F.col("n") >= least) | F.col("key").endswith("\t")), "phrases")
 
     first = full_pass(proposed)
     wider = proposed.joined(propose(first, longest, bits))
@@ -217,21 +219,39 @@ def _cut(phrase: F.Column, size: int, low: int, high: int) -> F.Column:
     return F.array_join(F.slice(F.split(phrase, " "), low + 1, high - low), " ")
 
 
+def _heavy(short: DataFrame, totals: DataFrame) -> DataFrame:
+    """lang, part, heavy of the parts that may belong to a large share of all
+    candidates: a part belongs to no more of them than it occurs."""
+    all_words = totals.agg(F.sum("n").alias("n"))
+    return short.crossJoin(F.broadcast(all_words)).where(F.col("f").cast("double") * HEAVY > F.col("n")).select(
+        "lang", "part", F.lit(True).alias("heavy"))
+
+
+def _dealt(short: DataFrame, heavy: DataFrame) -> DataFrame:
+    """lang, part, f, salt: heavy parts once for every salt, the others once."""
+    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return short.join(F.broadcast(heavy), ["lang", "part"], "left").select("lang", "part", "f", F.explode(salts).alias("salt"))
+
+
 def collocations(frequent: DataFrame, longest: int = LONGEST, share: int = SHARE, first: int = FIRST) -> DataFrame:
     """The ``first`` phrases of each language by score: lang, rank, phrase, a, l, r, n, score."""
     exact = "decimal(15,0)"
     every = frequent.where("words > 0").select("lang", "words", "phrase", F.col("n").alias("a"))
     candidates = every.where("words > 1")
-    # each cut of each candidate; a first word may belong to a large share of all, so parts are dealt out
+    totals = frequent.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    short = every.where(F.col("words") < longest).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
+    heavy = keep(_heavy(short, totals), "heavy_parts")
+    parts = _dealt(short, heavy)
     cuts = reduce(DataFrame.unionByName, [
         candidates.where(F.col("words") == size).select(
             "lang", "phrase", "a", F.lit(k).alias("k"), _cut(F.col("phrase"), size, 0, k).alias("front"),
-            _cut(F.col("phrase"), size, k, size).alias("back"), F.pmod(F.hash("phrase"), F.lit(SALTS)).alias("salt"))
+            _cut(F.col("phrase"), size, k, size).alias("back"))
         for size in range(2, longest + 1) for k in range(1, size)])
-    parts = every.where(F.col("words") < longest).select(
-        "lang", F.col("phrase").alias("part"), F.col("a").alias("f"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     for side, name in (("front", "l"), ("back", "r")):
-        cuts = cuts.join(parts.withColumnsRenamed({"part": side, "f": name}), ["lang", "salt", side])
+        known = F.broadcast(heavy.withColumnRenamed("part", side))  # HEAVY rows a length at the most
+        salt = F.when(F.col("heavy"), F.pmod(F.hash("phrase"), F.lit(SALTS))).otherwise(0)
+        cuts = cuts.join(known, ["lang", side], "left").withColumn("salt", salt).drop("heavy")
+        cuts = cuts.join(parts.withColumnsRenamed({"part": side, "f": name}), ["lang", "salt", side]).drop("salt")
     cuts = cuts.withColumn("score", F.expr(
         f"(cast(1000000 as decimal(7,0)) * cast(a as {exact}) * cast(a as {exact})) div (cast(l as {exact}) * cast(r as {exact}))"))
     scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
@@ -248,7 +268,6 @@ def collocations(frequent: DataFrame, longest: int = LONGEST, share: int = SHARE
     dealt = scored.withColumn("salt", F.pmod(F.hash("phrase", "a"), F.lit(SALTS * 4)))
     some = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= first)
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= first)
-    totals = frequent.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

@@ -164,6 +164,16 @@ def test_no_phrases(spark):
     assert row.score == 1_000_000 * (4 * 10**12)**2 // (35 * 10**24)
 
 
+def test_only_heavy_parts_are_dealt_out(spark):
+    rows = [("en", f"w{k}", 10) for k in range(500)] + [("en", "the", 5000), ("de", "the", 10)]
+    short = spark.createDataFrame(rows, "lang string, part string, f long")
+    totals = spark.createDataFrame([("en", 90_000), ("de", 10_000)], "lang string, n long")
+    heavy = phrases._heavy(short, totals)
+    assert [tuple(r) for r in heavy.collect()] == [("en", "the", True)]
+    dealt = Counter((r["lang"], r["part"]) for r in phrases._dealt(short, heavy).collect())
+    assert dealt.pop(("en", "the")) == phrases.SALTS and set(dealt.values()) == {1} and len(dealt) == 501
+
+
 # Toxicity
 
 def test_block_max():
