@@ -28,7 +28,7 @@ tables give empty results.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,6 +59,7 @@ SHARE = 0.75  # of the documents that the estimate has to cover
 STARTS = 24
 LEAST = 40
 TYPICAL_WORDS = 400
+PART_BYTES = 1 << 20  # texts counted together; the arrays of a part take some 50 times its bytes
 
 
 def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
@@ -89,18 +90,22 @@ def count_texts(column: pa.Array) -> dict[str, np.ndarray]:
             "n_repeat_words": W.segment_sums(repeated, words.first)}
 
 
-def with_counts(docs: DataFrame, drop_text: bool = False) -> DataFrame:
-    """``docs`` with a struct column of the counts of each text."""
-    names = [c for c in docs.columns if c != FOUND and not (drop_text and c == "text")]
-
+def count_parts(names: list[str]) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """Work on a batch that gives the columns ``names`` with the counts, by parts of ``PART_BYTES``."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in W.text_parts(batch):
+        for part in W.text_parts(batch, limit=PART_BYTES):
             counts = count_texts(part.column("text"))
             struct = pa.StructArray.from_arrays([pa.array(counts[s], pa.int64()) for s in STATS], names=list(STATS))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), struct], names=[*names, FOUND])
 
+    return work
+
+
+def with_counts(docs: DataFrame, drop_text: bool = False) -> DataFrame:
+    """``docs`` with a struct column of the counts of each text."""
+    names = [c for c in docs.columns if c != FOUND and not (drop_text and c == "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), work,
+    return map_arrow(docs.select(*dict.fromkeys([*names, "text"])), count_parts(names),
                      f"{fields}, `{FOUND}` struct<{','.join(s + ':long' for s in STATS)}>")
 
 
