@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabweave.functions.cuts import bin_counts, value_cuts
 from tabweave.functions.ordered import running
 from tabweave.operators.clean import numeric_columns, string_columns
 from tabweave.operators.encode import ENCODED, EncoderTable, te_fit
@@ -126,6 +127,8 @@ def log_odds_auc(parts: DataFrame, label: str, bins: dict[str, Column], split: s
 
 # ---------------------------------------------------------------- tree models
 
+# Bins of a feature, one of them for missing values; a learner that looks at histograms sees no more of it.
+TREE_BINS = 64
 # Distinct training rows of one part of the training layout.
 PART_ROWS = 50_000
 # A category's code is drawn towards the mean of all rows as if it had so many more rows.
@@ -159,6 +162,7 @@ def _features(train: DataFrame, target: str, ignore: Sequence[str]):
         out = out.fillna(-1.0, [c + ENCODED for c in texts]) if texts else out
         return VectorAssembler(inputCols=[*[c + ENCODED for c in texts], *numbers], outputCol="_features", handleInvalid="keep").transform(out)
 
+    prepare.columns = [*[c + ENCODED for c in texts], *numbers]
     return prepare
 
 
@@ -168,8 +172,9 @@ def training_layout(prepared: DataFrame) -> DataFrame:
     once for all rounds. Neither the cores nor the layout of the input change
     what a learner sees, and copies that a third of all rows are make one row.
     """
-    columns = [c for c in prepared.columns if c != "_features"]
-    distinct = freeze(prepared.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_n"), F.first("_features").alias("_features")))
+    columns = [c for c in prepared.columns if c not in ("_features", "_n")]
+    rows = F.sum("_n") if "_n" in prepared.columns else F.count(F.lit(1))
+    distinct = freeze(prepared.groupBy(*columns).agg(rows.cast("double").alias("_n"), F.first("_features").alias("_features")))
     parts = max(8, -(-distinct.count() // PART_ROWS))
     place = F.xxhash64(*columns)
     return freeze(distinct.repartition(parts, place).sortWithinPartitions(place, *columns).select("_label", "_features", "_n"))
@@ -179,42 +184,74 @@ def _one_class(train: DataFrame, target: str) -> bool:
     return train.select(F.col(target).cast("double")).distinct().limit(2).count() < 2
 
 
+class TreeModel:
+    """Trees on bins.
+
+    A learner sees a feature by its bins alone, so rows are counted by their
+    combination of bins; what is repeated for every round and level, and the
+    scoring, works on those counts. All training rows take part in the cuts
+    between bins and in the counts.
+    """
+
+    def __init__(self, train: DataFrame, target: str, model: str = "boosted", rounds: int = 20, depth: int = 6,
+                 ignore: Sequence[str] = ()):
+        self.prepare = _features(train, target, ignore)
+        self.one_class, self.cuts, self.fitted = _one_class(train, target), {}, None
+        shared = {"labelCol": "_label", "featuresCol": "_features", "weightCol": "_n", "maxBins": TREE_BINS, "seed": 5}
+        if model == "boosted":
+            self.learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, checkpointInterval=10, **shared)
+        elif model == "tree":
+            self.learner = DecisionTreeClassifier(maxDepth=depth, **shared)
+        elif not self.one_class:
+            raise ValueError(f"unknown classifier: {model}")
+        if not self.one_class:
+            self.cuts = value_cuts(self.prepare(train.where(F.col(target).isNotNull())), self.prepare.columns, TREE_BINS - 1)
+
+    def counts(self, df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        """``extra``, ``_label``, ``_features`` (the bins) and ``_n`` rows."""
+        prepared = self.prepare(df, extra)
+        if self.one_class:
+            return prepared.groupBy(*[c for c in extra if c in prepared.columns], "_label").agg(F.count(F.lit(1)).alias("_n"))
+        counted = bin_counts(prepared, self.cuts, [*[c for c in extra if c in prepared.columns], "_label"])
+        names = [f"_b{i}" for i in range(len(self.cuts))]
+        return VectorAssembler(inputCols=names, outputCol="_features").transform(counted)
+
+    def fit(self, counts: DataFrame) -> TreeModel:
+        if not self.one_class:
+            self.fitted = self.learner.fit(training_layout(counts.where(F.col("_label").isNotNull())))
+        return self
+
+    def score(self, counts: DataFrame) -> DataFrame:
+        """``counts`` with the probability ``_p``."""
+        if self.one_class:
+            # nothing to learn: every row gets the same score
+            return counts.withColumn("_p", F.lit(0.5))
+        return self.fitted.transform(counts).withColumn("_p", vector_to_array("probability")[1])
+
+
 def fit_predict(train: DataFrame, target: str, model: str = "boosted", rounds: int = 20, depth: int = 6,
                 ignore: Sequence[str] = ()):
-    """Train on ``train``; returns ``score(df, extra) -> df`` with ``_p``."""
-    prepare = _features(train, target, ignore)
-    if _one_class(train, target):
-        # nothing to learn: every row gets the same score
-        return lambda df, extra=(): prepare(df, extra).withColumn("_p", F.lit(0.5))
-    shared = {"labelCol": "_label", "featuresCol": "_features", "weightCol": "_n", "maxBins": 64, "seed": 5}
-    if model == "boosted":
-        learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, checkpointInterval=10, **shared)
-    elif model == "tree":
-        learner = DecisionTreeClassifier(maxDepth=depth, **shared)
-    else:
-        raise ValueError(f"unknown classifier: {model}")
-    fitted = learner.fit(training_layout(prepare(train.where(F.col(target).isNotNull()))))
-
-    def score(df: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        scored = fitted.transform(prepare(df, extra))
-        return scored.withColumn("_p", vector_to_array("probability")[1])
-
-    return score
+    """Train on ``train``; returns ``score(df, extra) -> df`` with ``extra``, ``_label``,
+    ``_p``, and ``_n``, the number of rows that a row stands for."""
+    trees = TreeModel(train, target, model, rounds, depth, ignore)
+    trees.fit(trees.counts(train))
+    return lambda df, extra=(): trees.score(trees.counts(df, extra))
 
 
 def tstr_score(synthetic: DataFrame, real: DataFrame, target: str, *, by: Sequence[str] = (), model: str = "boosted",
                rounds: int = 20, depth: int = 6, ignore: Sequence[str] = ()) -> DataFrame:
     """Train on synthetic rows, AUC on real rows (per ``by`` group)."""
     score = fit_predict(synthetic, target, model, rounds, depth, [*ignore, *by])
-    return auc(score(real, by), "_p", "_label", by)
+    return auc(score(real, by), "_p", "_label", by, weight="_n")
 
 
 def score_trainval(parts: DataFrame, target: str, *, split: str = "split", train: str = "train",
                    model: str = "boosted", rounds: int = 20, depth: int = 6, ignore: Sequence[str] = ()) -> DataFrame:
     """AUC and row count of every split of one frame, trained on its train part."""
-    fit_rows = parts.where(F.col(split) == train)
-    score = fit_predict(fit_rows, target, model, rounds, depth, [*ignore, split])
-    out = auc(score(parts, [split]), "_p", "_label", [split])
+    trees = TreeModel(parts.where(F.col(split) == train), target, model, rounds, depth, [*ignore, split])
+    counts = freeze(trees.counts(parts, [split]))  # one count for training and scoring
+    trees.fit(counts.where(F.col(split) == train).drop(split))
+    out = auc(trees.score(counts), "_p", "_label", [split], weight="_n")
     guarded = F.when((F.col(split) == train) & F.col("auc").isNull(), F.lit(0.5)).otherwise(F.col("auc"))
     return out.select(split, (F.col("positives") + F.col("negatives")).alias("rows"), guarded.alias("auc"))
 

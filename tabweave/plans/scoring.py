@@ -10,7 +10,7 @@ from tabweave.operators.generate import gen_copula
 from tabweave.operators.sample import split3
 from tabweave.plans.inputs import (
     KEY, LABELLED, NUMERIC, SOURCES, SPLIT, auc_sql, bins, chain_sql, joins_sql, labelled, long_bins_sql, sources, table)
-from tabweave.session import freeze, spread
+from tabweave.session import freeze, spread, store
 
 
 def _parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +52,7 @@ def per_source_score(spark: SparkSession, folder: str) -> DataFrame:
 def _dear(spark: SparkSession, folder: str) -> DataFrame:
     """Split rows whose label the price tells in part: whether price times
     quantity is above a million; the quantity is withheld."""
-    return freeze(_parts(spark, folder).select(
+    return store(_parts(spark, folder).select(
         "l_extendedprice", "l_discount", "l_tax", "l_linestatus",
         (F.col("l_extendedprice") * F.col("l_quantity") > 1e6).cast("int").alias("label"), "split"))
 
