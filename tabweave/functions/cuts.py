@@ -6,7 +6,8 @@ per bucket or per combination of bins, not per row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +15,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-# Buckets of the first pass share sign, exponent and eight bits of the mantissa.
-_SHIFT = 44
+# Buckets of the first pass share sign, exponent and ten bits of the mantissa.
+_SHIFT = 42
 # Parts of a bucket that is looked at again.
 _PARTS = 1024
 # A bucket of several values is looked at again where it holds more than one in so many of a bin's share.
-_FINER = 4
+_FINER = 2
 # Rows of a task worked on together.
 _ROWS = 1 << 18
 # Bin numbers of several columns share a whole number up to here.
 _WORD = 1 << 62
 
+Bucket = tuple[float, float, int]
+
 
 def _tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches put together to tables of about ``_ROWS`` rows."""
@@ -71,7 +74,7 @@ def _buckets(values: np.ndarray, opened: np.ndarray | None) -> tuple[np.ndarray,
     return code[first], past - first, values[first], values[past - 1]
 
 
-def _opened(buckets: Sequence[tuple[float, float, int]], most: int) -> np.ndarray | None:
+def _opened(buckets: Sequence[Bucket], most: int) -> np.ndarray | None:
     """The ranges of several values that are too much for one bucket; all of
     them while there are no more buckets than bins."""
     least = sum(n for _, _, n in buckets) / (_FINER * most) if len(buckets) > most else 0
@@ -79,7 +82,7 @@ def _opened(buckets: Sequence[tuple[float, float, int]], most: int) -> np.ndarra
     return _places(np.array(ranges)).T.copy() if ranges else None
 
 
-def _cuts(buckets: Sequence[tuple[float, float, int]], most: int) -> list[float]:
+def _cuts(buckets: Sequence[Bucket], most: int) -> list[float]:
     """Where bins begin: at every bucket, or nearest to the places that share the rows out evenly."""
     if len(buckets) <= most:
         return [low for low, _, _ in buckets[1:]]
@@ -91,20 +94,15 @@ def _cuts(buckets: Sequence[tuple[float, float, int]], most: int) -> list[float]
     return [buckets[k + 1][0] for k in np.unique(nearest)]
 
 
-def value_cuts(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[float]]:
-    """Where the second and further bins of each column begin, at most ``most``
-    bins; null and NaN have no say.
+def _split(df: DataFrame, columns: Sequence[str], opener: Callable[[int, list[Bucket]], np.ndarray | None]) -> list[list[Bucket]]:
+    """The values of each column in buckets ``(smallest, largest, number)``, in order.
 
-    Every value has a bin where there are no more than ``most``, else bins hold about as
-    many rows each. All rows are counted by buckets of their leading bits; what
-    holds several values and too many rows is split further by passes of its
-    own, so clustered and skewed values get bins as well. Counts decide, so
-    neither cores nor the layout of the input change a cut. At most some
-    ``1024 * 4 * most`` buckets per column and pass reach the driver after the first one.
+    The first pass takes buckets of the leading bits. ``opener`` names the buckets
+    of a column that are split further, by a pass of their own that reads the
+    columns concerned. Null and NaN are in no bucket.
     """
-    names = list(columns)
-    buckets: dict[int, list[tuple[float, float, int]]] = {i: [] for i in range(len(names))}
-    opened: dict[int, np.ndarray | None] = dict.fromkeys(buckets)
+    buckets: list[list[Bucket]] = [[] for _ in columns]
+    opened: dict[int, np.ndarray | None] = dict.fromkeys(range(len(columns)))
     schema = "at int, code long, n long, low double, high double"
     while opened:
         looked = dict(opened)
@@ -117,14 +115,63 @@ def value_cuts(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, li
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(found[0]), at, np.int32)), *map(pa.array, found)], names=["at", "code", "n", "low", "high"])
 
-        counted = df.select(*[F.col(names[i]).cast("double").alias(f"_v{i}") for i in opened]).mapInArrow(work, schema)
-        for i, ranges in opened.items():  # what was split goes
+        counted = df.select(*[F.col(f"`{columns[i]}`").cast("double").alias(f"_v{i}") for i in opened]).mapInArrow(work, schema)
+        for i, ranges in opened.items():  # what is split goes
             gone = set() if ranges is None else set(ranges[0].tolist())
             buckets[i] = [b for b in buckets[i] if int(_places(np.array([b[0]]))[0]) not in gone]
         for r in counted.groupBy("at", "code").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect():
             buckets[r["at"]].append((r["low"], r["high"], r["n"]))
-        opened = {i: ranges for i in opened if (ranges := _opened(buckets[i], most)) is not None}
-    return {c: _cuts(sorted(buckets[i]), most) for i, c in enumerate(names)}
+        for i in opened:
+            buckets[i].sort()
+        opened = {i: ranges for i in opened if (ranges := opener(i, buckets[i])) is not None}
+    return buckets
+
+
+def value_cuts(df: DataFrame, columns: Sequence[str], most: int) -> dict[str, list[float]]:
+    """Where the second and further bins of each column begin, at most ``most``
+    bins; null and NaN have no say.
+
+    Every value has a bin where there are no more than ``most``, else bins hold about as
+    many rows each. All rows are counted by buckets of their leading bits; what
+    holds several values and too many rows is split further, so clustered and
+    skewed values get bins as well. Counts decide, so neither cores nor the
+    layout of the input change a cut. After the first pass a column sends at
+    most ``_FINER * most * _PARTS`` buckets to the driver.
+    """
+    found = _split(df, list(columns), lambda i, buckets: _opened(buckets, most))
+    return {c: _cuts(buckets, most) for c, buckets in zip(columns, found)}
+
+
+def bucket_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """``exact_quantiles`` of the columns that have a finite value, by buckets: for
+    many places at once. Only buckets that hold a wanted place are split."""
+    finite = df.select(*[F.when(F.abs(F.col(f"`{c}`").cast("double")) < float("inf"), F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
+    settled: dict[int, dict[int, float]] = {}
+
+    def settle(i: int, buckets: list[Bucket]) -> np.ndarray | None:
+        upto = np.cumsum([0, *[n for _, _, n in buckets]])
+        at = [(int(upto[-1]) - 1) * float(p) for p in probs] if buckets else []
+        ranges = []
+        settled[i] = {}
+        for place in sorted({f(x) for x in at for f in (math.floor, math.ceil)}):
+            k = int(np.searchsorted(upto, place, "right")) - 1
+            low, high, n = buckets[k]
+            if low == high or place == upto[k]:
+                settled[i][place] = low
+            elif place == upto[k] + n - 1:
+                settled[i][place] = high
+            else:
+                ranges.append((low, high))
+        return _places(np.array(sorted(set(ranges)))).T.copy() if ranges else None
+
+    out = {}
+    for i, (c, buckets) in enumerate(zip(columns, _split(finite, list(columns), settle))):
+        total = sum(n for _, _, n in buckets)
+        at = [(total - 1) * float(p) for p in probs] if total else []
+        ends = [(settled[i][math.floor(x)], settled[i][math.ceil(x)], x - math.floor(x)) for x in at]
+        if ends:
+            out[c] = [low + share * (high - low) for low, high, share in ends]
+    return out
 
 
 def bin_counts(df: DataFrame, cuts: Mapping[str, Sequence[float]], keep: Sequence[str] = ()) -> DataFrame:

@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabweave.functions.cuts import bucket_quantiles
 from tabweave.functions.hashing import normal_array, row_hash, uniform_array
 from tabweave.functions.normal import normal_cdf_array, normal_ppf_array
-from tabweave.functions.ordered import exact_quantiles, running
+from tabweave.functions.ordered import running
 from tabweave.session import freeze, small_side
 
 RIDGE = 1e-6
@@ -165,9 +166,9 @@ def fit_classes(df: DataFrame, label: Column, values: Sequence[object], numeric:
     grids: dict[int, dict[str, list[float]]] = {g: {} for g in classes}
     if numeric:
         wide = rows.select(*[F.when(F.col("_g") == g, F.col(c)).alias(f"{g}|{i}") for g in classes for i, c in enumerate(numeric)])
-        for r in exact_quantiles(wide, wide.columns, probs).collect():
-            g, i = r["column"].split("|")
-            grids[int(g)][numeric[int(i)]] = list(r["q"])
+        for c, grid_values in bucket_quantiles(wide, wide.columns, probs).items():
+            g, i = c.split("|")
+            grids[int(g)][numeric[int(i)]] = grid_values
     shares = category_shares(rows, categorical, ["_g"]) if categorical else None
     counted = {r["_g"]: r for r in rows.groupBy("_g").agg(
         F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(names)]).collect()}

@@ -61,7 +61,7 @@ def tstr_score(spark: SparkSession, folder: str) -> DataFrame:
     """Boosted trees on copula rows, AUC on real validation and test rows."""
     parts = _dear(spark, folder)
     train = parts.where("split = 'train'")
-    made = freeze(gen_copula(train, train.count(), ["l_extendedprice", "l_discount", "l_tax"], ["l_linestatus", "label"]).drop("row_id"))
+    made = store(gen_copula(train, train.count(), ["l_extendedprice", "l_discount", "l_tax"], ["l_linestatus", "label"]).drop("row_id"))
     return score.tstr_score(made, parts.where("split <> 'train'"), "label", by=["split"])
 
 

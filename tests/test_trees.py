@@ -85,3 +85,18 @@ def test_stored_rows_come_back(spark):
     assert store(df).collect() == df.collect() and store(df).schema == df.schema
     odd = df.select("k", F.lit(None).alias("void"), F.array("k").alias("list"), F.col("x").alias("K"))
     assert store(odd).count() == 2
+
+
+def test_bucket_quantiles_are_exact(spark):
+    rng = np.random.default_rng(2)
+    n = 5001
+    data = {"a": rng.normal(size=n), "wide": np.exp(rng.normal(size=n) * 40), "0|hot": np.where(rng.random(n) < 0.34, 0.5, rng.normal(size=n)),
+            "clock": 1.6e9 + rng.random(n) * 1e-3, "one": np.full(n, 3.0), "cents": rng.integers(9e4, 1e7, n) / 100}
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in zip(*data.values())], ", ".join(f"`{c}` double" for c in data))
+    probs = list(np.linspace(0, 1, 101))
+    for parts in (1, 5):
+        got = cuts.bucket_quantiles(df.repartition(parts), list(data), probs)
+        for c, v in data.items():
+            assert np.allclose(got[c], np.quantile(v, probs), rtol=1e-15, atol=1e-12 * (c == "a")), c
+    holes = spark.createDataFrame([(1.0, None), (None, None), (float("nan"), None), (float("-inf"), None), (2.0, None)], "x double, y double")
+    assert cuts.bucket_quantiles(holes, ["x", "y"], [0.5]) == {"x": [1.5]}
