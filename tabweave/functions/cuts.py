@@ -29,7 +29,7 @@ _WORD = 1 << 62
 Bucket = tuple[float, float, int]
 
 
-def _tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches put together to tables of about ``_ROWS`` rows."""
     held, rows = [], 0
     for batch in batches:
@@ -108,7 +108,7 @@ def _split(df: DataFrame, columns: Sequence[str], opener: Callable[[int, list[Bu
         looked = dict(opened)
 
         def work(batches: Iterable[pa.RecordBatch], looked: dict = looked) -> Iterator[pa.RecordBatch]:
-            for table in _tables(batches):
+            for table in tables(batches):
                 for k, (at, ranges) in enumerate(looked.items()):
                     values = _floats(table.column(k))
                     found = _buckets(np.sort(values[~np.isnan(values)]), ranges)
@@ -191,7 +191,7 @@ def bin_counts(df: DataFrame, cuts: Mapping[str, Sequence[float]], keep: Sequenc
     fields = [df.schema[c] for c in keep]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _tables(batches):
+        for table in tables(batches):
             coded = []
             for members in words:
                 word = np.zeros(table.num_rows, np.int64)

@@ -50,6 +50,14 @@ def uniform_array(hashes: pa.Array) -> np.ndarray:
     return words.reshape(-1, 4).T / 4294967296.0
 
 
+def prefix_array(hashes: pa.Array) -> np.ndarray:
+    """The first 32 bits of each hash of a batch, 32 hex digits each."""
+    texts = hashes.cast(pa.large_binary())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    digits = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]].reshape(len(texts), 32)[:, :8].astype(np.int64)
+    return ((digits & 15) + 9 * (digits >> 6)) @ 16 ** np.arange(7, -1, -1)
+
+
 def normal_array(uniforms: np.ndarray) -> np.ndarray:
     """Four standard normals of each hash, as ``normal_pair`` makes them."""
     radius, angle = np.sqrt(-2.0 * np.log(1.0 - uniforms[::2])), 2.0 * math.pi * uniforms[1::2]

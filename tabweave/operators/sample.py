@@ -10,16 +10,18 @@ of copies by counting them, never by gathering them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabweave.functions.hashing import key_text, md5_prefixes, row_hash
-from tabweave.session import scratch_path
+from tabweave.functions.cuts import tables
+from tabweave.functions.hashing import key_text, md5_prefixes, prefix_array, row_hash
+from tabweave.session import freeze, scratch_path
 
 HASH = "_hash"
 # hex digits of a hash prefix: 65,536 prefixes at most
@@ -84,10 +86,6 @@ def step(column: Column, bounds: Sequence[str], first: int = 0) -> Column:
         step(column, bounds[half + 1:], first + half + 1))
 
 
-# Windows of so many groups are spelled out in one expression.
-FEW_GROUPS = 8
-
-
 def find_cuts(
     hashed: DataFrame, positions: Mapping[object, Sequence[int]], group: str | None = None,
     sizes: Mapping[object, int] | None = None,
@@ -123,21 +121,45 @@ def find_cuts(
     return [Cut(names[g], p, *found[(g, p)]) for g, places in wanted.items() for p in places]
 
 
+def _runs(rows: DataFrame, windows: Mapping[str, Sequence[tuple[int, int]]]) -> DataFrame:
+    """``(_g, _slot, _h, n)``: rows by group and slot, a slot per window (odd) and per
+    stretch between two; the rows of a window by their hash as well.
+
+    Slots are found by binary search on arrays, however many windows and groups there are.
+    """
+    names = sorted(windows)
+    listed = pa.array(names, pa.string())
+    edges = [[edge for window in windows[g] for edge in window] for g in names]
+    flat = np.array([(k << 33) + edge for k, ends in enumerate(edges) for edge in ends], np.int64)
+    first = np.cumsum([0, *[len(ends) + 1 for ends in edges]])  # slots before each group
+    columns = ["_g", "_slot", "_h", "n"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables(batches):
+            table = table.filter(pc.is_in(table.column(0), value_set=listed))
+            if not table.num_rows:
+                continue
+            group, hashed = (table.column(i).combine_chunks() for i in range(2))
+            at = pc.index_in(group, value_set=listed).to_numpy(zero_copy_only=False).astype(np.int64)
+            number = np.searchsorted(flat, (at << 33) + prefix_array(hashed), "right") + at
+            slot = number - first[at]
+            inside = slot % 2 == 1
+            between, n = np.unique(number[~inside], return_counts=True)
+            owner = np.searchsorted(first, between, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [listed.take(pa.array(owner)), pa.array((between - first[owner]).astype(np.int32)), pa.nulls(len(n), pa.string()),
+                 pa.array(n.astype(np.int64))], names=columns)
+            kept = pa.table([group, pa.array(slot.astype(np.int32)), hashed], names=columns[:3]).filter(pa.array(inside))
+            yield from kept.group_by(columns[:3], use_threads=False).aggregate([([], "count_all")]).rename_columns(columns).to_batches()
+
+    found = rows.select("_g", HASH).mapInArrow(work, "_g string, _slot int, _h string, n long")
+    return found.groupBy("_g", "_slot", "_h").agg(F.sum("n").alias("n"))
+
+
 def _place(rows: DataFrame, wanted: Mapping[str, Sequence[int]],
            windows: Mapping[str, Sequence[tuple[int, int]]]) -> dict[tuple[str, int], tuple[str, int, int]]:
     """(group, place) -> (hash, rows before it, rows at it), for places inside the windows."""
-    bounds = {g: [f"{edge:08x}" if edge < 2**32 else "g" for r in ranges for edge in r] for g, ranges in windows.items()}
-    if len(bounds) <= FEW_GROUPS:
-        slot = F.lit(None).cast("int")
-        for g, edges in bounds.items():
-            slot = F.when(F.col("_g") == F.lit(g), step(F.col(HASH), edges)).otherwise(slot)
-    else:  # too much for an expression: a row per group, listed by the caller
-        edges = rows.sparkSession.createDataFrame(list(bounds.items()), "_g string, _edges array<string>")
-        rows = rows.join(F.broadcast(edges), "_g")
-        slot = F.size(F.filter("_edges", lambda edge: edge <= F.col(HASH)))
-    listed = rows.withColumn("_slot", slot).select(
-        "_g", "_slot", F.when(F.col("_slot") % 2 == 1, F.col(HASH)).alias("_h"))
-    runs = listed.groupBy("_g", "_slot", "_h").agg(F.count(F.lit(1)).alias("n"))
+    runs = freeze(_runs(rows, windows))
     # running counts window by window; the windows themselves are two per place
     inside = Window.partitionBy("_g", "_slot").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("_g").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)

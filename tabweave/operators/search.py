@@ -17,7 +17,7 @@ from tabweave.operators.mixture import (
 from tabweave.operators.sample import HASH, step, with_hash
 from tabweave.operators.score import (
     auc, binned, log_odds_fit, log_odds_score, log_odds_slots, log_odds_weight, per_source_score, tstr_score)
-from tabweave.session import freeze
+from tabweave.session import freeze, store
 
 # ---------------------------------------------------------------- scoring a batch
 
@@ -39,8 +39,9 @@ def score_candidates(
 
 
 def score_batch(sources: DataFrame, real_counts: DataFrame, label: str, bins: dict[str, Column], sizes: DataFrame,
-                key: Sequence[str], seed: object = 5) -> DataFrame:
-    """The same with the real rows already binned.
+                key: Sequence[str] | None, seed: object = 5) -> DataFrame:
+    """The same with the real rows already binned, and without ``key`` the
+    source rows with their hash.
 
     The work does not grow with candidates times rows: a source row is placed
     in the interval between two neighbouring cuts of its source and counted
@@ -49,7 +50,7 @@ def score_batch(sources: DataFrame, real_counts: DataFrame, label: str, bins: di
     """
     spark = sources.sparkSession
     features = list(bins)
-    hashed = with_hash(sources, [*key, "source"], seed)
+    hashed = sources if key is None else with_hash(sources, [*key, "source"], seed)
     cuts = candidate_cuts(hashed, sizes)
     for _, c in cuts:
         if c.splits_copies:
@@ -161,7 +162,7 @@ def mix_search(
     probe) does not beat the best single source, it is that source alone. The
     rest of the first batch is drawn uniformly, later batches around the best so
     far. A batch is scored as one set of Spark jobs; the driver keeps
-    candidates and scores only. What the batches read (key, label and bins of
+    candidates and scores only. What the batches read (hash, label and bins of
     the source rows, counts of the real rows) is written once.
 
     The AUC on the other splits of ``real`` is reported and has no say. With
@@ -177,7 +178,7 @@ def mix_search(
     used = [*synthetic, REAL] if augmented > 0 else synthetic
     judge = real.where(F.col(split) != "train")
     judge_counts = freeze(binned(judge, label, bins, [split]).withColumnRenamed(split, "split"))
-    slim = freeze(sources.select("source", *key, label, *[b.alias(f"_in_{f}") for f, b in bins.items()]))
+    slim = store(with_hash(sources, [*key, "source"], seed).select("source", HASH, label, *[b.alias(f"_in_{f}") for f, b in bins.items()]))
     slim_bins = {f: F.col(f"_in_{f}") for f in bins}
     single = per_source_score(slim.where(F.col("source") != REAL), judge.where(F.col(split) == objective).select(
         label, split, *[b.alias(f"_in_{f}") for f, b in bins.items()]), label, slim_bins, split=split)
@@ -196,7 +197,7 @@ def mix_search(
         out: dict[int, tuple[list[float], dict[str, float]]] = {}
         for r in table.orderBy("cand", "ordinal").collect():
             out.setdefault(r["cand"], ([], {}))[0].append(r["alpha"])
-        for r in score_batch(slim, judge_counts, label, slim_bins, sizes, key, seed).collect():
+        for r in score_batch(slim, judge_counts, label, slim_bins, sizes, None, seed).collect():
             out[r["cand"]][1][r["split"]] = 0.5 if r["auc"] is None else float(r["auc"])
         return out
 
@@ -251,10 +252,10 @@ def rescore(found: SearchResult, sources: DataFrame, real: DataFrame, label: str
     rows = [(r["trial"], j + 1, s, float(r[a])) for r in best for j, (s, a) in enumerate(zip(names, alphas))]
     sizes = freeze(mix_size(spark.createDataFrame(rows, "cand int, ordinal int, source string, alpha double"),
                             freeze(source_counts(sources)), size))
+    drawn = store(mix_draw(sources, sizes, key, seed).drop("source"))  # all mixtures in one pass
     out = None
     for r in best:
-        drawn = freeze(mix_draw(sources, sizes.where(F.col("cand") == r["trial"]), key, seed).drop("cand", "source"))
-        part = tstr_score(drawn, real, label, by=[split], rounds=rounds, depth=depth, ignore=[*ignore, *key]).select(
+        part = tstr_score(drawn.where(F.col("cand") == r["trial"]).drop("cand"), real, label, by=[split], rounds=rounds, depth=depth, ignore=[*ignore, *key]).select(
             F.lit(r["trial"]).alias("trial"), F.col(split).alias("split"), "auc")
         out = part if out is None else out.unionByName(part)
     return out

@@ -11,7 +11,7 @@ from tabweave.plans.inputs import (
     EXPERIMENTS, KEY, METHODS, NUMERIC, SOURCES, SPLIT, TRIALS, auc_sql, bins, chain_sql, experiments, hash_sql,
     joins_sql, labelled, long_bins_sql, sources, trials, uniform_sql)
 from tabweave.plans.inputs import table as read
-from tabweave.session import freeze
+from tabweave.session import freeze, store
 
 
 def _weights(spark: SparkSession, folder: str, cand: str) -> DataFrame:
@@ -92,9 +92,9 @@ SEARCH = {"batch": 16, "max_trials": 32, "patience": 20, "reach": 0.3}
 
 
 def _search(spark: SparkSession, folder: str, **more: int) -> search.SearchResult:
-    rows = freeze(sources(spark, folder))
+    rows = store(sources(spark, folder))
     size = mixture.source_counts(rows).agg(F.sum("rows")).first()[0] // 2
-    return search.mix_search(rows, freeze(_real(spark, folder)), "label", bins(), KEY, size=size, **SEARCH, **more)
+    return search.mix_search(rows, store(_real(spark, folder)), "label", bins(), KEY, size=size, **SEARCH, **more)
 
 
 def mix_search(spark: SparkSession, folder: str) -> DataFrame:
