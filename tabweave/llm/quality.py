@@ -229,9 +229,13 @@ def estimates(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def chi_square_cut(size: int, tail: float = TAIL) -> float:
-    """Where the chi-square distribution of an even number of degrees leaves ``tail`` above it."""
+    """Where the chi-square distribution of ``size`` degrees leaves ``tail`` above it."""
     half = size // 2
-    above = lambda x: math.exp(-x / 2) * sum((x / 2)**k / math.factorial(k) for k in range(half))
+    if size % 2:
+        above = lambda x: math.erfc(math.sqrt(x / 2)) + math.exp(-x / 2) * sum(
+            (x / 2)**(k + 0.5) / math.gamma(k + 1.5) for k in range(half))
+    else:
+        above = lambda x: math.exp(-x / 2) * sum((x / 2)**k / math.factorial(k) for k in range(half))
     low, high = 0.0, 4.0
     while above(high) > tail:
         high *= 2
